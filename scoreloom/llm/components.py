@@ -28,7 +28,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(spark: SparkSession, links: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, root_rank)`` for each row of ``nodes(node, rank)``: the smallest rank in its component.
+    """``(node, root, root_rank)`` for each row of ``nodes(node, rank)``: its component and the smallest rank in it.
 
     ``links`` holds two long columns; links of a node with itself and repeated
     links are ignored. Raises if the stars have not settled after ``max_rounds``.
@@ -48,4 +48,4 @@ def connected_components(spark: SparkSession, links: DataFrame, nodes: DataFrame
             raise RuntimeError(f"links have not settled after {max_rounds} rounds")
     roots = nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", "rank", F.coalesce("root", "node").alias("root"))
     ranks = roots.groupBy("root").agg(F.min("rank").alias("root_rank"))
-    return roots.join(ranks, "root").select("node", "root_rank")
+    return roots.join(ranks, "root").select("node", "root", "root_rank")

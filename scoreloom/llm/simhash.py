@@ -22,9 +22,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.llm.components import connected_components
-from scoreloom.llm.shared import rows_of
+from scoreloom.llm.shared import materialize, rows_of
 
 BITS = 64
 SEED = 42
@@ -101,18 +102,44 @@ def linked_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     return a.join(b, same & found).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``fp`` and ``component_id``, the smallest id reachable over links.
+def fingerprint_classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``(fp, root, first_id)`` for each value of ``prints(id, fp)``: its class and the smallest id in it.
 
-    Equal fingerprints are one node; only different ones are joined, so a
+    Equal fingerprints are one node and only different ones are joined, so a
     group of copies of any size costs one row.
     """
-    spark = docs.sparkSession
-    from scoreloom.llm.shared import materialize
+    nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rank")), "simhash-nodes")
+    links = linked_fingerprints(nodes.select("fp"), max_bits)
+    classes = connected_components(prints.sparkSession, links, nodes.withColumnRenamed("fp", "node"))
+    return classes.select(F.col("node").alias("fp"), "root", F.col("root_rank").alias("first_id"))
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``fp`` and ``component_id``, the smallest id reachable over links."""
     prints = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
-    nodes = materialize(nodes, "simhash-nodes")
-    links = linked_fingerprints(nodes.select("fp"), max_bits)
-    classes = connected_components(spark, links, nodes.select(F.col("fp").alias("node"), F.col("first_id").alias("rank")))
-    return prints.join(classes.select(F.col("node").alias("fp"), F.col("root_rank").alias("component_id")), "fp", "left").select("id", "fp", F.coalesce("component_id", "id").alias("component_id"))
+    classes = fingerprint_classes(prints, max_bits)
+    return prints.join(classes, "fp", "left").select("id", "fp", F.coalesce("first_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each group of ``docs`` stays, that of the smallest id, with all its columns."""
+    fp = "fp"
+    while fp in docs.columns:
+        fp = f"_{fp}"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in rows_of(batch, text_col):
+                prints = np.array([simhash(shingle_hashes(t.encode(), width)) for t in texts], np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints.view(np.int64))], [*part.schema.names, fp])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    rows = materialize(docs.mapInArrow(add, schema), "simhash-rows")
+    prints = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    first = prints.join(fingerprint_classes(prints, max_bits), "fp").groupBy("root").agg(F.min(F.struct(F.col("id"), F.col("fp"))).alias("kept"))
+    kept = materialize(first.join(prints.groupBy("id", "fp").agg(F.count("*").alias("copies")), [F.col("kept.id").eqNullSafe(F.col("id")), F.col("kept.fp") == F.col("fp")]).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("copies").alias("__copies")), "simhash-kept")
+    found = rows.join(kept, [F.col(fp) == F.col("__fp"), F.col(id_col).eqNullSafe(F.col("__id"))])
+    # Rows repeated with id and text, if any, are the only ones that are dealt out to leave one.
+    again = kept.where("__copies > 1").limit(1).count()
+    single = found.where("__copies = 1").select(*docs.columns) if again else found.select(*docs.columns)
+    return single.union(found.where("__copies > 1").dropDuplicates(["__id", "__fp"]).select(*docs.columns)) if again else single
