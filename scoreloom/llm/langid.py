@@ -9,7 +9,7 @@ bytes a language, of the rows that are not held out. It picks rows by a hash of
 their id, so it does not depend on the layout of the table.
 
 Defined results: ``und`` and score 0 for texts that are null or have no letter;
-ties go to the first language in alphabetical order; with nothing to learn from
+ties go to the language with the most learned rows; with nothing to learn from
 every text is ``und``; whole texts of any length are compressed.
 """
 
@@ -29,7 +29,8 @@ from scoreloom.llm.shared import held_out, rows_of
 
 SAMPLE_TEXTS = 400
 DICTIONARY_BYTES = 96 << 10
-LEVEL = 3
+#: Short matches count in texts of a few sentences.
+COMPRESSION = {"window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 4, "min_match": 5, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY}
 #: Rejected when the second smallest is less than this share above the smallest.
 MARGIN = 0.02
 UNDETERMINED = "und"
@@ -54,10 +55,10 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     drawn = rows.select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(sizes, "lang").where(share)
     ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, F.col(id_col), F.xxhash64("text"))))
     chosen: dict[str, list] = {}
-    for r in ranked.where(F.col("k") <= SAMPLE_TEXTS).where(F.octet_length("text") <= DICTIONARY_BYTES // 4).select("lang", "k", "text").toLocalIterator():
-        chosen.setdefault(r.lang, []).append((r.k, prepared(r.text)))
+    for r in ranked.where(F.col("k") <= SAMPLE_TEXTS).where(F.octet_length("text") <= DICTIONARY_BYTES // 4).select("lang", "n", "k", "text").toLocalIterator():
+        chosen.setdefault((-r.n, r.lang), []).append((r.k, prepared(r.text)))
     found = {}
-    for lang, texts in sorted(chosen.items()):
+    for (_, lang), texts in sorted(chosen.items()):
         parts, size = [], 0
         for _, text in sorted(texts):
             if size + len(text) <= DICTIONARY_BYTES:
@@ -70,12 +71,11 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 class CompressionClassifier:
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.languages = sorted(dictionaries)
+        self.languages = list(dictionaries)
         self.compressors = []
         for lang in self.languages:
             raw = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_checksum=False, write_content_size=False))
+            self.compressors.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=zstandard.ZstdCompressionParameters(**COMPRESSION, write_content_size=False)))
 
     def classify(self, text: str) -> tuple[str, float, bool]:
         """Language, score and whether the margin is too narrow."""
