@@ -1,7 +1,7 @@
 """Token-id files: flat unsigned 32-bit ids with 64-bit document offsets, memory-mapped.
 
 A data set is a set of parts. Part files are ``<name>.ids`` (little-endian
-unsigned 32-bit ids of all its documents), ``<name>.offsets`` (64-bit: where
+unsigned ids of all its documents, of 16 bits if the vocabulary allows, else 32), ``<name>.offsets`` (64-bit: where
 each document starts in the part, and the end) and ``<name>.docs`` (64-bit
 document ids). Parts hold consecutive ranges of document ids. The manifest has
 a row for each part; the prefix sums of its counts give the base of each part.
@@ -32,13 +32,18 @@ from pyspark.sql.window import Window
 
 from scoreloom.llm.shared import materialize, new_folder, rows_of
 
-#: A part is closed when it holds this many ids (128 MB).
+#: A part is closed when it holds this many ids (128 MB at most).
 PART_IDS = 32 << 20
 CACHE_RUNS = 400_000
 #: White space other than space and line feed; texts that hold any go to the library whole.
 RARE_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def id_format(vocabulary: int) -> tuple[str, str]:
+    """``struct`` code and numpy type of the ids of a vocabulary of this size."""
+    return ("H", "<u2") if vocabulary <= 1 << 16 else ("I", "<u4")
+
+
 class CachedLibraryTokenizer:
     """The tokenizers library's ids of whole texts; runs between white space are encoded once and kept.
 
@@ -62,13 +67,15 @@ class CachedLibraryTokenizer:
         self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         for token, i in vocab.items():
             self.width[i] = len(token)
+        self.code, self.dtype = id_format(self.library.get_vocab_size(with_added_tokens=True))
+        self.step = np.dtype(self.dtype).itemsize
         self.marks = {m: self.whole(m) for m in ",."}
         self.runs: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _learn(self, runs: list[str]) -> None:
         """Encodes runs in blocks, each after a space or with its line feed; the widths of the tokens tell the ids of each run."""
@@ -79,14 +86,14 @@ class CachedLibraryTokenizer:
             ids = np.array(self.library.encode_batch_fast(["".join(block)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum([len(r.encode()) for r in block])
             cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, side="right").tolist()
-            packed = ids.astype("<u4").tobytes()
-            self.runs.update(zip(words[at : at + 512], [packed[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True))
+            packed, step = ids.astype(self.dtype).tobytes(), self.step
+            self.runs.update(zip(words[at : at + 512], [packed[step * i : step * j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True))
         for r in runs:
             if r not in self.runs:
                 self.runs[r] = self.runs[r[:-1]] + self.marks[r[-1]]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers of the format's width."""
         if len(self.runs) > CACHE_RUNS:
             self.older, self.runs = self.runs, {}
         found: list = []
@@ -130,7 +137,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """Writes the data set and returns its manifest ``(part, name, n_docs, n_ids, base)``.
+    """Writes the data set and returns its manifest ``(part, piece, name, n_docs, n_ids, id_bytes, base)``.
 
     Rows are range-partitioned and sorted by document id, so the files follow
     in ascending order; each task encodes its rows once and writes them as it goes.
@@ -142,7 +149,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     rows = (rows.repartitionByRange(parts, "id", "k1", "k2") if parts else rows.repartitionByRange("id", "k1", "k2")).sortWithinPartitions("id", "k1", "k2").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = library_at(tokenizer_path), struct.pack("<I", end_id)
+        tokenizer = library_at(tokenizer_path)
+        end = struct.pack(f"<{tokenizer.code}", end_id)
         context, (fs, root) = TaskContext.get(), _filesystem(folder)
         fs.create_dir(root, recursive=True)
         part, made = context.partitionId(), []
@@ -156,7 +164,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             for kind, values in (("offsets", x["ends"]), ("docs", x["docs"])):
                 with fs.open_output_stream(f"{root}/{x['name']}.{kind}") as out:
                     out.write(np.array(values, "<i8").tobytes())
-            made.append((x["name"], len(x["docs"]), x["ends"][-1]))
+            made.append((x["name"], len(x["docs"]), x["ends"][-1], tokenizer.step))
 
         now = None
         for batch in batches:
@@ -165,16 +173,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                     now = now or begin()
                     packed = ids + end
                     now["ids"].write(packed)
-                    now["ends"].append(now["ends"][-1] + len(packed) // 4)
+                    now["ends"].append(now["ends"][-1] + len(packed) // tokenizer.step)
                     now["docs"].append(-(1 << 63) if doc is None else doc)
                     if now["ends"][-1] >= PART_IDS:
                         close(now)
                         now = None
         if now:
             close(now)
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32()), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], ["part", "piece", "name", "n_docs", "n_ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(made), pa.int32()), pa.array(range(len(made)), pa.int32()), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), pa.array([m[3] for m in made], pa.int32())], ["part", "piece", "name", "n_docs", "n_ids", "id_bytes"])
 
-    written = materialize(rows.mapInArrow(write, "part int, piece int, name string, n_docs long, n_ids long"), "manifest")
+    written = materialize(rows.mapInArrow(write, "part int, piece int, name string, n_docs long, n_ids long, id_bytes int"), "manifest")
     # A row for each file of up to 128 MB: the one window over all of them is as small as the manifest.
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -187,7 +195,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
         fs, root = _filesystem(folder)
         local = isinstance(fs, pafs.LocalFileSystem)
         for batch in batches:
-            for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
+            for name, width, base in zip(*(batch.column(c).to_pylist() for c in ("name", "id_bytes", "base")), strict=True):
 
                 def mapped(kind, dtype, path=f"{root}/{name}"):
                     if local:
@@ -195,15 +203,15 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                     with fs.open_input_file(f"{path}.{kind}") as f:
                         return np.frombuffer(f.read_buffer(), dtype)
 
-                ids, ends, docs = mapped("ids", "<u4"), mapped("offsets", "<i8"), mapped("docs", "<i8")
+                ids, ends, docs = mapped("ids", f"<u{width}"), mapped("offsets", "<i8"), mapped("docs", "<i8")
                 for at in range(0, len(docs), 100_000):
                     cut = ends[at : at + 100_001]
-                    crcs = [zlib.crc32(ids[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                    crcs = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                     own = docs[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == -(1 << 63)), pa.array(base + cut[:-1]), pa.array(np.diff(cut)), pa.array(crcs, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
     files = max(1, manifest.count())
-    return manifest.select("name", "base").repartition(min(files, 10_000)).mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("name", "id_bytes", "base").repartition(min(files, 10_000)).mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digest(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
