@@ -60,10 +60,8 @@ def parse_document_name(name: Column, tokens: list[str] | tuple[str, ...] = (*MO
     parts = F.split(F.regexp_replace(name, r"\.[^.]*$", ""), "_")
     doc_type = lookup({t.lower(): t for t in doc_types}, F.lower(F.element_at(parts, -1)), F.lit(None).cast("string"))
     rest = F.when(doc_type.isNotNull(), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    found = F.lit(None).cast("int")
-    for n in range(1, longest + 1):
-        tail = F.lower(F.array_join(F.slice(rest, F.size(rest) - n + 1, F.lit(n)), "_"))
-        found = F.when((F.size(rest) >= n) & tail.isin(list(tokens)), F.lit(n)).otherwise(found)
+    known = F.array(*map(F.lit, tokens))
+    found = F.array_max(F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: (n <= F.size(rest)) & F.array_contains(known, F.lower(F.array_join(F.slice(rest, F.size(rest) - n + 1, F.least(n, F.size(rest))), "_")))))
     model = normalize_model_token(F.array_join(F.slice(rest, F.size(rest) - found + 1, found), "_"), aliases)
     document = F.nullif(F.array_join(F.slice(rest, F.lit(1), F.size(rest) - found), "_"), F.lit(""))
     return F.struct(F.when(found.isNotNull(), document).alias("document_id"), F.when(found.isNotNull(), model).alias("model"), F.when(found.isNotNull(), doc_type).alias("doc_type"))

@@ -6,20 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scoreloom.functions.names import parse_document_name
-
 KEY = ["document_id", "doc_type"]
 
 
 def grid_corpus(docs: DataFrame) -> DataFrame:
-    """A document table as a corpus: 20 consecutive ids are one source document, ``source`` wrote each text.
-
-    Keys pass through file names, as they do in a real corpus.
-    """
+    """A document table as a corpus: 20 consecutive ids are one source document, ``source`` wrote each text."""
     group = F.floor(F.col("doc_id") / 20)
-    name = F.concat(F.when(group % 2 == 0, "PAT-").otherwise("RPT-"), group, F.lit("_"), F.col("source"), F.lit("_ADR.md"))
-    tokens = [f"src{i}" for i in range(20)]
-    return docs.select("doc_id", name.alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", parse_document_name(F.col("path"), tokens, aliases={})).select("doc_id", "k.*", "path", "text")
+    document = F.concat(F.when(group % 2 == 0, "PAT-").otherwise("RPT-"), group)
+    return docs.select("doc_id", document.alias("document_id"), F.col("source").alias("model"), F.lit("ADR").alias("doc_type"), F.concat_ws("_", document, "source", F.lit("ADR.md")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def valid_documents(corpus: DataFrame) -> DataFrame:
