@@ -42,6 +42,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column has it (names ignore case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def rows_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of ``batch`` with the values of ``column`` (null: empty), about ``SLICE_BYTES`` each."""
     texts = batch.column(column)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.llm.components import connected_components
-from scoreloom.llm.shared import materialize, rows_of
+from scoreloom.llm.shared import fresh, materialize, rows_of
 
 BITS = 64
 SEED = 42
@@ -123,9 +123,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each group of ``docs`` stays, that of the smallest id, with all its columns."""
-    fp = "fp"
-    while fp in docs.columns:
-        fp = f"_{fp}"
+    fp, kept_id, kept_fp, copies = (fresh(n, docs.columns) for n in ("fp", "kept_id", "kept_fp", "copies"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +135,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialize(docs.mapInArrow(add, schema), "simhash-rows")
     prints = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
     first = prints.join(fingerprint_classes(prints, max_bits), "fp").groupBy("root").agg(F.min(F.struct(F.col("id"), F.col("fp"))).alias("kept"))
-    kept = materialize(first.join(prints.groupBy("id", "fp").agg(F.count("*").alias("copies")), [F.col("kept.id").eqNullSafe(F.col("id")), F.col("kept.fp") == F.col("fp")]).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), F.col("copies").alias("__copies")), "simhash-kept")
-    found = rows.join(kept, [F.col(fp) == F.col("__fp"), F.col(id_col).eqNullSafe(F.col("__id"))])
+    counts = prints.groupBy("id", "fp").agg(F.count("*").alias("copies"))
+    kept = first.join(counts, [F.col("kept.id").eqNullSafe(F.col("id")), F.col("kept.fp") == F.col("fp")])
+    kept = materialize(kept.select(F.col("id").alias(kept_id), F.col("fp").alias(kept_fp), F.col("copies").alias(copies)), "simhash-kept")
+    found = rows.join(kept, [F.col(fp) == F.col(kept_fp), F.col(id_col).eqNullSafe(F.col(kept_id))])
     # Rows repeated with id and text, if any, are the only ones that are dealt out to leave one.
-    again = kept.where("__copies > 1").limit(1).count()
-    single = found.where("__copies = 1").select(*docs.columns) if again else found.select(*docs.columns)
-    return single.union(found.where("__copies > 1").dropDuplicates(["__id", "__fp"]).select(*docs.columns)) if again else single
+    again = kept.where(F.col(copies) > 1).limit(1).count()
+    single = found.where(F.col(copies) == 1).select(*docs.columns) if again else found.select(*docs.columns)
+    return single.union(found.where(F.col(copies) > 1).dropDuplicates([kept_id, kept_fp]).select(*docs.columns)) if again else single
