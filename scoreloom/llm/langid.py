@@ -49,14 +49,18 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """A dictionary for each language of the rows that are not held out."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     order = F.xxhash64(F.col(id_col), F.lit(5))
-    sizes = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
-    # A first cut by hash keeps about four times the sample, so little text is sorted.
-    share = F.pmod(order, F.lit(1_000_003)) < 4 * SAMPLE_TEXTS * 1_000_003 / F.col("n")
-    drawn = rows.select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(sizes, "lang").where(share)
+    # One count a language, as many as there will be dictionaries.
+    sizes = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return {}
+    # A first cut by hash, in the scan, keeps about four times the sample: little text is shuffled and sorted.
+    limits = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_003, 4 * SAMPLE_TEXTS * 1_000_003 // n + 1))))
+    share = F.pmod(order, F.lit(1_000_003)) < F.element_at(limits, F.col(lang_col))
+    drawn = rows.where(share).select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, F.col(id_col), F.xxhash64("text"))))
     chosen: dict[str, list] = {}
-    for r in ranked.where(F.col("k") <= SAMPLE_TEXTS).where(F.octet_length("text") <= DICTIONARY_BYTES // 4).select("lang", "n", "k", "text").toLocalIterator():
-        chosen.setdefault((-r.n, r.lang), []).append((r.k, prepared(r.text)))
+    for r in ranked.where(F.col("k") <= SAMPLE_TEXTS).where(F.octet_length("text") <= DICTIONARY_BYTES // 4).select("lang", "k", "text").toLocalIterator():
+        chosen.setdefault((-sizes[r.lang], r.lang), []).append((r.k, prepared(r.text)))
     found = {}
     for (_, lang), texts in sorted(chosen.items()):
         parts, size = [], 0
