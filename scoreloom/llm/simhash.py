@@ -32,6 +32,8 @@ SEED = 42
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
+#: The most differing bits that three segments with a wildcard each are sure to find.
+REACH = 2 * len(SEGMENTS) - 1
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -121,7 +123,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp", "left").select("id", "fp", F.coalesce("first_id", "id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = REACH) -> DataFrame:
     """One row of each group of ``docs`` stays, that of the smallest id, with all its columns."""
     fp, kept_id, kept_fp, copies = (fresh(n, docs.columns) for n in ("fp", "kept_id", "kept_fp", "copies"))
 

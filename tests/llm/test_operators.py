@@ -333,14 +333,14 @@ def brute_simhash(text, width=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(prints):
+def brute_components(prints, bits=4):
     root = list(range(len(prints)))
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
     for a, b in itertools.combinations(range(len(prints)), 2):
-        if (prints[a][1] ^ prints[b][1]).bit_count() <= 4:
+        if (prints[a][1] ^ prints[b][1]).bit_count() <= bits:
             root[find(b)] = find(a)
     groups = {}
     for i, (doc, _) in enumerate(prints):
@@ -363,7 +363,7 @@ def test_simhash(spark):
     assert len({c for _, _, c in got}) < len(got)
     assert simhash.near_duplicates(table(spark, [])).count() == 0
     docs = table(spark, [*rows, (None, "single words only here again", "en")])
-    kept = simhash.one_of_each(docs, width=4)
+    kept = simhash.one_of_each(docs, width=4, max_bits=4)
     want = {min(i for i, c in brute_components(prints) if c == k) for k in {c for _, c in brute_components(prints)}}
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want) and kept.schema == docs.schema
 
@@ -382,9 +382,10 @@ def test_linked_fingerprints_are_complete(spark):
     values = sorted(values)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     df = spark.createDataFrame([(signed(v),) for v in values], "fp long")
-    got = sorted((x.a, x.b) for x in simhash.linked_fingerprints(df).collect())
-    want = sorted(tuple(sorted((signed(a), signed(b)))) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= 4)
-    assert got == want
+    for bits in (4, simhash.REACH):
+        got = sorted((x.a, x.b) for x in simhash.linked_fingerprints(df, bits).collect())
+        want = sorted(tuple(sorted((signed(a), signed(b)))) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= bits)
+        assert got == want
 
 
 def test_components_of_chains(spark):

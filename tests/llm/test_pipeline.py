@@ -33,7 +33,7 @@ def test_pipeline(spark, tmp_path):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     good = [(i, t) for i, t in rows if "BUY!!" not in t]
     prints = sorted((i, brute_simhash(t, 5)) for i, t in good)
-    alone = {c for _, c in brute_components(prints)}
+    alone = {c for _, c in brute_components(prints, 5)}
     want = {i: t for i, t in good if i in alone and i != 5}
     assert set(got) == set(want)
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
