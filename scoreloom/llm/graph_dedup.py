@@ -37,7 +37,7 @@ from scoreloom.llm.shared import materialize
 THRESHOLD = 0.93
 SHARD_NODES = 600
 MAX_SHARD = 3000
-MAX_CENTROIDS = 1 << 16
+MAX_CENTROIDS = 1 << 12
 SAMPLE_PER_CENTROID = 24
 OVERLAP = 3
 DEGREE = 24
@@ -191,7 +191,8 @@ def _centroids(nodes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     target = max(SHARD_NODES, -(-total // MAX_CENTROIDS))
     sizes = sizes.where(F.col("n") > target).withColumn("k", F.ceil(F.col("n") / target))
     wanted = F.col("k") * SAMPLE_PER_CENTROID / F.col("n")
-    sample = nodes.withColumn("dim", F.size("vec")).join(sizes, ["label", "dim"]).where(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < wanted * 1_000_003)
+    # Labels of more than ``target`` nodes: ``MAX_CENTROIDS`` rows at most.
+    sample = nodes.withColumn("dim", F.size("vec")).join(F.broadcast(sizes), ["label", "dim"]).where(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < wanted * 1_000_003)
     found = sample.select("label", "dim", "k", "node", "vec").groupBy("label", "dim").applyInPandas(
         lambda pdf: pd.DataFrame({"label": pdf["label"].iloc[0], "dim": pdf["dim"].iloc[0], "center": list(spherical_kmeans(_unit_rows(pdf.sort_values("node")["vec"]), int(pdf["k"].iloc[0])))}),
         "label string, dim int, center array<double>",
@@ -220,7 +221,8 @@ def _memberships(nodes: DataFrame, centroids: dict, overlap: int) -> DataFrame:
     named = nodes.select("node", "label", "vec", "copies").mapInArrow(assign, "node long, label string, vec array<double>, copies long, shards array<long>")
     placed = named.withColumn("shard", F.explode("shards")).withColumn("dim", F.size("vec"))
     sizes = placed.groupBy("label", "dim", "shard").agg(F.count("*").alias("n")).where(F.col("n") > MAX_SHARD).select("label", "dim", "shard", F.ceil(F.col("n") / (MAX_SHARD / 2)).cast("int").alias("cut"))
-    placed = placed.join(sizes, ["label", "dim", "shard"], "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+    # Only shards around centroids can be that large: again ``MAX_CENTROIDS`` rows at most.
+    placed = placed.join(F.broadcast(sizes), ["label", "dim", "shard"], "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
     placed = placed.withColumn("slice", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cut")).cast("int"))
     units = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda j: F.struct(F.least(F.col("slice"), j).alias("slice_a"), F.greatest(F.col("slice"), j).alias("slice_b")))
     return placed.withColumn("unit", F.explode(units)).select("label", "dim", "shard", "unit.slice_a", "unit.slice_b", "slice", "node", "copies", "shards", "vec")
