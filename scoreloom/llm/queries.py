@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.llm import bpe_stream, chat, decontam, graph_dedup, langid, pii, quality_crf, shuffle_shards, simhash, token_files
-from scoreloom.llm.shared import held_out
+from scoreloom.llm.shared import held_out, new_folder
 
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
 
@@ -41,10 +41,12 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    placed = shuffle_shards.shuffled_shards(records, 40).select("doc_id", "text", "shard", "slot")
+    shuffle_shards.write_shards(placed, path := new_folder(spark, "shards"))
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    records = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = shuffle_shards.shuffled_shards(records, 40)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    written = spark.read.schema(placed.schema).parquet(path)
+    return written.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

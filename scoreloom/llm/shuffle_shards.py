@@ -1,15 +1,17 @@
 """Two-pass external shuffle into shards, with DataFrame functions only.
 
-Pass one scatters records uniformly into buckets by a seeded hash; the number
-of buckets follows from the number of records, so a bucket fits in memory at
-any size of the table. Pass two gathers each bucket and puts it in random order
-with a seeded Fisher-Yates shuffle (the ``shuffle`` function). The buckets one
+Pass one scatters whole records uniformly into buckets by a seeded hash; the
+number of buckets follows from the number and the bytes of the records, so a
+bucket stays small at any size of the table. Pass two orders each bucket by a
+seeded Fisher-Yates permutation of its row numbers (the ``shuffle`` function), so
+no row ever holds more than one record and an array of numbers. The buckets one
 after the other are the shuffled table: prefix sums of their sizes place each
 record, and the shards are equal cuts of it, so their row counts are at most one
-apart and a bucket is written to one or two shards.
+apart. ``write_shards`` writes them: a record crosses the network once.
 
-Equal records are counted before they are scattered and numbered afterwards, so
-copies spread over all buckets and one record may hold any share of the rows.
+Records are counted by a hash first. Only those whose hash comes again are
+compared as a whole, numbered, and then scattered, so copies spread over all
+buckets and one record may hold any share of the rows.
 
 Defined results: null keys are keys like any other; equal records are
 interchangeable; an empty table gives an empty result; more shards than rows
@@ -20,11 +22,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from scoreloom.llm.shared import fresh, materialize
 
 BUCKET_ROWS = 50_000
+BUCKET_BYTES = 32 << 20
+#: Copies of one record that one task makes.
+BLOCK = 1_000
 SEED = 42
 
 
@@ -33,21 +39,54 @@ def _prefix_sums(sizes: DataFrame, key: str, value: str) -> DataFrame:
     return sizes.withColumn("before", F.coalesce(F.sum(value).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def external_shuffle(records: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _record_bytes(records: DataFrame) -> Column:
+    size = F.lit(16 * len(records.columns)).cast("long")
+    for f in records.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            c = F.to_json(F.struct(c))
+        elif not isinstance(f.dataType, T.StringType | T.BinaryType):
+            continue
+        size += F.coalesce(F.octet_length(c), F.lit(0))
+    return size
+
+
+def _numbered_copies(records: DataFrame, hashed: Column, seen: DataFrame) -> DataFrame:
+    """``(record, key, copy)``, where ``copy`` counts from 1 among the records of one hash."""
+    record = F.struct(*(f"`{c}`" for c in records.columns)).alias("record")
+    rows = records.select(record, hashed.alias("key"))
+    again = materialize(seen.where("n > 1").select("key"), "repeated")
+    if again.isEmpty():
+        return rows.withColumn("copy", F.lit(1).cast("long"))
+    single = rows.join(again, "key", "left_anti").select("record", "key", F.lit(1).cast("long").alias("copy"))
+    counted = rows.join(again, "key", "left_semi").groupBy("key", "record").agg(F.count("*").alias("n"))
+    # Different records of one hash share its numbers.
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("record").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counted.withColumn("before", before).withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(BLOCK).cast("long")))).repartition("key", "first")
+    copies = F.explode(F.sequence(F.col("first"), F.least(F.col("first") + BLOCK - 1, "n")))
+    return single.union(blocks.withColumn("at", copies).select("record", "key", (F.col("before") + F.col("at")).alias("copy")))
+
+
+def external_shuffle(records: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All records in a seeded random order: their columns and ``position`` from 0, without gaps."""
-    counted = materialize(records.select(F.struct(*(f"`{c}`" for c in records.columns)).alias("record")).groupBy("record").agg(F.count("*").alias("n")), "records")
-    rows = counted.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-rows // bucket_rows))
+    columns = [F.col(f"`{c}`") for c in records.columns]
+    hashed = F.xxhash64(F.lit(seed), *columns, *(c.isNull() for c in columns))
+    seen = materialize(records.select(hashed.alias("key"), _record_bytes(records).alias("bytes")).groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "records")
+    rows, total = (x or 0 for x in seen.agg(F.sum("n"), F.sum("bytes")).first())
+    buckets = max(1, -(-rows // bucket_rows), -(-total // bucket_bytes))
+    bucket = F.pmod(F.xxhash64("key", "copy", F.lit(seed)), F.lit(buckets)).cast("int").alias("bucket")
+    # The permutation of each bucket needs no more than its size.
+    entries = seen.select("key", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    starts = _prefix_sums(entries.groupBy(bucket).agg(F.count("*").alias("rows")), "bucket", "rows")
+    order = F.shuffle(F.sequence(F.lit(0), F.col("rows").cast("int") - 1), F.lit(seed))
+    orders = materialize(starts.repartition("bucket").select("bucket", "before", order.alias("order")), "orders")
     # Pass one.
-    each = counted.select("record", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-    bucket = F.pmod(F.xxhash64("record", "copy", F.lit(seed)), F.lit(buckets)).cast("int")
-    scattered = each.select(bucket.alias("bucket"), F.struct("copy", "record").alias("entry"))
-    # Pass two: sorted first, so that the order of arrival does not matter.
-    gathered = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
-    gathered = materialize(gathered.select("bucket", F.shuffle("entries", F.lit(seed)).alias("entries")), "buckets")
-    starts = _prefix_sums(gathered.select("bucket", F.size("entries").cast("long").alias("rows")), "bucket", "rows")
-    placed = gathered.join(starts.select("bucket", "before"), "bucket").select("before", F.posexplode("entries").alias("at", "entry"))
-    return placed.select("entry.record.*", (F.col("before") + F.col("at")).alias(fresh("position", records.columns)))
+    scattered = _numbered_copies(records, hashed, seen).select(bucket, "key", "copy", "record")
+    # Pass two: numbered by hash, so that the order of arrival does not matter.
+    at = F.row_number().over(Window.partitionBy("bucket").orderBy("key", "copy"))
+    placed = scattered.withColumn("at", at).join(orders, "bucket")
+    position = F.col("before") + F.element_at("order", F.col("at"))
+    return placed.select("record.*", position.alias(fresh("position", records.columns)))
 
 
 def shard_of(position: Column, rows: int, shards: int) -> tuple[Column, Column]:
@@ -61,9 +100,9 @@ def shard_of(position: Column, rows: int, shards: int) -> tuple[Column, Column]:
     return shard, slot.cast("long")
 
 
-def shuffled_shards(records: DataFrame, shards: int, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def shuffled_shards(records: DataFrame, shards: int, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``external_shuffle`` with ``shard`` and ``slot``; slots of a shard run from 0 without gaps."""
-    placed = external_shuffle(records, seed, bucket_rows)
+    placed = external_shuffle(records, seed, bucket_rows, bucket_bytes)
     shard, slot = shard_of(F.col(placed.columns[-1]), records.count(), shards)
     return placed.withColumns({fresh("shard", placed.columns): shard, fresh("slot", placed.columns): slot})
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scoreloom.llm import bpe_stream, chat, decontam, graph_dedup, langid, pii, quality_crf, shuffle_shards, simhash, token_files
+from scoreloom.llm import bpe_stream, chat, decontam, graph_dedup, langid, pii, quality_crf, queries, shuffle_shards, simhash, token_files
 from scoreloom.llm.components import connected_components
 
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
@@ -172,6 +172,36 @@ def test_write_shards(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/s").groupBy("shard").count().count() == 4
 
 
+def test_shuffle_query_writes_whole_documents(spark, tmp_path, monkeypatch):
+    rows = [(i, prose(i, 30) if i % 7 else None) for i in range(200)] + [(3, "x" * 100_000)] * 2 + [(500, "long " * 50_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    paths, write = [], shuffle_shards.write_shards
+    monkeypatch.setattr(shuffle_shards, "write_shards", lambda placed, path: (paths.append(path), write(placed, path)))
+    got = queries.op4_shuffle_shards(spark, str(tmp_path)).collect()
+    written = spark.read.parquet(*paths).select("doc_id", "text", "shard", "slot", "_metadata.file_path", "_metadata.row_index").collect()
+    assert Counter((r.doc_id, r.text) for r in written) == Counter(rows)
+    digest = lambda t: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == Counter((r.doc_id, *digest(r.text), r.shard, r.slot) for r in written)
+    files = {}
+    for r in sorted(written, key=lambda r: r.row_index):
+        files.setdefault(r.file_path, []).append((r.shard, r.slot))
+    assert all(v == sorted(v) for v in files.values())
+
+
+def test_shuffle_buckets_follow_bytes_and_hash_collisions(spark, monkeypatch):
+    rows = [(i % 3, "a" * (i % 3)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # A hash that all records share still counts every record, in small blocks.
+    monkeypatch.setattr(shuffle_shards, "BLOCK", 7)
+    monkeypatch.setattr(shuffle_shards.F, "xxhash64", lambda *c, real=F.xxhash64: real(F.lit(1)) if len(c) > 3 else real(*c))
+    got = shuffle_shards.external_shuffle(df, bucket_bytes=200).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows) and sorted(r.position for r in got) == list(range(90))
+    seen = []
+    monkeypatch.setattr(shuffle_shards, "materialize", lambda d, name, real=shuffle_shards.materialize: (seen.append((name, out := real(d, name))), out)[1])
+    shuffle_shards.external_shuffle(df, bucket_bytes=200)
+    assert dict(seen)["orders"].count() >= 10
+
+
 # 5 ----------------------------------------------------------------------------------------------
 
 
