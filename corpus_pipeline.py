@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import bpe_stream, decontam, pii, quality_crf, simhash
+from scoreloom.llm import bpe_stream, decontam, pii, quality_crf, shingle_dedup
 from scoreloom.llm.shared import materialize
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group linked by a similarity of 0.8 or more stays."""
+    return shingle_dedup.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = REACH) -> DataFrame:
     """One row of each group of ``docs`` stays, that of the smallest id, with all its columns."""
-    fp, kept_id, kept_fp, copies = (fresh(n, docs.columns) for n in ("fp", "kept_id", "kept_fp", "copies"))
+    fp = fresh("fp", docs.columns)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,12 +136,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
     rows = materialize(docs.mapInArrow(add, schema), "simhash-rows")
     prints = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
-    first = prints.join(fingerprint_classes(prints, max_bits), "fp").groupBy("root").agg(F.min(F.struct(F.col("id"), F.col("fp"))).alias("kept"))
-    counts = prints.groupBy("id", "fp").agg(F.count("*").alias("copies"))
-    kept = first.join(counts, [F.col("kept.id").eqNullSafe(F.col("id")), F.col("kept.fp") == F.col("fp")])
-    kept = materialize(kept.select(F.col("id").alias(kept_id), F.col("fp").alias(kept_fp), F.col("copies").alias(copies)), "simhash-kept")
-    found = rows.join(kept, [F.col(fp) == F.col(kept_fp), F.col(id_col).eqNullSafe(F.col(kept_id))])
+    return first_of_classes(rows, fingerprint_classes(prints, max_bits).withColumnRenamed("fp", fp), docs.columns, id_col, fp)
+
+
+def first_of_classes(rows: DataFrame, classes: DataFrame, columns: list[str], id_col: str, key: str) -> DataFrame:
+    """One row, that of the smallest id, for each ``root`` of ``classes``, which has a row for each value of ``rows[key]``."""
+    kept_id, kept_key, copies = (fresh(n, rows.columns) for n in ("kept_id", "kept_key", "copies"))
+    keys = rows.select(F.col(id_col).alias("id"), F.col(key).alias("key"))
+    first = keys.join(classes.select(F.col(key).alias("key"), "root"), "key").groupBy("root").agg(F.min(F.struct("id", "key")).alias("kept"))
+    counts = keys.groupBy("id", "key").agg(F.count("*").alias("copies"))
+    kept = first.join(counts, [F.col("kept.id").eqNullSafe(F.col("id")), F.col("kept.key") == F.col("key")])
+    kept = materialize(kept.select(F.col("id").alias(kept_id), F.col("key").alias(kept_key), F.col("copies").alias(copies)), "kept-rows")
+    found = rows.join(kept, [F.col(key) == F.col(kept_key), F.col(id_col).eqNullSafe(F.col(kept_id))])
     # Rows repeated with id and text, if any, are the only ones that are dealt out to leave one.
     again = kept.where(F.col(copies) > 1).limit(1).count()
-    single = found.where(F.col(copies) == 1).select(*docs.columns) if again else found.select(*docs.columns)
-    return single.union(found.where(F.col(copies) > 1).dropDuplicates([kept_id, kept_fp]).select(*docs.columns)) if again else single
+    single = found.where(F.col(copies) == 1).select(*columns) if again else found.select(*columns)
+    return single.union(found.where(F.col(copies) > 1).dropDuplicates([kept_id, kept_key]).select(*columns)) if again else single

@@ -42,6 +42,31 @@ def test_pipeline(spark, tmp_path):
         assert got[i].n_tokens == len(library.encode(pii.redact(want[i], pii.find_spans(want[i])), add_special_tokens=False).ids)
 
 
+def test_near_dedup_equals_brute_force_jaccard(spark):
+    r = random.Random(5)
+    rows = [(1000, ""), (1001, None), (1002, "two words"), (1003, "Two  WORDS"), (1004, "two words more")]
+    for i in range(12):
+        base = [f"w{r.randrange(400)}" for _ in range(80 + 20 * (i % 4))]
+        for k in range(9):
+            words = list(base)
+            for at in r.sample(range(len(words)), k % 5):
+                words[at] = "changed"
+            rows.append((i * 9 + k, "a common line that all of them have " * (i % 3) + " ".join(words)))
+    sets = {}
+    for i, t in rows:
+        words = (t or "").lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    for _ in sets:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame([(*x, "n") for x in rows], "doc_id long, text string, node string")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(x.doc_id for x in got.collect()) == sorted(set(root.values()))
+
+
 def test_stages_keep_columns(spark, tmp_path):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "redact", "encode"]
 
