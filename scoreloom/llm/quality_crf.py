@@ -14,7 +14,9 @@ sample reach the driver. Scores depend on the text alone.
 
 Defined results: null and empty texts are one empty line and get a score like
 any other; labels that are null or not 0 or 1 are not learned from; with nothing
-to learn from every score is 0.5; repeated rows get equal scores.
+to learn from every score is 0.5; repeated rows get equal scores; a text of any
+number of lines is one chain; an empty table gives an empty result; ``fit`` and
+``score_documents`` read no columns but those named, ``accepted`` keeps all as they are.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from scoreloom.llm.shared import held_out, rows_of
 SAMPLE = 800
 ACCEPT = 0.3
 ROUNDS, STEPS = 3, 120
+#: So many of the longest texts of a batch run one by one once all others have ended.
+ALONE = 4
 OWN = 9
 FEATURES = OWN + 6
 
@@ -50,7 +54,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     ends = np.flatnonzero(data == 10)
     starts = np.r_[0, ends[:-1] + 1]
     length = ends - starts
-    upper, digits, marks, lower = (np.add.reduceat(kind[data].astype(np.int32), starts) for kind in _KINDS)
+    upper, digits, marks, lower = (np.add.reduceat(kind[data], starts, dtype=np.int32) for kind in _KINDS)
     counts, words, distinct, echoes, seen_before = [], [], [], [], []
     for text in texts:
         lines = text.split(b"\n")
@@ -84,45 +88,51 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return x, length, n_lines
 
 
-def _padded(n_lines: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts of like length together: which texts, and the line of each place (``-1``: none)."""
-    order, begin = np.argsort(n_lines, kind="stable"), np.cumsum(n_lines) - n_lines
-    for at in range(0, len(order), 256):
-        own = order[at : at + 256]
-        place = begin[own, None] + np.arange(n_lines[own].max())[None, :]
-        yield own, np.where(np.arange(place.shape[1])[None, :] < n_lines[own, None], place, -1)
+def _long_chain(up: list[float], stay: float, turn: float) -> tuple[list[float], list[float]]:
+    """The two odds of ``forward_backward`` for one text, in plain numbers."""
+    r, s = [up[0]], [1.0]
+    for u in up[1:]:
+        r.append(u * (turn + r[-1] * stay) / (1 + r[-1]))
+    for u in up[:0:-1]:
+        s.append((1 + stay * u * s[-1]) / (1 + turn * u * s[-1]))
+    return r, s[::-1]
 
 
 def forward_backward(unary: np.ndarray, n_lines: np.ndarray, stay_bad: float, to_bad: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """For each line the marginal of bad, and of bad after bad; the log of the partition sum."""
-    t = np.exp(np.array([[0.0, to_bad], [0.0, stay_bad]]))  # from good, from bad
-    bad, twice, log_z = np.zeros(len(unary)), np.zeros((len(unary), 2)), 0.0
-    for _, place in _padded(n_lines):
-        there = place >= 0
-        u = np.clip(np.where(there, unary[place], 0), -30, 30)
-        e = np.stack([np.ones_like(u), np.exp(u)], axis=2)
-        a, scale = np.empty_like(e), np.ones_like(u)
-        a[:, 0] = e[:, 0]
-        for k in range(u.shape[1]):
-            if k:
-                a[:, k] = np.where(there[:, k, None], (a[:, k - 1] @ t) * e[:, k], a[:, k - 1])
-            scale[:, k] = a[:, k].sum(axis=1)
-            a[:, k] /= scale[:, k, None]
-        log_z += np.log(scale).sum()
-        b = np.ones_like(e)
-        for k in range(u.shape[1] - 2, -1, -1):
-            onward = there[:, k + 1]
-            nxt = (b[:, k + 1] * e[:, k + 1]) @ t.T
-            b[:, k] = np.where(onward[:, None], nxt / nxt.sum(axis=1, keepdims=True), b[:, k + 1])
-        m = a * b
-        bad[place[there]] = (m[:, :, 1] / m.sum(axis=2))[there]
-        if u.shape[1] > 1:
-            # Pairs of states at each step: from good and from bad into bad.
-            joint = a[:, :-1, :, None] * t[None, None] * (e * b)[:, 1:, None, :]
-            joint /= joint.sum(axis=(2, 3), keepdims=True)
-            step = there[:, 1:]
-            twice[place[:, 1:][step]] = np.stack([joint[:, :, 0, 1], joint[:, :, 1, 1]], axis=2)[step]
-    return bad, twice, log_z
+    """For each line the marginal of bad, and of bad after bad; the log of the partition sum.
+
+    With two states a message is one number, its odds of bad against good. All
+    texts go a line further at a time and drop out where they end, so memory is a
+    few numbers a line whatever the lengths; the few longest go on alone.
+    """
+    stay, turn = float(np.exp(stay_bad)), float(np.exp(to_bad))
+    up = np.exp(np.clip(unary, -30, 30))
+    ahead, back = up.copy(), np.ones(len(up))
+    begin, order = np.cumsum(n_lines) - n_lines, np.argsort(-n_lines, kind="stable")
+    lengths = n_lines[order]
+    together = int(lengths[ALONE]) if len(lengths) > ALONE else 0
+    active = np.searchsorted(-lengths, -np.arange(together + 1), side="left")
+    firsts = begin[order]
+    for k in range(1, together):
+        at = firsts[: active[k]] + k
+        r = ahead[at - 1]
+        ahead[at] = up[at] * (turn + r * stay) / (1 + r)
+    for k in range(together - 2, -1, -1):
+        at = firsts[: active[k + 1]] + k
+        us = up[at + 1] * back[at + 1]
+        back[at] = (1 + stay * us) / (1 + turn * us)
+    for text in order[: ALONE if together else len(order)]:
+        if n_lines[text] > together:
+            own = slice(begin[text], begin[text] + n_lines[text])
+            ahead[own], back[own] = _long_chain(up[own].tolist(), stay, turn)
+    both = ahead * back
+    twice = np.zeros((len(up), 2))
+    # Pairs of states at each step: from good and from bad into bad.
+    r, us = ahead[:-1], up[1:] * back[1:]
+    total = 1 + r + us * (turn + r * stay)
+    twice[1:, 0], twice[1:, 1] = us * turn / total, us * r * stay / total
+    twice[begin] = 0
+    return both / (1 + both), twice, float(np.log1p(ahead).sum())
 
 
 class LineField:
