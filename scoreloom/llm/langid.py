@@ -5,12 +5,16 @@ text is compressed with every dictionary; the smallest result names the
 language. A text whose two smallest results are too close is marked as rejected.
 
 Fitting takes a bounded sample, ``SAMPLE_TEXTS`` texts and ``DICTIONARY_BYTES``
-bytes a language, of the rows that are not held out. It picks rows by a hash of
-their id, so it does not depend on the layout of the table.
+bytes a language, of the rows that are not held out; of a text of over
+``PIECE_CHARS`` characters one piece of that size, from a place that a hash of its
+id picks. Rows are picked by such a hash too, so the sample does not depend on the
+layout of the table.
 
 Defined results: ``und`` and score 0 for texts that are null or have no letter;
-ties go to the language with the most learned rows; with nothing to learn from
-every text is ``und``; whole texts of any length are compressed.
+ties of size go to the language with the most learned rows, then to the first by
+name, and are rejected; repeated rows get equal results; with nothing to learn
+from every text is ``und``; an empty table gives an empty result; whole texts of
+any length are compressed; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from scoreloom.llm.shared import held_out, rows_of
 
 SAMPLE_TEXTS = 400
 DICTIONARY_BYTES = 96 << 10
+PIECE_CHARS = 6 << 10
 #: Short matches count in texts of a few sentences.
 COMPRESSION = {"window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 4, "min_match": 5, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY}
 #: Rejected when the second smallest is less than this share above the smallest.
@@ -56,10 +61,12 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # A first cut by hash, in the scan, keeps about four times the sample: little text is shuffled and sorted.
     limits = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_003, 4 * SAMPLE_TEXTS * 1_000_003 // n + 1))))
     share = F.pmod(order, F.lit(1_000_003)) < F.element_at(limits, F.col(lang_col))
-    drawn = rows.where(share).select(F.col(id_col), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    text, spare = F.col(text_col).cast("string"), F.length(text_col) - PIECE_CHARS
+    piece = F.when(spare > 0, F.substring(text, (1 + F.pmod(order, spare)).cast("int"), F.lit(PIECE_CHARS))).otherwise(text)
+    drawn = rows.where(share).select(F.col(id_col), piece.alias("text"), F.col(lang_col).alias("lang"))
     ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(order, F.col(id_col), F.xxhash64("text"))))
     chosen: dict[str, list] = {}
-    for r in ranked.where(F.col("k") <= SAMPLE_TEXTS).where(F.octet_length("text") <= DICTIONARY_BYTES // 4).select("lang", "k", "text").toLocalIterator():
+    for r in ranked.where(F.col("k") <= SAMPLE_TEXTS).select("lang", "k", "text").toLocalIterator():
         chosen.setdefault((-sizes[r.lang], r.lang), []).append((r.k, prepared(r.text)))
     found = {}
     for (_, lang), texts in sorted(chosen.items()):
