@@ -13,9 +13,12 @@ Records are counted by a hash first. Only those whose hash comes again are
 compared as a whole, numbered, and then scattered, so copies spread over all
 buckets and one record may hold any share of the rows.
 
+The order is a function of the rows and the seed, whatever the partitions.
+
 Defined results: null keys are keys like any other; equal records are
-interchangeable; an empty table gives an empty result; more shards than rows
-leave shards empty.
+interchangeable; a record of any length crosses whole, in a row of its own; an
+empty table gives an empty result; more shards than rows leave shards empty; new
+columns get underscores before their names where the records have such a name.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ BUCKET_ROWS = 50_000
 BUCKET_BYTES = 32 << 20
 #: Copies of one record that one task makes.
 BLOCK = 1_000
+#: Partitions in which the permutations are made, at most; a part of the seed.
+ORDER_TASKS = 2_000
 SEED = 42
 
 
@@ -62,9 +67,14 @@ def _numbered_copies(records: DataFrame, hashed: Column, seen: DataFrame) -> Dat
     counted = rows.join(again, "key", "left_semi").groupBy("key", "record").agg(F.count("*").alias("n"))
     # Different records of one hash share its numbers.
     before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("record").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = counted.withColumn("before", before).withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(BLOCK).cast("long")))).repartition("key", "first")
-    copies = F.explode(F.sequence(F.col("first"), F.least(F.col("first") + BLOCK - 1, "n")))
-    return single.union(blocks.withColumn("at", copies).select("record", "key", (F.col("before") + F.col("at")).alias("copy")))
+    return single.union(_dealt_copies(counted.withColumn("before", before)).select("record", "key", (F.col("before") + F.col("at")).alias("copy")))
+
+
+def _dealt_copies(counted: DataFrame) -> DataFrame:
+    """Each row ``n`` times, with ``at`` from 1: blocks of ``BLOCK`` copies are dealt to tasks before they are spelled out."""
+    first = F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(BLOCK).cast("long")))
+    blocks = counted.withColumn("first", first).repartition("key", "first")
+    return blocks.withColumn("at", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + BLOCK - 1, "n")))).drop("first")
 
 
 def external_shuffle(records: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -76,10 +86,13 @@ def external_shuffle(records: DataFrame, seed: int = SEED, bucket_rows: int = BU
     buckets = max(1, -(-rows // bucket_rows), -(-total // bucket_bytes))
     bucket = F.pmod(F.xxhash64("key", "copy", F.lit(seed)), F.lit(buckets)).cast("int").alias("bucket")
     # The permutation of each bucket needs no more than its size.
-    entries = seen.select("key", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    once = seen.where("n = 1").select("key", F.lit(1).cast("long").alias("copy"))
+    entries = once.union(_dealt_copies(seen.where("n > 1").select("key", "n")).select("key", F.col("at").alias("copy")))
     starts = _prefix_sums(entries.groupBy(bucket).agg(F.count("*").alias("rows")), "bucket", "rows")
     order = F.shuffle(F.sequence(F.lit(0), F.col("rows").cast("int") - 1), F.lit(seed))
-    orders = materialize(starts.repartition("bucket").select("bucket", "before", order.alias("order")), "orders")
+    # ``shuffle`` draws on from row to row of a partition: the deal and the order of the buckets are fixed, so the permutations are.
+    dealt = starts.repartition(min(buckets, ORDER_TASKS), "bucket").sortWithinPartitions("bucket")
+    orders = materialize(dealt.select("bucket", "before", order.alias("order")), "orders")
     # Pass one.
     scattered = _numbered_copies(records, hashed, seen).select(bucket, "key", "copy", "record")
     # Pass two: numbered by hash, so that the order of arrival does not matter.
