@@ -2,8 +2,8 @@
 
 Each round points the neighbours of a node at the smallest of them; the links
 become stars after few rounds, whatever the length of the chains. Links are
-grouped with map-side minima and joined back, so a hub of any degree is one row
-on one side of a join whose other side Spark may split.
+grouped with map-side minima and joined back; the minima of hubs, of which the
+number of links bounds the count, are broadcast, so no task gathers a hub.
 """
 
 from __future__ import annotations
@@ -14,16 +14,36 @@ from pyspark.sql import functions as F
 from scoreloom.llm.shared import materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Nodes of more links than this are hubs; there are at most ``HUBS``, whose rows may be broadcast.
+HUB_LINKS, HUBS = 1_000, 100_000
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, limit: int) -> DataFrame:
+    """``rows`` joined with ``table(key, m, n)``; keys of over ``limit`` rows (``n``) are looked up where their rows lie.
+
+    The callers choose ``limit`` so that no more than ``HUBS`` keys can pass it.
+    """
+    hubs = table.where(F.col("n") > limit).select(F.col(key), F.struct("m").alias("hub"))
+    marked = rows.join(F.broadcast(hubs), key, "left")
+    rest = marked.where("hub is null").drop("hub").join(table.where(F.col("n") <= limit).select(key, "m"), key)
+    return marked.where("hub is not null").withColumn("m", F.col("hub.m")).drop("hub").unionByName(rest)
+
+
+def hub_limit(rows: int) -> int:
+    """Fewer than ``HUBS`` keys have more rows than this."""
+    return max(HUB_LINKS, -(-rows // HUBS))
+
+
+def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return split_join(both.where("v > u"), least, "u", limit).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    rest = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    rest = split_join(down, least, "u", limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).union(rest).distinct()
 
 
@@ -39,7 +59,8 @@ def connected_components(spark: SparkSession, links: DataFrame, nodes: DataFrame
     before = mark(edges)
     if before[0]:
         for _ in range(max_rounds):
-            edges = materialize(_small_star(_large_star(edges)), "stars")
+            limit = hub_limit(2 * before[0])
+            edges = materialize(_small_star(_large_star(edges, limit), limit), "stars")
             after = mark(edges)
             if after == before:
                 break
@@ -47,5 +68,6 @@ def connected_components(spark: SparkSession, links: DataFrame, nodes: DataFrame
         else:
             raise RuntimeError(f"links have not settled after {max_rounds} rounds")
     roots = nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", "rank", F.coalesce("root", "node").alias("root"))
-    ranks = roots.groupBy("root").agg(F.min("rank").alias("root_rank"))
-    return roots.join(ranks, "root").select("node", "root", "root_rank")
+    ranks = roots.groupBy("root").agg(F.min("rank").alias("m"), F.count("*").alias("n"))
+    # Nodes of links bound the large components: they are as many as the last edges, and their roots.
+    return split_join(roots, ranks, "root", hub_limit(2 * before[0])).select("node", "root", F.col("m").alias("root_rank"))
