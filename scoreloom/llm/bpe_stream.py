@@ -8,13 +8,15 @@ a higher rank and a right part that starts with the text of ``a``. The longest
 chain of that kind, summed over the lengths of the left parts, bounds how far a
 change can reach. Tokens that end further than this before the end of what has
 been read are stable, so a word of any length is encoded from a window of fixed
-size. Decoding feeds ids through a byte-to-text state machine that holds at most
-one unfinished character.
+size. A text passes through in blocks that end at white space, where all tokens
+are stable; ids leave block by block and go on to the decoder. Decoding is a state
+machine: whether a token came before (for tokens that stand apart by spaces), or
+the bytes of at most one unfinished character (for readable text).
 
 Defined results: a null text encodes as an empty one (no ids, empty decoded
 text); strings of special tokens in a text become their ids, as in the
-tokenizer itself; repeated rows and clashing columns change nothing; an empty
-table gives an empty result.
+tokenizer itself; repeated rows and clashing columns change nothing; texts and
+words of any length are encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from scoreloom.llm.shared import rows_of
 #: Words, and runs between white space, that a worker keeps encoded in each of two generations.
 CACHE_WORDS, CACHE_CHUNKS = 400_000, 150_000
 _NONE = 1 << 30
+#: Characters of a block, at least; the next white space ends it.
+BLOCK = 1 << 16
 #: White space as the tokenizer's patterns know it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -189,12 +193,23 @@ class WordTokenizer:
         self.word = Remembered(self._encode_word)
         size = max(self.table.tokens) + 1
         self.piece = [self.table.tokens.get(i, "").encode() for i in range(size)]
+        self.is_special = np.zeros(size, bool)
+        self.is_special[list(self.table.special.values())] = True
+        self.spelled = [b"" if self.is_special[i] or i not in self.table.tokens else self._spelled(i) for i in range(size)]
+
+    def _spelled(self, token_id: int) -> bytes:
+        """The bytes that a token stands for, with a space after the end of a word."""
+        table, token = self.table, self.table.tokens[token_id]
+        ended = bool(table.suffix) and token.endswith(table.suffix)
+        return bytes(table.byte_of[c] for c in table.bytes_of(token_id)) + b" " * ended
+
+    @staticmethod
+    def _normal(chunk: str) -> str:
+        return (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")).lower()
 
     def _pack(self, chunk: str) -> bytes:
         """The ids of a run of text without white space."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        chunk = chunk.lower()
+        chunk = self._normal(chunk)
         if chunk.isalpha():
             return self.word[chunk]
         body, last = chunk[:-1], chunk[-1:]
@@ -206,36 +221,86 @@ class WordTokenizer:
         ids = self.table.encode_word(word.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def encode_blocks(self, text: str) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, block by block."""
+        at = 0
+        while at < len(text):
+            cut = self.gap.search(text, at + BLOCK) if len(text) - at > BLOCK else None
+            end = cut.end() if cut else len(text)
+            if end - at > 4 * BLOCK:
+                yield from self._long_runs(text[at:end])
+            else:
+                yield self._block(text[at:end])
+            at = end
+
+    def _special_parts(self, text: str) -> list[str]:
+        """Plain text at even places, special tokens at odd ones."""
+        return self.special.split(text) if "<|" in text else [text]
+
+    def _block(self, text: str) -> bytes:
+        parts = self._special_parts(text)
+        if len(parts) == 1:
+            return self.encode_plain(text)
+        return b"".join(struct.pack("<I", self.table.special[p]) if i % 2 else self.encode_plain(p) for i, p in enumerate(parts))
+
+    def _long_runs(self, text: str) -> Iterator[bytes]:
+        """A block with a run of very many characters: its words leave one by one, and long words as their tokens get stable."""
+        for i, part in enumerate(self._special_parts(text)):
+            if i % 2:
+                yield struct.pack("<I", self.table.special[part])
+                continue
+            for run in filter(None, self.gap.split(part)):
+                for word in self.words.finditer(self._normal(run)):
+                    if len(word[0]) <= self.table.longest:
+                        yield self.word[word[0]]
+                        continue
+                    for ids in self.table.stream_word(word[0].encode()):
+                        yield struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if "<|" in text:
-            parts = self.special.split(text)
-            if len(parts) > 1:
-                return b"".join(struct.pack("<I", self.table.special[p]) if i % 2 else self.encode_plain(p) for i, p in enumerate(parts))
-        return self.encode_plain(text)
+        return b"".join(self.encode_blocks(text))
 
     def encode_plain(self, text: str) -> bytes:
         chunks = text.split() if not any(c in text for c in _SEPARATORS) else [c for c in self.gap.split(text) if c]
         return b"".join(map(self.packed.__getitem__, chunks))
 
     def decode(self, ids: list[int]) -> bytes:
-        """As the tokenizer's own decode: this kind of file has no decoder, so its tokens stand apart by spaces."""
-        if self.table.decoder is None:
-            return b" ".join(map(self.piece.__getitem__, ids))
-        return "".join(self.decode_text(ids)).encode()
-
-    def decode_text(self, ids: list[int]) -> Iterator[str]:
-        """Readable text, piece by piece: token bytes pass through an incremental UTF-8 machine."""
-        machine, table = codecs.getincrementaldecoder("utf-8")("replace"), self.table
-        for i in ids:
-            token = table.tokens[i]
-            if token in table.special:
-                yield machine.decode(b"", True) + token
-                machine.reset()
-                continue
-            ended = bool(table.suffix) and token.endswith(table.suffix)
-            yield machine.decode(bytes(table.byte_of[c] for c in table.bytes_of(i))) + " " * ended
-        yield machine.decode(b"", True)
+        """As the tokenizer's own decode."""
+        machine = Decoder(self)
+        return machine.feed(np.array(ids, np.uint32)) + machine.finish()
+
+
+class Decoder:
+    """The incremental machine from ids to UTF-8: ids in any blocks give the same bytes.
+
+    ``readable`` text is made of the tokens' bytes, which may end in the middle of
+    a character. Otherwise the text is the tokenizer's own: a kind of file without
+    a decoder sets its tokens apart by spaces.
+    """
+
+    def __init__(self, tokenizer: WordTokenizer, readable: bool = False):
+        self.tokenizer, self.apart = tokenizer, tokenizer.table.decoder is None and not readable
+        self.machine, self.started = codecs.getincrementaldecoder("utf-8")("replace"), False
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        tokens = ids.tolist()
+        if self.apart:
+            out = b" " * (self.started and bool(tokens)) + b" ".join(map(self.tokenizer.piece.__getitem__, tokens))
+            self.started = self.started or bool(tokens)
+            return out
+        out, at = [], 0
+        for k in np.flatnonzero(self.tokenizer.is_special[ids]).tolist():
+            out += [self._text(tokens[at:k]), self.finish(), self.tokenizer.piece[tokens[k]]]
+            at = k + 1
+        return b"".join([*out, self._text(tokens[at:])])
+
+    def _text(self, tokens: list[int]) -> bytes:
+        return self.machine.decode(b"".join(map(self.tokenizer.spelled.__getitem__, tokens))).encode()
+
+    def finish(self) -> bytes:
+        left = b"" if self.apart else self.machine.decode(b"", True).encode()
+        self.machine.reset()
+        return left
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -261,18 +326,26 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 
 def round_trip_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)``: encode, decode the ids, and digest both."""
+    """``(id, n_tokens, ids_sha256, decoded_sha256, readable_sha256)``: each block of ids is digested, decoded and dropped."""
+    names = ("ids_sha256", "decoded_sha256", "readable_sha256")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(path)
         for batch in batches:
             for part, texts in rows_of(batch, "text"):
-                counts, ids_hex, text_hex = [], [], []
+                counts, hexes = [], []
                 for text in texts:
-                    packed = tokenizer.encode(text)
-                    counts.append(len(packed) // 4)
-                    ids_hex.append(hashlib.sha256(packed).hexdigest())
-                    text_hex.append(hashlib.sha256(tokenizer.decode(np.frombuffer(packed, "<u4").tolist())).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(text_hex)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(digest, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                    machines, digests, n = (Decoder(tokenizer), Decoder(tokenizer, readable=True)), [hashlib.sha256() for _ in names], 0
+                    for packed in tokenizer.encode_blocks(text):
+                        ids = np.frombuffer(packed, "<u4")
+                        n += len(ids)
+                        for to, data in zip(digests, (packed, *(m.feed(ids) for m in machines)), strict=True):
+                            to.update(data)
+                    for to, machine in zip(digests[1:], machines, strict=True):
+                        to.update(machine.finish())
+                    counts.append(n)
+                    hexes.append([d.hexdigest() for d in digests])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), *(pa.array(h, pa.string()) for h in zip(*hexes, strict=True))], ["id", "n_tokens", *names])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(digest, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, readable_sha256 string")

@@ -25,7 +25,7 @@ TRAP = "\\### Assistant: </turn> ok"
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
-    turns = rows.union(extra).withColumn("parts", chat.text_parts(F.col("text")))
+    turns = rows.union(extra).withColumn("parts", chat.linked_parts(F.col("text")))
     return chat.conversation_digest(chat.format_turns(turns))
 
 
@@ -99,6 +99,16 @@ ORACLE_SQL: dict[str, str] = {
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            sum(15 + length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '>', '\g')) + length(replace(replace(text, '\', '\\'), '<', '\l')))::BIGINT AS formatted_chars
-        FROM turns GROUP BY conv_id""",
+            sum(15 + length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '>', '\g')) + length(replace(replace(plain, '\', '\\'), '<', '\l')) + marks)::BIGINT AS formatted_chars,
+            sum(len(links))::BIGINT AS n_attachments, sum(255 * images + 800 * documents)::BIGINT AS expanded_tokens
+        FROM (
+            SELECT *, regexp_replace(text, '!\[[^\]\n]*\]\([^()\s]+\)', '', 'g') AS plain, len(links) - audios - documents AS images,
+                -- <part KIND PLACE>: links stand at the odd places of a message.
+                9 * len(links) + 5 * (len(links) - audios - documents) + 5 * audios + 8 * documents - len(links)
+                    + coalesce(list_sum([length((2 * i + 1)::VARCHAR) for i in range(len(links))]), 0) AS marks
+            FROM (
+                SELECT *, len(list_filter(links, lambda x: regexp_matches(lower(x), '\.(mp3|wav|ogg|flac)\)$'))) AS audios,
+                    len(list_filter(links, lambda x: regexp_matches(lower(x), '\.(pdf|docx?|txt|md)\)$'))) AS documents
+                FROM (SELECT *, regexp_extract_all(text, '!\[[^\]\n]*\]\([^()\s]+\)') AS links FROM turns)))
+        GROUP BY conv_id""",
 }
