@@ -325,27 +325,34 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "id long, ids binary")
 
 
-def round_trip_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256, readable_sha256)``: each block of ids is digested, decoded and dropped."""
+def round_trip_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """``(id, n_tokens, ids_sha256, decoded_sha256, readable_sha256)``: each block of ids is digested, decoded and dropped.
+
+    With ``keep_ids`` they stay, in a binary column ``ids``.
+    """
     names = ("ids_sha256", "decoded_sha256", "readable_sha256")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(path)
         for batch in batches:
             for part, texts in rows_of(batch, "text"):
-                counts, hexes = [], []
+                counts, hexes, kept = [], [], []
                 for text in texts:
-                    machines, digests, n = (Decoder(tokenizer), Decoder(tokenizer, readable=True)), [hashlib.sha256() for _ in names], 0
+                    machines, digests, n, blocks = (Decoder(tokenizer), Decoder(tokenizer, readable=True)), [hashlib.sha256() for _ in names], 0, []
                     for packed in tokenizer.encode_blocks(text):
                         ids = np.frombuffer(packed, "<u4")
                         n += len(ids)
+                        if keep_ids:
+                            blocks.append(packed)
                         for to, data in zip(digests, (packed, *(m.feed(ids) for m in machines)), strict=True):
                             to.update(data)
                     for to, machine in zip(digests[1:], machines, strict=True):
                         to.update(machine.finish())
                     counts.append(n)
                     hexes.append([d.hexdigest() for d in digests])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), *(pa.array(h, pa.string()) for h in zip(*hexes, strict=True))], ["id", "n_tokens", *names])
+                    kept.append(b"".join(blocks))
+                columns = [part.column("id"), pa.array(counts, pa.int64()), *(pa.array(h, pa.string()) for h in zip(*hexes, strict=True))]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.binary())] if keep_ids else [])], ["id", "n_tokens", *names, *(["ids"] if keep_ids else [])])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(digest, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, readable_sha256 string")
+    return rows.mapInArrow(digest, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, readable_sha256 string" + ", ids binary" * keep_ids)

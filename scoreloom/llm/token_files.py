@@ -23,7 +23,7 @@ import os
 import string
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,21 +122,18 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """Writes the data set and returns its manifest ``(part, piece, name, n_docs, n_ids, id_bytes, base)``.
+def _write_files(rows: DataFrame, encoder: Callable[[], tuple[Callable, int]], folder: str, parts: int | None) -> DataFrame:
+    """Writes ``rows(id, k1, data)`` by id and returns the manifest ``(part, piece, name, n_docs, n_ids, id_bytes, base)``.
 
-    Rows are range-partitioned and sorted by document id, so the files follow
+    ``encoder`` gives, in a task, the function from ``data`` to packed ids with the
+    end id, and the width of an id. Rows are range-partitioned and sorted by id, so the files follow
     in ascending order; each task encodes its rows once and writes them as it goes.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = ["id", F.xxhash64("text"), F.monotonically_increasing_id()]
-    rows = rows.withColumns({"k1": keys[1], "k2": keys[2]})
-    rows = (rows.repartitionByRange(parts, "id", "k1", "k2") if parts else rows.repartitionByRange("id", "k1", "k2")).sortWithinPartitions("id", "k1", "k2").select("id", "text")
+    rows = rows.withColumn("k2", F.monotonically_increasing_id())
+    rows = (rows.repartitionByRange(parts, "id", "k1", "k2") if parts else rows.repartitionByRange("id", "k1", "k2")).sortWithinPartitions("id", "k1", "k2").select("id", "data")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = library_at(tokenizer_path)
-        end = struct.pack(f"<{tokenizer.code}", end_id)
+        encode, step = encoder()
         context, (fs, root) = TaskContext.get(), _filesystem(folder)
         fs.create_dir(root, recursive=True)
         part, made = context.partitionId(), []
@@ -150,16 +147,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             for kind, values in (("offsets", x["ends"]), ("docs", x["docs"])):
                 with fs.open_output_stream(f"{root}/{x['name']}.{kind}") as out:
                     out.write(np.array(values, "<i8").tobytes())
-            made.append((x["name"], len(x["docs"]), x["ends"][-1], tokenizer.step))
+            made.append((x["name"], len(x["docs"]), x["ends"][-1], step))
 
         now = None
         for batch in batches:
-            for rows, texts in rows_of(batch, "text"):
-                for doc, text in zip(rows.column("id").to_pylist(), texts, strict=True):
+            for rows, values in rows_of(batch, "data"):
+                for doc, value in zip(rows.column("id").to_pylist(), values, strict=True):
                     now = now or begin()
-                    packed = tokenizer.encode(text) + end
+                    packed = encode(value)
                     now["ids"].write(packed)
-                    now["ends"].append(now["ends"][-1] + len(packed) // tokenizer.step)
+                    now["ends"].append(now["ends"][-1] + len(packed) // step)
                     now["docs"].append(-(1 << 63) if doc is None else doc)
                     if now["ends"][-1] >= PART_IDS:
                         close(now)
@@ -174,6 +171,28 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     return written.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """Encodes the texts with the tokenizers library, writes the data set and returns its manifest."""
+
+    def encoder():
+        tokenizer = library_at(tokenizer_path)
+        end = struct.pack(f"<{tokenizer.code}", end_id)
+        return lambda text: tokenizer.encode(text) + end, tokenizer.step
+
+    return _write_files(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("k1"), F.col(text_col).cast("string").alias("data")), encoder, folder, parts)
+
+
+def write_ids(encoded: DataFrame, vocabulary: int, end_id: int, folder: str, id_col: str = "doc_id", ids_col: str = "ids", parts: int | None = None) -> DataFrame:
+    """Writes ids that are there already (little-endian, unsigned, 32 bits, in a binary column) and returns the manifest."""
+
+    def encoder():
+        code, dtype = id_format(vocabulary)
+        end = struct.pack(f"<{code}", end_id)
+        return lambda ids: np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end, np.dtype(dtype).itemsize
+
+    return _write_files(encoded.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(ids_col).alias("k1"), F.col(ids_col).alias("data")), encoder, folder, parts)
+
+
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """``(id, start, n_tokens, ids_crc32)`` of every document, from the memory-mapped files."""
 

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, and the registration of queries."""
 
 import random
+import zlib
 
 import public_tokenizers
 import pytest
@@ -8,7 +9,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from scoreloom.llm import pii, queries
+from scoreloom.llm import pii, queries, token_files
 
 from .test_operators import brute_components, brute_simhash, prose
 
@@ -30,7 +31,8 @@ def test_pipeline(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i % 8 != 0), 0) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    encoded = corpus_pipeline.run(spark, str(tmp_path)).persist()
+    got = {r.doc_id: r for r in encoded.collect()}
     good = [(i, t) for i, t in rows if "BUY!!" not in t]
     prints = sorted((i, brute_simhash(t, 5)) for i, t in good)
     alone = {c for _, c in brute_components(prints, 5)}
@@ -40,6 +42,11 @@ def test_pipeline(spark, tmp_path):
     library.no_truncation()
     for i in r.sample(sorted(want), 10) + [6]:
         assert got[i].n_tokens == len(library.encode(pii.redact(want[i], pii.find_spans(want[i])), add_special_tokens=False).ids)
+    manifest = corpus_pipeline.publish(encoded, f"{tmp_path}/tokens").persist()
+    files = token_files.read_token_files(spark, f"{tmp_path}/tokens", manifest).orderBy("id").collect()
+    assert [f.id for f in files] == list(range(len(got))) and sum(f.n_tokens for f in files) == sum(r.n_tokens + 1 for r in got.values())
+    end = (49407).to_bytes(4, "little")
+    assert sorted(f.ids_crc32 for f in files) == sorted(zlib.crc32(bytes(r.ids) + end) for r in got.values())
 
 
 def test_near_dedup_equals_brute_force_jaccard(spark):
