@@ -1,11 +1,11 @@
-"""The corpus pipeline: five stages from raw documents to encoded ones."""
+"""The corpus pipeline: five stages from raw documents to encoded ones, and ``publish`` to leave them as training files."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import bpe_stream, decontam, pii, quality_crf, shingle_dedup
+from scoreloom.llm import bpe_stream, decontam, pii, quality_crf, shingle_dedup, shuffle_shards, token_files
 from scoreloom.llm.shared import materialize
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -33,8 +33,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to."""
-    return bpe_stream.round_trip_digest(docs, WORD_BPE).withColumnRenamed("id", "doc_id")
+    """Ids of the texts, their count, and digests of the ids and of what they decode to."""
+    return bpe_stream.round_trip_digest(docs, WORD_BPE, keep_ids=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("encode", encode)]
@@ -49,3 +49,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if at < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{name}")
     return docs
+
+
+def publish(encoded: DataFrame, folder: str) -> DataFrame:
+    """Writes what ``run`` returns, shuffled, as token-id files whose ids are the places in the shuffled order; returns the manifest."""
+    table = bpe_stream.tokenizer_at(WORD_BPE).table
+    placed = shuffle_shards.external_shuffle(encoded.select("doc_id", "ids"))
+    return token_files.write_ids(placed, max(table.tokens) + 1, table.special["<|endoftext|>"], folder, placed.columns[-1])
