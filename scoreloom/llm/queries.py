@@ -111,4 +111,12 @@ ORACLE_SQL: dict[str, str] = {
                     len(list_filter(links, lambda x: regexp_matches(lower(x), '\.(pdf|docx?|txt|md)\)$'))) AS documents
                 FROM (SELECT *, regexp_extract_all(text, '!\[[^\]\n]*\]\([^()\s]+\)') AS links FROM turns)))
         GROUP BY conv_id""",
+    # Brute force: every pair of one label, and components by closure.
+    "op6_graph_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+        fine AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        reached AS (SELECT vec_id AS a, vec_id AS root FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.root)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept, 1.0::DOUBLE AS audited_recall
+        FROM v JOIN (SELECT a, min(root) AS c FROM reached GROUP BY a) x ON x.a = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) y ON y.a = v.vec_id""",
 }
