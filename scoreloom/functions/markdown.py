@@ -12,6 +12,7 @@ import re
 from itertools import groupby, takewhile
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ _ITEM = re.compile(r"(\s*)(?:[-*+]|(\d+[.)]))\s+(.+)")
 _RULE_CELL = re.compile(r":?-{3,}:?")
 _FENCE = re.compile(r"```[\s\S]*?```")
 _CODE = "<code_block/>"
+#: Costs of changes that one comparison of trees keeps at hand.
+TABLE_CELLS = 1 << 22
 
 #: A letter for each tag: headings in pairs, then blocks.
 TAGS = {f"{slash}h{n}": chr(ord("A") + 2 * (n - 1) + bool(slash)) for n in range(1, 7) for slash in ("", "/")} | dict(
@@ -192,7 +195,8 @@ def _children(tree: Tree) -> list[list[int]]:
 def tree_distance(a: Tree, b: Tree) -> int:
     """Top-down ordered distance: a subtree costs its size to insert or delete, a label one to change.
 
-    Equal subtrees are recognised by their shape, so repeated structure is compared once.
+    Equal subtrees are recognised by their shape, so only pairs of different shapes
+    are compared, each once. A row of the table of two lists of children is an array.
     """
     kids = _children(a), _children(b)
     shapes: dict = {}
@@ -207,21 +211,26 @@ def tree_distance(a: Tree, b: Tree) -> int:
     known: dict[tuple[int, int], int] = {}
 
     def compare(i: int, j: int) -> int | None:
-        """The distance of two nodes, or None after asking for children that are not known yet."""
+        """The distance of two nodes, or None after asking for shapes of children that are not known yet."""
         left, right = kids[0][i], kids[1][j]
-        need = [(x, y) for x in left for y in right if (forms[0][x], forms[1][y]) not in known]
+        some, other = ({forms[side][x]: x for x in nodes} for side, nodes in ((0, left), (1, right)))
+        need = [(x, y) for f, x in some.items() for g, y in other.items() if (f, g) not in known]
         if need:
             todo.extend(need)
             return None
-        row = [0]
-        for y in right:
-            row.append(row[-1] + b.sizes[y])
+        place = {g: k for k, g in enumerate(other)}
+        at = np.array([place[forms[1][y]] for y in right], np.int64)
+        costs = {f: np.array([known[f, g] for g in other], np.int64)[at] if right else at for f in some} if len(some) * len(right) < TABLE_CELLS else None
+        grown = np.cumsum([0, *(b.sizes[y] for y in right)])
+        row = grown
         for x in left:
-            new = [row[0] + a.sizes[x]]
-            for k, y in enumerate(right):
-                new.append(min(row[k + 1] + a.sizes[x], new[k] + b.sizes[y], row[k] + known[forms[0][x], forms[1][y]]))
-            row = new
-        return row[-1] + (a.labels[i] != b.labels[j])
+            f = forms[0][x]
+            change = costs[f] if costs is not None else np.array([known[f, g] for g in other], np.int64)[at]
+            new = row + a.sizes[x]
+            new[1:] = np.minimum(new[1:], row[:-1] + change)
+            # An insertion reaches on to the right: the least start, and the sizes from there.
+            row = np.minimum.accumulate(new - grown) + grown
+        return int(row[-1]) + (a.labels[i] != b.labels[j])
 
     todo = [(0, 0)]
     while todo:

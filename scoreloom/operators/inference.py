@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.functions import tails
-from scoreloom.operators.ranks import average_rank, block_rank, tie_sum
+from scoreloom.operators.ranks import average_rank, block_rank, exact_median, ranked_values, tie_sum
+
+
+#: Cells of a table that the driver may hold.
+MAX_CELLS = 10_000
 
 
 def _tail(function, *columns) -> Column:
@@ -40,17 +44,19 @@ def one_way_f(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     total = cells.agg(F.count("*").alias("k"), F.sum("n").alias("N"), F.sum("w").alias("within"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
     between = F.col("q") - F.col("s") * F.col("s") / F.col("N")
     df1, df2 = F.col("k") - 1, F.col("N") - F.col("k")
-    return total.select(F.try_divide(between / df1, F.col("within") / df2).alias("f"), df1.alias("df1"), df2.alias("df2"))
+    return total.select(F.try_divide(F.try_divide(between, df1), F.try_divide("within", df2)).alias("f"), df1.alias("df1"), df2.alias("df2"))
 
 
-def brown_forsythe(rows: DataFrame, group: list[str], value: str, exact: bool = True) -> DataFrame:
-    """One-way F of the distances to each cell's median; ``exact=False`` for cells too large to hold."""
-    middle = F.percentile(value, 0.5) if exact else F.percentile_approx(value, 0.5)
-    return one_way_f(rows.join(rows.groupBy(*group).agg(middle.alias("__median")), group).withColumn("__d", F.abs(F.col(value) - F.col("__median"))), group, "__d")
+def brown_forsythe(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """One-way F of the distances to each cell's median."""
+    middle = exact_median(rows, value, group).withColumnRenamed("median", "__median")
+    return one_way_f(rows.join(middle, group).withColumn("__d", F.abs(F.col(value) - F.col("__median"))), group, "__d")
 
 
 def two_way_anova(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
-    """Type-II sums of squares of two factors and their interaction, from one row a cell."""
+    """Type-II sums of squares of two factors and their interaction, from one row a cell; an error above ``MAX_CELLS``."""
+    if len(rows.where(F.col(value).isNotNull()).select(a, b).distinct().limit(MAX_CELLS + 1).collect()) > MAX_CELLS:
+        raise ValueError(f"over {MAX_CELLS} cells of {a} and {b}")
     cells = rows.where(F.col(value).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count("*")).alias("w")).toPandas()
     n, m = cells["n"].to_numpy(float), cells["m"].to_numpy(float)
 
@@ -58,7 +64,7 @@ def two_way_anova(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
         design = np.column_stack([np.ones(len(cells)), *(pd.get_dummies(cells[f], drop_first=True).to_numpy(float) for f in factors)])
         root = np.sqrt(n)
         fit = design @ np.linalg.lstsq(design * root[:, None], m * root, rcond=None)[0]
-        return float((n * (m - fit) ** 2).sum()), np.linalg.matrix_rank(design)
+        return float((n * (m - fit) ** 2).sum()), int(np.linalg.matrix_rank(design)) if len(design) else 0
 
     both, rank = explained(a, b)
     parts = [(a, explained(b)), (b, explained(a))]
@@ -77,7 +83,7 @@ def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
     total = sums.agg(F.sum("n").cast("double").alias("N"), F.count("*").alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q")).crossJoin(F.broadcast(tie_sum(rows, value)))
     n = F.col("N")
     h = 12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
-    return total.select(F.try_divide(h, 1 - F.col("ties") / (n * n * n - n)).alias("h"), (F.col("k") - 1).alias("df"))
+    return total.select(F.try_divide(h, 1 - F.try_divide("ties", n * n * n - n)).alias("h"), (F.col("k") - 1).alias("df"))
 
 
 def friedman(rows: DataFrame, block: str, treatment: str, value: str, treatments: int) -> DataFrame:
@@ -118,16 +124,16 @@ def paired_differences(rows: DataFrame, pairs: list[tuple[str, str]], block: str
     return wide.select(block, F.explode(each).alias("e")).select("e.comparison", block, "e.d").where("d is not null")
 
 
-def _both_sides(rows: DataFrame, column: str, value: str, pairs: list[tuple[str, str]]) -> DataFrame:
+def both_sides(rows: DataFrame, column: str, value: str, pairs: list[tuple[str, str]], keep: list[str] | None = None) -> DataFrame:
     """Each row once for every listed pair that it is in, with its side."""
     own = F.filter(F.array(*(F.struct(F.lit(f"{a} vs {b}").alias("comparison"), F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs)), lambda p: (p["x"] == F.col(column)) | (p["y"] == F.col(column)))
-    return rows.where(F.col(value).isNotNull()).select(F.explode(own).alias("p"), F.col(column).alias("__g"), F.col(value).alias("v")).select("p.comparison", (F.col("p.x") == F.col("__g")).alias("first"), "v")
+    return rows.where(F.col(value).isNotNull()).select(F.explode(own).alias("p"), F.col(column).alias("__g"), F.col(value).alias("v"), *(keep or [])).select("p.comparison", (F.col("p.x") == F.col("__g")).alias("first"), "v", *(keep or []))
 
 
 def mann_whitney(rows: DataFrame, column: str, value: str, pairs: list[tuple[str, str]] | None = None, levels: list[str] | None = None) -> DataFrame:
     """U, rank-biserial r, z with tie and continuity correction, Cohen's d and the mean difference of each pair."""
     pairs = pairs or list(combinations(sorted(levels), 2))
-    both = _both_sides(rows, column, value, pairs)
+    both = both_sides(rows, column, value, pairs)
     ranked = average_rank(both, "v", ["comparison"])
     one, two = F.when(F.col("first"), F.col("v")), F.when(~F.col("first"), F.col("v"))
     sums = ranked.groupBy("comparison").agg(
@@ -137,11 +143,11 @@ def mann_whitney(rows: DataFrame, column: str, value: str, pairs: list[tuple[str
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    pooled = F.sqrt(((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2")) / (n - 2))
-    d = F.when(pooled == 0, 0.0).otherwise((F.col("m1") - F.col("m2")) / pooled)
+    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide("ties", n * (n - 1))))
+    pooled = F.sqrt(F.try_divide((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2"), n - 2))
+    d = F.when(pooled == 0, 0.0).otherwise(F.try_divide(F.col("m1") - F.col("m2"), pooled))
     z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, spread)
-    return sums.select("comparison", "n1", "n2", (F.col("m1") - F.col("m2")).alias("delta"), u.alias("u"), (2 * u / (n1 * n2) - 1).alias("r"), d.alias("d"), z.alias("z"))
+    return sums.select("comparison", "n1", "n2", (F.col("m1") - F.col("m2")).alias("delta"), u.alias("u"), (2 * F.try_divide(u, n1 * n2) - 1).alias("r"), d.alias("d"), z.alias("z"))
 
 
 def spearman(rows: DataFrame, a: str, b: str, group: list[str] | None = None) -> DataFrame:
@@ -170,54 +176,10 @@ def ols_with_loocv(rows: DataFrame, response: str, regressors: list[str]) -> Dat
     fit = sum(F.col(c) * float(w) for c, w in zip(names, beta, strict=True))
     leverage = sum(F.col(a) * F.col(b) * float(inverse[i, j]) for i, a in enumerate(names) for j, b in enumerate(names))
     error = F.col("__y") - fit
-    sums = data.agg(F.sum(error * error).alias("rss"), F.sum(F.pow(error / (1 - leverage), 2)).alias("press"), F.sum(F.pow(F.col("__y") - F.lit(moments["mean"]), 2)).alias("sst"))
+    sums = data.agg(F.sum(error * error).alias("rss"), F.sum(F.pow(F.try_divide(error, 1 - leverage), 2)).alias("press"), F.sum(F.pow(F.col("__y") - F.lit(moments["mean"]), 2)).alias("sst"))
     df1, df2 = k - 1, n - k
     r2 = 1 - F.try_divide("rss", "sst")
-    return sums.select(F.lit(n).alias("n"), r2.alias("r2"), (1 - (1 - r2) * (n - 1) / max(1, df2)).alias("adj_r2"), F.try_divide(r2 / df1, (1 - r2) / df2).alias("f"), F.lit(df1).alias("df1"), F.lit(df2).alias("df2"), (1 - F.try_divide("press", "sst")).alias("loocv_r2"))
-
-
-def draw(replicate: Column, at: Column, seed: int, n: Column) -> Column:
-    """A reproducible index from 0 to ``n`` − 1: the first eight hex digits of a digest."""
-    digest = F.md5(F.concat_ws("-", replicate.cast("string"), at.cast("string"), F.lit(str(seed))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
-
-
-def _numbered(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
-    """Values of each group in ascending order with their index, and the group size."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("v")).agg(F.count("*").alias("t"))
-    ranked = average_rank(counted.select(*group, "v", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t"))).alias("c")), "v", group)
-    tied = ranked.join(counted, [*group, "v"])
-    return tied.select(*group, "v", (F.col("rank") - (F.col("t") + 1) / 2 + F.col("c") - 1).cast("long").alias("at"))
-
-
-def _resamples(rows: DataFrame, value: str, group: list[str], replicates: int, seed: int) -> DataFrame:
-    """``(*group, rep, v)``: every replicate draws as many values as its group has."""
-    values = _numbered(rows, value, group)
-    sizes = values.groupBy(*group).agg(F.count("*").alias("n"))
-    slots = values.select(*group, F.col("at").alias("slot")).join(sizes, group) if group else values.select(F.col("at").alias("slot")).crossJoin(F.broadcast(sizes))
-    reps = rows.sparkSession.range(replicates).withColumnRenamed("id", "rep")
-    drawn = slots.crossJoin(F.broadcast(reps)).select(*group, "rep", draw(F.col("rep"), F.col("slot"), seed, F.col("n")).alias("at"))
-    return drawn.groupBy(*group, "rep", "at").agg(F.count("*").alias("k")).join(values, [*group, "at"])
-
-
-def bootstrap_mean_ci(rows: DataFrame, value: str, group: list[str], replicates: int = 5000, seed: int = 42) -> DataFrame:
-    """2.5 and 97.5 percentiles of resampled means."""
-    means = _resamples(rows, value, group, replicates, seed).groupBy(*group, "rep").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
-    return means.groupBy(*group).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-
-
-def bootstrap_rank_biserial_ci(rows: DataFrame, first: str, value: str, replicates: int = 3000, seed: int = 42) -> DataFrame:
-    """Percentile interval of r when both groups (by the boolean ``first``) are resampled.
-
-    Equal draws are counted before ranking; each replicate is ranked on its own.
-    """
-    drawn = _resamples(rows, value, [first], replicates, seed).groupBy("rep", "v").agg(F.sum(F.when(F.col(first), F.col("k")).otherwise(0)).alias("k1"), F.sum(F.when(F.col(first), 0).otherwise(F.col("k"))).alias("k2"))
-    from pyspark.sql.window import Window
-
-    below = F.coalesce(F.sum("k2").over(Window.partitionBy("rep").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = drawn.withColumn("won", F.col("k1") * (below + F.col("k2") / 2)).groupBy("rep").agg(F.sum("won").alias("u"), F.sum("k1").alias("n1"), F.sum("k2").alias("n2"))
-    r = u.select((2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1).alias("r"))
-    return r.agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))
+    return sums.select(F.lit(n).alias("n"), r2.alias("r2"), (1 - (1 - r2) * (n - 1) / max(1, df2)).alias("adj_r2"), F.try_divide(F.try_divide(r2, F.lit(df1)), F.try_divide(1 - r2, F.lit(df2))).alias("f"), F.lit(df1).alias("df1"), F.lit(df2).alias("df2"), (1 - F.try_divide("press", "sst")).alias("loocv_r2"))
 
 
 def yates_chi2(a, b, c, d) -> Column:
@@ -235,11 +197,12 @@ def sign_crosstab(rows: DataFrame, group: str, levels: tuple[str, str], value: s
     return table.select("a", "b", "c", "d", yates_chi2(a, b, c, d).alias("chi2"), F.try_divide(a + c, a + b + c + d).alias("share_positive"))
 
 
-def random_intercept(rows: DataFrame, unit: str, cells: list[str], value: str) -> DataFrame:
+def balanced_intercept(rows: DataFrame, unit: str, cells: list[str], value: str) -> DataFrame:
     """Variance of a random intercept per ``unit`` beside fixed cells, and its share (ICC).
 
     Closed form for balanced data, where it equals REML when it is not negative:
-    σ²_unit = (MS_unit − MS_residual) / k. Units with a missing cell do not count.
+    σ²_unit = (MS_unit − MS_residual) / k. Units with a missing cell do not count;
+    ``mixed.random_intercept`` takes them in.
     """
     cell = rows.groupBy(unit, *cells).agg(F.avg(value).alias("v")).where(F.col("v").isNotNull())
     size = cell.groupBy(unit).agg(F.count("*").alias("k"))
@@ -251,57 +214,36 @@ def random_intercept(rows: DataFrame, unit: str, cells: list[str], value: str) -
     treatments = full.groupBy(*cells).agg(F.avg("v").alias("m")).agg(F.count("*").alias("c"), (F.var_pop("m") * F.count("*")).alias("t"))
     j = all_.crossJoin(F.broadcast(units)).crossJoin(F.broadcast(treatments))
     ss_unit, ss_cell = F.col("s") * F.col("k"), F.col("t") * F.col("u")
-    ms_res = (F.col("total") - ss_unit - ss_cell) / ((F.col("u") - 1) * (F.col("c") - 1))
-    var_unit = F.greatest(F.lit(0.0), (ss_unit / (F.col("u") - 1) - ms_res) / F.col("k"))
+    ms_res = F.try_divide(F.col("total") - ss_unit - ss_cell, (F.col("u") - 1) * (F.col("c") - 1))
+    var_unit = F.greatest(F.lit(0.0), F.try_divide(F.try_divide(ss_unit, F.col("u") - 1) - ms_res, "k"))
     return j.select(F.col("u").alias("units"), var_unit.alias("var_unit"), ms_res.alias("var_residual"), F.try_divide(var_unit, var_unit + ms_res).alias("icc"))
 
 
-def family_contrast(rows: DataFrame, unit: str, row: str, column: str, flag: str, value: str) -> DataFrame:
-    """Effect of a flag beside row, column and a random intercept per unit, for balanced data.
+def shapiro_w(n: int, squares: float, weighted: float, spread: float, low: float, second: float, before: float, high: float) -> float:
+    """W by Royston's approximation of the weights, from sums over a sorted sample.
 
-    The unit means cancel, so least squares on the cell means gives β; its
-    standard error takes the maximum-likelihood residual variance.
+    ``squares`` is Σm² and ``weighted`` Σm·x of the expected normal order statistics m,
+    ``spread`` the sum of squared deviations, the rest the two smallest and largest values.
     """
-    keep = rows.where(F.col(value).isNotNull())
-    cells = keep.groupBy(row, column).agg(F.avg(F.col(flag).cast("double")).alias("x"), F.avg(value).alias("m"), F.count("*").alias("n")).toPandas()
-    design = np.column_stack([np.ones(len(cells)), pd.get_dummies(cells[row], drop_first=True).to_numpy(float), pd.get_dummies(cells[column], drop_first=True).to_numpy(float), cells["x"].to_numpy(float)])
-    root = np.sqrt(cells["n"].to_numpy(float))
-    beta = np.linalg.lstsq(design * root[:, None], cells["m"].to_numpy(float) * root, rcond=None)[0]
-    fitted = {(r, c): float(v) for r, c, v in zip(cells[row], cells[column], design @ beta, strict=True)}
-    spark = rows.sparkSession
-    fits = spark.createDataFrame([(r, c, v) for (r, c), v in fitted.items()], f"{row} string, {column} string, fit double")
-    errors = keep.join(F.broadcast(fits), [row, column]).withColumn("e", F.col(value) - F.col("fit"))
-    unit_means = errors.groupBy(unit).agg((F.sum("e") * F.sum("e") / F.count("*")).alias("q")).agg(F.sum("q").alias("q"), F.count("*").alias("u"))
-    s = errors.agg(F.sum(F.col("e") * F.col("e")).alias("ee"), F.count("*").alias("n")).crossJoin(unit_means).first()
-    variance = (s.ee - s.q) / (s.n - s.u)
-    inverse = np.linalg.pinv((design * root[:, None]).T @ (design * root[:, None]))
-    se = math.sqrt(max(0.0, variance * inverse[-1, -1]))
-    return spark.createDataFrame([(float(beta[-1]), se, float(beta[-1]) / se if se else None)], "beta double, se double, z double")
-
-
-def shapiro_w(values: np.ndarray) -> float:
-    """W of a sorted sample by Royston's approximation of the weights."""
-    x, n = np.sort(values), len(values)
-    if n < 3 or x[0] == x[-1]:
+    if n < 3 or not spread > 0:
         return float("nan")
-    m = np.array([_probit((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    u, mm = 1 / math.sqrt(n), float(m @ m)
-    c = m / math.sqrt(mm)
-    a = np.zeros(n)
-    # The published polynomials for the two largest weights.
-    last = c[-1] + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0], u)
     if n == 3:
-        a[-1], a[0] = math.sqrt(0.5), -math.sqrt(0.5)
-    elif n <= 5:
-        phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-        a[1:-1] = m[1:-1] / math.sqrt(phi)
-        a[-1], a[0] = last, -last
+        return 0.5 * (high - low) ** 2 / spread
+    m1, m2, u = _score(n, n), _score(n - 1, n), 1 / math.sqrt(n)
+    # The published polynomials for the two largest weights.
+    last = m1 / math.sqrt(squares) + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0], u)
+    if n <= 5:
+        phi = (squares - 2 * m1**2) / (1 - 2 * last**2)
+        total = (weighted - m1 * (high - low)) / math.sqrt(phi) + last * (high - low)
     else:
-        second = c[-2] + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0], u)
-        phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-        a[2:-2] = m[2:-2] / math.sqrt(phi)
-        a[-1], a[-2], a[0], a[1] = last, second, -last, -second
-    return float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
+        next_ = m2 / math.sqrt(squares) + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0], u)
+        phi = (squares - 2 * m1**2 - 2 * m2**2) / (1 - 2 * last**2 - 2 * next_**2)
+        total = (weighted - m1 * (high - low) - m2 * (before - second)) / math.sqrt(phi) + last * (high - low) + next_ * (before - second)
+    return float(min(1.0, total**2 / spread))
+
+
+def _score(at: int, n: int) -> float:
+    return _probit((at - 0.375) / (n + 0.25))
 
 
 def _probit(p: float) -> float:
@@ -312,11 +254,13 @@ def _probit(p: float) -> float:
 
 def shapiro_p(w: float, n: int) -> float:
     """Royston's normal approximation for 3 or more values."""
+    if w >= 1:
+        return 1.0
     if n == 3:
         return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     if n <= 11:
         g = -2.273 + 0.459 * n
-        mu, sigma = np.polyval([0.0006714 * -1, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+        mu, sigma = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
         z = (-math.log(g - math.log(1 - w)) - mu) / sigma
     else:
         y = math.log(n)
@@ -325,18 +269,44 @@ def shapiro_p(w: float, n: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+#: Up to so many values the published approximation of p was fitted.
 SHAPIRO_LIMIT = 5000
+#: Places of equal values that one row spells out.
+BLOCK = 10_000
 
 
-def shapiro_wilk(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """W and p per group; the method holds for up to 5,000 values, so larger groups are sampled by a hash and say so."""
-    sizes = rows.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("__n"))
-    chosen = rows.where(F.col(value).isNotNull()).join(sizes, group).withColumn("__h", F.xxhash64(*rows.columns)).where((F.col("__n") <= SHAPIRO_LIMIT) | (F.pmod("__h", F.lit(1_000_003)) < 1_000_003 * SHAPIRO_LIMIT / F.col("__n")))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*group).schema), "n long", "used long", "w double", "p double"])
+@F.arrow_udf(T.DoubleType())
+def _scores(at: pa.Array, n: pa.Array) -> pa.Array:
+    from statistics import NormalDist
+
+    inverse = NormalDist().inv_cdf
+    return pa.array([inverse((a - 0.375) / (k + 0.25)) for a, k in zip(at.to_pylist(), n.to_pylist(), strict=True)], pa.float64())
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("__h")[value].to_numpy(float)[:SHAPIRO_LIMIT]
-        w = shapiro_w(x)
-        return pd.DataFrame([[*(pdf[g].iloc[0] for g in group), int(pdf["__n"].iloc[0]), len(x), w, shapiro_p(w, len(x)) if w == w else None]], columns=[*group, "n", "used", "w", "p"])
 
-    return chosen.groupBy(*group).applyInPandas(test, schema)
+def shapiro_wilk(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``(n, w, p, fitted_range)`` per group, over all its values whatever their number.
+
+    Distinct values are ranked in buckets, so no task holds a group; each place of
+    a tie has its own weight. ``fitted_range`` tells whether p is inside the range
+    for which the approximation was published.
+    """
+    ranked = ranked_values(rows, value, group)
+    sizes = ranked.groupBy(*group).agg(F.sum("__t").alias("n"))
+    placed = (ranked.join(sizes, group) if group else ranked.crossJoin(F.broadcast(sizes))).withColumn("first", (F.col("rank") - (F.col("__t") - 1) / 2).cast("long"))
+    blocks = placed.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__t") - 1, F.lit(BLOCK).cast("long"))))
+    places = blocks.withColumn("at", F.explode(F.sequence(F.col("first") + F.col("from"), F.col("first") + F.least(F.col("from") + BLOCK, F.col("__t")) - 1)))
+    places = places.withColumn("m", _scores("at", "n")).withColumn("__v", F.col("__v").cast("double"))
+    pick = lambda k: F.max(F.when(F.col("at") == k, F.col("__v")))
+    n = F.col("n")
+    sums = places.groupBy(*group, "n").agg(F.sum(F.col("m") * F.col("m")).alias("squares"), F.sum(F.col("m") * F.col("__v")).alias("weighted"), (F.var_pop("__v") * F.count("*")).alias("spread"), pick(1).alias("low"), pick(F.least(F.lit(2), n)).alias("second"), pick(F.greatest(n - 1, F.lit(1))).alias("before"), pick(n).alias("high"))
+    whole = lambda f: lambda n, *x: f(int(n), *x)
+    tested = sums.withColumn("w", F.nanvl(_tail(whole(shapiro_w), "n", "squares", "weighted", "spread", "low", "second", "before", "high"), F.lit(None).cast("double")))
+    return tested.withColumn("p", _tail(whole(lambda n, w: shapiro_p(w, n)), "n", "w")).select(*group, "n", "w", "p", (n <= SHAPIRO_LIMIT).alias("fitted_range"))
+
+
+def normality(rows: DataFrame, group: list[str], value: str, alpha: float = 0.05) -> DataFrame:
+    """The residuals of the cell means as one sample, and how many cells are not normal."""
+    means = rows.where(F.col(value).isNotNull()).groupBy(*group).agg(F.avg(value).alias("__m"))
+    residuals = rows.join(means, group).withColumn("__r", F.col(value) - F.col("__m"))
+    cells = shapiro_wilk(rows, group, value).agg(F.count("*").alias("cells"), F.sum((F.coalesce("p", F.lit(1.0)) < alpha).cast("long")).alias("violating_cells"))
+    return shapiro_wilk(residuals, [], "__r").crossJoin(F.broadcast(cells))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.functions.names import is_valid
-from scoreloom.functions.tokens import ngram_counts, tokenize_chars, tokenize_rouge, tokenize_terms
+from scoreloom.functions.tokens import tokenize_chars, tokenize_rouge, tokenize_terms
 from scoreloom.operators.pairs import KEY, make_pairs, overlap, select_models
 
 PAIR = [*KEY, "reference_model", "comparison_model"]
@@ -18,6 +19,8 @@ DOC = [*KEY, "model"]
 #: Fixed: the weights of the four sentence scores, the third as published.
 BLEU_WEIGHTS = ((1.0,), (0.5, 0.5), (0.33, 0.33, 0.33), (0.25, 0.25, 0.25, 0.25))
 BLEU_EPSILON = 0.1
+#: Terms of the most documents, whose weights may be broadcast.
+COMMON = 50_000
 
 
 def term_counts(corpus: DataFrame) -> DataFrame:
@@ -25,16 +28,21 @@ def term_counts(corpus: DataFrame) -> DataFrame:
 
 
 def tfidf_fit(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(*DOC, term, weight)`` with unit length, and ``(term, idf)``, over all documents of enough text."""
+    """``(*DOC, term, weight)`` with unit length, and ``(term, idf, df)``, over all documents of enough text."""
     fitted = corpus.where(is_valid(F.col("text")))
     counts = term_counts(fitted)
     n = fitted.agg(F.count("*").alias("n_docs"))
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"), "df")
     return tfidf_transform(counts, idf), idf
 
 
 def tfidf_transform(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    raw = counts.join(idf, "term").withColumn("w", F.col("count") * F.col("idf"))
+    """Weights of unit length. The ``COMMON`` terms of most documents are looked up where the counts lie, so none gathers its rows."""
+    common = idf.orderBy(F.desc("df"), "term").limit(COMMON).select("term", F.col("idf").alias("common_idf"))
+    marked = counts.join(F.broadcast(common), "term", "left")
+    rest = marked.where("common_idf is null").drop("common_idf").join(idf.select("term", "idf"), "term")
+    looked_up = marked.where("common_idf is not null").withColumnRenamed("common_idf", "idf")
+    raw = looked_up.unionByName(rest).withColumn("w", F.col("count") * F.col("idf"))
     norms = raw.groupBy(*DOC).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, DOC).select(*DOC, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -61,20 +69,78 @@ def vocab_overlap_f1(corpus: DataFrame, references: list[str], candidates: list[
     return pairs.join(shared, PAIR, "left").select(*PAIR, F.coalesce(f1, F.lit(0.0)).alias("f1_score"))
 
 
-def _ngram_pairs(corpus: DataFrame, references: list[str], candidates: list[str], tokens: Column, orders: tuple[int, ...], glue: str) -> DataFrame:
-    """A row per ordered pair and order: ``overlap`` and both sides' token counts."""
+#: Odd factors that tell the places of the tokens of a gram apart.
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _gram_profiles(orders: tuple[int, ...]):
+    """An Arrow function from token codes to the sorted gram hashes of each order and their counts, packed."""
+
+    @F.arrow_udf(T.BinaryType())
+    def profiles(codes: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(codes)):
+            own = codes[i].values.to_numpy().view(np.uint64) if codes[i].is_valid else np.zeros(0, np.uint64)
+            parts = []
+            for n in orders:
+                size = max(0, len(own) - n + 1)
+                mixed = np.zeros(size, np.uint64)
+                for k in range(n if size else 0):
+                    mixed = (mixed ^ own[k : k + size]) * _FACTORS[k]
+                    mixed ^= mixed >> np.uint64(29)
+                hashes, counts = np.unique(mixed, return_counts=True)
+                parts += [np.array([len(hashes)], np.int64).tobytes(), hashes.tobytes(), counts.astype(np.uint32).tobytes()]
+            out.append(b"".join(parts))
+        return pa.array(out, pa.binary())
+
+    return profiles
+
+
+def _unpacked(profile: bytes, orders: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    found, at = [], 0
+    for _ in range(orders):
+        n = int(np.frombuffer(profile, np.int64, 1, at)[0])
+        found.append((np.frombuffer(profile, np.uint64, n, at + 8), np.frombuffer(profile, np.uint32, n, at + 8 + 8 * n)))
+        at += 8 + 12 * n
+    return found
+
+
+def _shared_grams(orders: tuple[int, ...]):
+    """An Arrow function from two profiles to the clipped overlap of each order."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def shared(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            counts = []
+            for (x, n), (y, m) in zip(_unpacked(a, len(orders)), _unpacked(b, len(orders)), strict=True):
+                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                counts.append(int(np.minimum(n[i], m[j]).sum()))
+            out.append(counts)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return shared
+
+
+def _ngram_pairs(corpus: DataFrame, references: list[str], candidates: list[str], tokens: Column, orders: tuple[int, ...]) -> DataFrame:
+    """A row per ordered pair and order: ``overlap`` and both sides' token counts.
+
+    Grams are counted once a text, inside its row; pairs meet on the document and
+    compare sorted hashes. Only texts' profiles are shuffled, never grams.
+    """
     wanted = select_models(corpus, sorted({*references, *candidates})).select(*DOC, tokens.alias("tokens"))
-    sizes = wanted.select(*DOC, F.size("tokens").alias("size"))
-    counts = ngram_counts(wanted, DOC, "tokens", orders, glue)
-    shared = overlap(counts, ["n", "gram"], references, candidates, lambda r, c: F.least(r, c))
-    pairs = make_pairs(select_models(sizes, references), select_models(sizes, candidates)).withColumn("n", F.explode(F.array(*map(F.lit, orders))))
-    return pairs.join(shared, [*PAIR, "n"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    codes = F.transform("tokens", lambda t: F.xxhash64(t))
+    own = wanted.select(*DOC, F.size("tokens").alias("size"), _gram_profiles(orders)(codes).alias("grams"))
+    pairs = make_pairs(select_models(own, references), select_models(own, candidates))
+    shared = pairs.withColumn("shared", _shared_grams(orders)("ref_grams", "cand_grams")).drop("ref_grams", "cand_grams")
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, orders)).alias("n"), F.col("shared").alias("overlap")))
+    return shared.select(*PAIR, "ref_size", "cand_size", each.alias("o")).select(*PAIR, "ref_size", "cand_size", F.col("o.n").alias("n"), F.col("o.overlap").alias("overlap"))
 
 
 def rouge(corpus: DataFrame, references: list[str], candidates: list[str]) -> DataFrame:
     """``rouge1`` and ``rouge2``: F of clipped n-gram recall and precision; 0 if a text is too short."""
     tokens = F.when(is_valid(F.col("text")), tokenize_rouge(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    rows = _ngram_pairs(corpus, references, candidates, tokens, (1, 2), " ")
+    rows = _ngram_pairs(corpus, references, candidates, tokens, (1, 2))
     grams = lambda side: F.greatest(F.col(f"{side}_size") - F.col("n") + 1, F.lit(0))
     f = F.coalesce(F.try_divide(2.0 * F.col("overlap"), grams("ref") + grams("cand")), F.lit(0.0))
     return rows.groupBy(*PAIR).agg(*(F.max(F.when(F.col("n") == n, f)).alias(f"rouge{n}") for n in (1, 2)))
@@ -111,7 +177,7 @@ def rouge_l(references: pa.Array, candidates: pa.Array) -> pa.Array:
 
 def bleu(corpus: DataFrame, references: list[str], candidates: list[str], tokens: Column | None = None) -> DataFrame:
     """Mean of four smoothed sentence scores over characters, or over a token column that the caller supplies."""
-    rows = _ngram_pairs(corpus, references, candidates, tokens if tokens is not None else tokenize_chars(F.col("text")), (1, 2, 3, 4), "")
+    rows = _ngram_pairs(corpus, references, candidates, tokens if tokens is not None else tokenize_chars(F.col("text")), (1, 2, 3, 4))
     total = F.greatest(F.col("cand_size") - F.col("n") + 1, F.lit(1))
     precision = F.when(F.col("overlap") == 0, F.lit(BLEU_EPSILON)).otherwise(F.col("overlap")) / total
     wide = rows.groupBy(*PAIR, "ref_size", "cand_size").agg(*(F.max(F.when(F.col("n") == n, F.log(precision))).alias(f"l{n}") for n in range(1, 5)), F.max(F.when(F.col("n") == 1, F.col("overlap"))).alias("hits"))

@@ -43,8 +43,8 @@ def label_from_folder(path: Column) -> Column:
 
 
 def split_80_20(rows: DataFrame, key: str, seed: int = 42, share: float = 0.8) -> DataFrame:
-    """``part``: the first ⌊0.8 n⌋ rows in the order of a seeded hash of the key train, the rest validate."""
-    hashed = rows.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    """``part``: the first ⌊0.8 n⌋ rows in the order of a seeded digest of the key train, the rest validate."""
+    hashed = rows.withColumn("__h", F.conv(F.substring(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), 1, 15), 16, 10).cast("long"))
     ranked = average_rank(hashed, "__h", name="__r").crossJoin(F.broadcast(rows.agg(F.count("*").alias("__n"))))
     return ranked.withColumn("part", F.when(F.col("__r") <= F.floor(F.col("__n") * share), "train").otherwise("validation")).drop("__h", "__r", "__n")
 

@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 BUCKETS = 64
 
 
-def average_rank(rows: DataFrame, value: str, group: list[str] | None = None, name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
-    """``rows`` with the rank of ``value``, ties averaged, within ``group`` or over all rows. Nulls have no rank.
+def ranked_values(rows: DataFrame, value: str, group: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """``(*group, __v, __t, rank)``: the distinct values of a group, how often each occurs, and its rank, ties averaged.
 
     Distinct values are counted first and cut into buckets at quantiles. Only a
     bucket is ordered by a window; prefix sums over the bucket totals, a few rows
@@ -27,8 +27,26 @@ def average_rank(rows: DataFrame, value: str, group: list[str] | None = None, na
     totals = totals.select(*group, "__b", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(*group, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.withColumn("__in", F.coalesce(F.sum("__t").over(inside), F.lit(0))).join(totals, [*group, "__b"])
-    ranked = ranked.select(*group, F.col("__v"), (F.col("__before") + F.col("__in") + (F.col("__t") + 1) / 2).alias(name))
-    return rows.join(ranked.withColumnRenamed("__v", value), [*group, value], "left").select(*rows.columns, name)
+    return ranked.select(*group, "__v", "__t", (F.col("__before") + F.col("__in") + (F.col("__t") + 1) / 2).alias("rank"))
+
+
+def average_rank(rows: DataFrame, value: str, group: list[str] | None = None, name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
+    """``rows`` with the rank of ``value``, ties averaged, within ``group`` or over all rows. Nulls have no rank."""
+    group = group or []
+    ranked = ranked_values(rows, value, group, buckets).select(*group, F.col("__v").alias(value), F.col("rank").alias(name))
+    return rows.join(ranked, [*group, value], "left").select(*rows.columns, name)
+
+
+def exact_median(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """``median`` of each group, read off the ranks: of the values that hold the middle places."""
+    ranked = ranked_values(rows, value, group)
+    sizes = ranked.groupBy(*group).agg(F.sum("__t").alias("__n"))
+    last = F.col("rank") + (F.col("__t") - 1) / 2
+    first = F.col("rank") - (F.col("__t") - 1) / 2
+    holds = lambda place: (first <= place) & (place <= last)
+    lower, upper = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
+    middle = ranked.join(sizes, group).where(holds(lower) | holds(upper))
+    return middle.groupBy(*group).agg(((F.min("__v") + F.max("__v")) / 2).alias("median"))
 
 
 def block_rank(value: str, block: list[str]) -> Column:

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import names, tokens
-from scoreloom.operators import inference, lexical, pairs, predictions, ranks, scores, structure, vectors
+from scoreloom.operators import bootstrap, family, inference, lexical, mixed, pairs, predictions, ranks, scores, structure, vectors
+from scoreloom.plans import jobs
 from scoreloom.sources import corpus as sources
 
 REFERENCES = [f"src{i}" for i in range(5)]
@@ -72,7 +73,22 @@ def evaluations(spark: SparkSession, sf_dir: str, references: list[str] = REFERE
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluations for the rank statistics, which read their rows several times."""
-    return evaluations(spark, sf_dir).select("document_id", "DocType", "Reference", "Model", *scores.METRICS, "OverallScore", "same_family").persist()
+    return kept(evaluations(spark, sf_dir).select("document_id", "DocType", "Reference", "Model", *scores.METRICS, "OverallScore", "same_family"))
+
+
+_KEPT: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` persisted until the next query persists its own: at most ``KEPT`` tables are held."""
+    while len(_KEPT) >= KEPT:
+        _KEPT.pop(0).unpersist()
+    _KEPT.append(df.persist())
+    return df
+
+
+#: Two, as one query reads up to two such tables.
+KEPT = 2
 
 
 def _quoted(values) -> str:
@@ -298,7 +314,11 @@ def emd_similarity(spark, sf_dir):
     return vectors.emd_similarity(*_sides(_vectors(spark, sf_dir).select(*lexical.DOC, F.col("chunk").alias("at"), "vec")))
 
 
-@register()
+@register("""WITH e AS (SELECT (vec_id // 40)::VARCHAR AS document_id, 'm' || ((vec_id // 10) % 4) AS model, vec_id % 10 AS at, vec_id % 10 // 5 AS chunk, embedding::DOUBLE[] AS v FROM embeddings),
+c AS (SELECT r.document_id, r.model AS reference_model, c.model AS comparison_model, r.chunk, r.at AS ra, c.at AS ca, coalesce(list_cosine_similarity(r.v, c.v), 0) AS s FROM e r JOIN e c ON r.document_id = c.document_id AND r.chunk = c.chunk WHERE r.model IN ('m0', 'm1') AND c.model IN ('m2', 'm3')),
+a AS (SELECT document_id, reference_model, comparison_model, chunk, avg(b) AS s FROM (SELECT document_id, reference_model, comparison_model, chunk, ra, max(s) AS b FROM c GROUP BY ALL) GROUP BY ALL),
+b AS (SELECT document_id, reference_model, comparison_model, chunk, avg(b) AS s FROM (SELECT document_id, reference_model, comparison_model, chunk, ca, max(s) AS b FROM c GROUP BY ALL) GROUP BY ALL)
+SELECT document_id, 'ADR' AS doc_type, reference_model, comparison_model, round(avg(CASE WHEN a.s + b.s = 0 THEN 0 ELSE 2 * a.s * b.s / (a.s + b.s) END), 6) AS bertscore FROM a JOIN b USING (document_id, reference_model, comparison_model, chunk) GROUP BY ALL""")
 def bertscore(spark, sf_dir):
     rows = _vectors(spark, sf_dir).withColumns({"at": F.col("chunk") % 5, "chunk": F.floor(F.col("chunk") / 5).cast("int"), "n_chunks": F.lit(2), "chunk_len": F.lit(500)})
     return vectors.bertscore(*_sides(rows))
@@ -393,7 +413,7 @@ def _words(spark, sf_dir):
 
 def signals(spark, sf_dir):
     rows = evaluations(spark, sf_dir).join(_words(spark, sf_dir), ["document_id", "Model"], "left")
-    return scores.document_signals(rows).persist()
+    return kept(scores.document_signals(rows))
 
 
 _SIGNALS = rf"""{EV}, w AS (SELECT document_id, model AS Model, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))::DOUBLE AS output_words FROM g),
@@ -505,7 +525,7 @@ _CENTERED = f"{EV}, c AS (SELECT document_id, Reference, Model, avg(OverallScore
 
 
 def centered(spark, sf_dir):
-    return ranks.centered_documents(evaluations(spark, sf_dir), len(REFERENCES), len(LOCALS)).persist()
+    return kept(ranks.centered_documents(evaluations(spark, sf_dir), len(REFERENCES), len(LOCALS)))
 
 
 @register(f"{_CENTERED} SELECT document_id, Reference, Model, round(residual, 6)::DOUBLE AS residual FROM dc")
@@ -557,6 +577,12 @@ def shapiro_wilk(spark, sf_dir):
     return inference.shapiro_wilk(evaluations(spark, sf_dir).select("document_id", "Reference", "Model", "OverallScore"), ["Reference", "Model"], "OverallScore")
 
 
+@register()
+def normality(spark, sf_dir):
+    """The residuals of the cell means as one sample, and the number of cells that are not normal."""
+    return inference.normality(evaluations(spark, sf_dir).select("document_id", "Reference", "Model", "OverallScore"), ["Reference", "Model"], "OverallScore")
+
+
 @register("""WITH r AS (SELECT event_type, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r FROM events WHERE value IS NOT NULL), s AS (SELECT count(*)::DOUBLE AS n, sum(r)::DOUBLE AS r FROM r GROUP BY event_type),
 t AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*)::DOUBLE AS t FROM events WHERE value IS NOT NULL GROUP BY value)), z AS (SELECT sum(n) AS n, count(*) AS k, sum(r * r / n) AS q FROM s)
 SELECT round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) AS h, k - 1 AS df FROM z, t""")
@@ -621,26 +647,88 @@ def doc_type_mann_whitney(spark, sf_dir):
 
 
 _FAMILY_RESIDUALS = " OR ".join(f"(Reference = '{r}' AND Model = '{c}')" for r, c, _ in FAMILIES)
-_DRAW = "('0x' || substr(md5(rep || '-' || slot || '-42'), 1, 8))::BIGINT % n"
+_WALK = f"('0x' || substr(h, 1, 8))::BIGINT % {bootstrap.PRIME} AS a, ('0x' || substr(h, 9, 8))::BIGINT % {bootstrap.PRIME - 1} + 1 AS b"
+_KEY_DIGEST = "md5(document_id || '-' || Reference || '-' || Model || '-42')"
+_WEIGHT = " + ".join(f"((a + rep * b) % {bootstrap.PRIME} >= {x})::INT" for x in bootstrap.STEPS)
+
 
+def _mean_ci_sql(group: str, source: str) -> str:
+    """Percentiles of resampled means of ``source(group, v, h)``, as the tables ``m`` and ``ci``."""
+    return f"""w0 AS (SELECT {group}, v, {_WALK} FROM ({source})), w1 AS (SELECT {group}, v, rep, {_WEIGHT} AS k FROM w0, (SELECT unnest(range(0, 5000)) AS rep)),
+m AS (SELECT {group}, rep, sum(k * v) / sum(k) AS m FROM w1 GROUP BY ALL), ci AS (SELECT {group}, round(quantile_cont(m, 0.025), 6)::DOUBLE AS low, round(quantile_cont(m, 0.975), 6)::DOUBLE AS high FROM m GROUP BY {group})"""
 
-@register(f"""{_CENTERED}, v AS (SELECT Reference, residual AS v, row_number() OVER (PARTITION BY Reference ORDER BY residual) - 1 AS at, count(*) OVER (PARTITION BY Reference) AS n FROM dc WHERE residual IS NOT NULL AND ({_FAMILY_RESIDUALS})),
-d AS (SELECT Reference, rep, {_DRAW.replace('slot', 'v.at')} AS at FROM v CROSS JOIN (SELECT unnest(range(0, 5000)) AS rep)), m AS (SELECT d.Reference, rep, avg(v) AS m FROM d JOIN v ON v.Reference = d.Reference AND v.at = d.at GROUP BY ALL)
-SELECT Reference, round(quantile_cont(m, 0.025), 6)::DOUBLE AS low, round(quantile_cont(m, 0.975), 6)::DOUBLE AS high FROM m GROUP BY Reference""")
+
+@register(f"{_CENTERED}, {_mean_ci_sql('Reference', f'SELECT Reference, residual AS v, {_KEY_DIGEST} AS h FROM dc WHERE residual IS NOT NULL AND ({_FAMILY_RESIDUALS})')} SELECT * FROM ci")
 def bootstrap_mean_ci(spark, sf_dir):
     rows = centered(spark, sf_dir).where(_FAMILY_RESIDUALS)
-    return inference.bootstrap_mean_ci(rows, "residual", ["Reference"])
+    return bootstrap.bootstrap_mean_ci(rows, "residual", ["Reference"], family.KEY)
 
 
-@register()
+def _biserial_ci_sql(source: str) -> str:
+    """Percentiles of resampled rank-biserial r of ``source(comparison, first, v, h)``, as the table ``rci``."""
+    return f"""b0 AS (SELECT comparison, first, v, {_WALK} FROM ({source}) WHERE v IS NOT NULL), b1 AS (SELECT comparison, first, v, rep, {_WEIGHT} AS k FROM b0, (SELECT unnest(range(0, 3000)) AS rep)),
+b2 AS (SELECT comparison, rep, v, sum(k) FILTER (first) AS k1, sum(k) FILTER (NOT first) AS k2 FROM b1 GROUP BY ALL), b3 AS (SELECT comparison, rep, coalesce(k1, 0) AS k1, coalesce(k2, 0) AS k2, coalesce(sum(coalesce(k2, 0)) OVER (PARTITION BY comparison, rep ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b2),
+b4 AS (SELECT comparison, rep, 2 * sum(k1 * (below + k2 / 2.0::DOUBLE)) / (sum(k1) * sum(k2))::DOUBLE - 1 AS r FROM b3 GROUP BY ALL), rci AS (SELECT comparison, round(quantile_cont(r, 0.025), 6)::DOUBLE AS low, round(quantile_cont(r, 0.975), 6)::DOUBLE AS high FROM b4 GROUP BY comparison)"""
+
+
+@register(f"{EV}, {_biserial_ci_sql(f'SELECT 1 AS comparison, same_family AS first, OverallScore AS v, {_KEY_DIGEST} AS h FROM ev')} SELECT low, high FROM rci")
 def bootstrap_rank_biserial_ci(spark, sf_dir):
-    return inference.bootstrap_rank_biserial_ci(scored(spark, sf_dir), "same_family", "OverallScore")
+    return bootstrap.bootstrap_rank_biserial_ci(evaluations(spark, sf_dir), "same_family", "OverallScore", family.KEY)
+
+
+_MW_KEYED = _MW_ROWS.replace("OverallScore AS v", f"OverallScore AS v, {_KEY_DIGEST} AS h")
+
+
+@register(f"{EV}, {_biserial_ci_sql(_MW_KEYED)} SELECT comparison, low, high FROM rci")
+def independent_pairs_ci(spark, sf_dir):
+    return family.independent_pairs(scored(spark, sf_dir), MODEL_PAIRS).select("comparison", "low", "high")
+
+
+@register()
+def independent_pairs(spark, sf_dir):
+    """All models against each other as independent samples, with p, Holm's p and the interval of r."""
+    return family.independent_pairs(scored(spark, sf_dir), MODEL_PAIRS)
+
+
+@register()
+def same_against_cross(spark, sf_dir):
+    """The family test whole: means, U, p, r with its interval, d."""
+    return family.same_against_cross(scored(spark, sf_dir))
+
+
+_FAMILY_LIST = " UNION ALL ".join(f"SELECT '{r}' AS own_reference, '{c}' AS Model, '{f}' AS family" for r, c, f in FAMILIES)
+
+
+@register(f"""{EV}, l AS ({_FAMILY_LIST}), v AS (SELECT * FROM ev WHERE OverallScore IS NOT NULL), gaps AS (SELECT family, own_reference, l.Model, avg(OverallScore) FILTER (Reference = own_reference) AS own, avg(OverallScore) FILTER (Reference <> own_reference) AS other,
+(SELECT avg(OverallScore) FROM v WHERE v.Model = l.Model) AS column_mean, (SELECT avg(OverallScore) FROM v WHERE v.Reference = own_reference) AS row_mean, (SELECT avg(OverallScore) FROM v) AS grand FROM v JOIN l USING (Model) GROUP BY ALL)
+SELECT family, own_reference, Model, round(own, 6)::DOUBLE AS own, round(other, 6)::DOUBLE AS other, round(own - other, 6)::DOUBLE AS gap, round(own - row_mean - column_mean + grand, 6)::DOUBLE AS cell_residual FROM gaps""")
+def family_gaps(spark, sf_dir):
+    return family.family_gaps(scored(spark, sf_dir), FAMILIES)
+
+
+_OWN_RESIDUALS = f"own AS (SELECT dc.*, l.family FROM dc JOIN ({_FAMILY_LIST}) l ON dc.Reference = l.own_reference AND dc.Model = l.Model WHERE residual IS NOT NULL)"
+
+
+@register(f"{_CENTERED}, {_OWN_RESIDUALS}, {_mean_ci_sql('family', f'SELECT family, residual AS v, {_KEY_DIGEST} AS h FROM own')} SELECT family, count(*) AS n, round(avg(residual), 6)::DOUBLE AS mean_residual, sum((residual > 0)::INT)::BIGINT AS positive, round(avg((residual > 0)::INT), 6)::DOUBLE AS share_positive, any_value(low) AS low, any_value(high) AS high FROM own JOIN ci USING (family) GROUP BY family")
+def family_residuals(spark, sf_dir):
+    return family.residual_signs(centered(spark, sf_dir), FAMILIES).drop("w", "z", "p")
 
 
 @register()
+def family_residual_tests(spark, sf_dir):
+    """The same with Wilcoxon's statistic and p."""
+    return family.residual_signs(centered(spark, sf_dir), FAMILIES)
+
+
+@register(f"""{_CENTERED}, dd AS (SELECT Reference, Model, Reference || Model AS c, residual AS d FROM dc WHERE residual IS NOT NULL AND ({_FAMILY_RESIDUALS})),
+a AS (SELECT *, {_AVG_RANK('c', 'abs(d)')} AS r FROM dd), z AS (SELECT *, {_AVG_RANK('c', 'abs(d)')} AS r FROM dd WHERE d <> 0),
+t AS (SELECT Reference, Model, sum(t * t * t - t) AS ties FROM (SELECT Reference, Model, count(*)::DOUBLE AS t FROM z GROUP BY Reference, Model, abs(d)) GROUP BY ALL),
+x AS (SELECT Reference, Model, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS std, sum((d > 0)::INT)::BIGINT AS wins, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS rp, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS rm FROM a GROUP BY ALL),
+y AS (SELECT Reference, Model, count(*)::DOUBLE AS m, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS w FROM z GROUP BY ALL)
+SELECT Reference, Model, n, round(mean, 6)::DOUBLE AS mean, w, round((rp - rm) / (rp + rm), 6) AS r, round(mean / std, 6)::DOUBLE AS dz, wins, round((w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 6) AS z FROM x LEFT JOIN y USING (Reference, Model) LEFT JOIN t USING (Reference, Model)""")
 def residual_sign_test(spark, sf_dir):
     rows = centered(spark, sf_dir).where(_FAMILY_RESIDUALS).where("residual is not null")
-    return inference.with_p(inference.signed_rank(rows, "residual", ["Reference", "Model"]), "normal", "z")
+    return inference.signed_rank(rows, "residual", ["Reference", "Model"])
 
 
 @register(f"""{_CENTERED}, x AS (SELECT CASE WHEN document_id LIKE 'PAT%' THEN 'patent' ELSE 'report' END AS DocType, residual > 0 AS up FROM dc WHERE residual IS NOT NULL AND ({_FAMILY_RESIDUALS})),
@@ -674,6 +762,18 @@ def ols_single(spark, sf_dir):
     return found.select(F.col("n").cast("long").alias("n"), "r2", "adj_r2", "loocv_r2")
 
 
+_TWO = f"""{_SIGNALS}, c AS (SELECT count(*)::DOUBLE AS n, avg(mean_overall) AS my, avg(teds_std) AS m1, avg(output_words) AS m2 FROM s), d AS (SELECT mean_overall - my AS y, teds_std - m1 AS x, output_words - m2 AS z, n FROM s, c),
+q AS (SELECT any_value(n) AS n, sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz, sum(x * y) AS xy, sum(z * y) AS zy, sum(y * y) AS yy FROM d), b AS (SELECT *, xx * zz - xz * xz AS det, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM q),
+e AS (SELECT sum((y - b1 * x - b2 * z) ** 2) AS rss, sum(((y - b1 * x - b2 * z) / (1 - 1 / d.n - (x * x * zz - 2 * x * z * xz + z * z * xx) / det)) ** 2) AS press FROM d, b)
+SELECT n::BIGINT AS n, round(1 - rss / yy, 6) AS r2, round(1 - (rss / yy) * (n - 1) / (n - 3), 6) AS adj_r2, round(((yy - rss) / 2) / (rss / (n - 3)), 6) AS f, round(1 - press / yy, 6) AS loocv_r2 FROM b, e"""
+
+
+@register(_TWO)
+def ols_two_signals(spark, sf_dir):
+    found = inference.ols_with_loocv(signals(spark, sf_dir), "mean_overall", ["teds_std", "output_words"])
+    return found.select(F.col("n").cast("long").alias("n"), "r2", "adj_r2", "f", "loocv_r2")
+
+
 @register()
 def ols_with_loocv(spark, sf_dir):
     found = inference.ols_with_loocv(signals(spark, sf_dir), "mean_overall", ["teds_std", "output_words"])
@@ -685,12 +785,18 @@ z AS (SELECT (SELECT var_pop(v) * count(*) FROM f2) AS total, (SELECT var_pop(m)
 y AS (SELECT u, (total - su * 15 - st * u) / ((u - 1) * 14) AS res, su * 15 / (u - 1) AS msu FROM z), x AS (SELECT u, res, greatest(0, (msu - res) / 15) AS vu FROM y)
 SELECT u AS units, round(vu, 6)::DOUBLE AS var_unit, round(res, 6)::DOUBLE AS var_residual, round(vu / (vu + res), 6)::DOUBLE AS icc FROM x""")
 def random_intercept_icc(spark, sf_dir):
-    return inference.random_intercept(evaluations(spark, sf_dir), "document_id", ["Reference", "Model"], "OverallScore")
+    return inference.balanced_intercept(evaluations(spark, sf_dir), "document_id", ["Reference", "Model"], "OverallScore")
+
+
+@register()
+def random_intercept_unbalanced(spark, sf_dir):
+    """The same by REML over all rows, documents with holes among them."""
+    return mixed.random_intercept(evaluations(spark, sf_dir), "document_id", ["Reference", "Model"], "OverallScore")
 
 
 @register()
 def family_contrast_mixed(spark, sf_dir):
-    found = inference.family_contrast(evaluations(spark, sf_dir), "document_id", "Reference", "Model", "same_family", "OverallScore")
+    found = mixed.family_contrast(evaluations(spark, sf_dir), "document_id", "Reference", "Model", "same_family", "OverallScore")
     return inference.with_p(found, "normal", "z")
 
 
@@ -745,6 +851,27 @@ def image_listing(spark, sf_dir):
     return sources.image_keys(table(spark, sf_dir, "documents").select("doc_id", name.alias("path"))).drop("path")
 
 
-@register()
+@register("""SELECT doc_id, quality, CASE WHEN row_number() OVER (ORDER BY ('0x' || substr(md5(doc_id || '-42'), 1, 15))::BIGINT) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'validation' END AS part FROM labels""")
 def split_80_20(spark, sf_dir):
     return predictions.split_80_20(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+
+
+# The study end to end ---------------------------------------------------------------------------
+
+
+def study(spark, sf_dir):
+    """The similarity table of the real metrics, with names, types and scores; the vector metrics are the caller's and absent."""
+    table_ = similarity_table(spark, sf_dir).withColumns({m: F.lit(0.5) for m in scores.SEMANTIC})
+    return jobs.evaluation_frame(table_.withColumn("overall_score", scores.pair_score(list(scores.METRICS))), {(r, c): f for r, c, f in FAMILIES})
+
+
+@register()
+def study_leniency(spark, sf_dir):
+    """Real metrics of all pairs into the statistics: how lenient each reference is, and how it tells models apart."""
+    return scores.leniency(study(spark, sf_dir))
+
+
+@register()
+def study_family_gaps(spark, sf_dir):
+    """Real metrics of all pairs into the gaps of the families."""
+    return family.family_gaps(kept(study(spark, sf_dir).select("document_id", "Reference", "Model", "OverallScore")), FAMILIES)

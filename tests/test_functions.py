@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scoreloom.functions import markdown, names, tails, tokens
-from scoreloom.operators import inference, lexical, predictions, ranks, scores, structure, vectors
+from scoreloom.operators import bootstrap, inference, lexical, mixed, predictions, ranks, scores, structure, vectors
 from scoreloom.operators.pairs import grid_corpus, make_pairs
 
 D1 = "# T\n\np1\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n- x\n- y"
@@ -178,7 +178,6 @@ def test_tails():
     assert tails.normal_two_sided(1.959964) == pytest.approx(0.05, abs=1e-6)
     assert tails.f_tail(3.098391, 3, 20) == pytest.approx(0.05, abs=1e-5)
     assert tails.t_two_sided(2.085963, 20) == pytest.approx(0.05, abs=1e-6)
-    assert inference.shapiro_w(np.arange(1.0, 11)) == pytest.approx(0.9702, abs=1e-3)
 
 
 def test_predictions(spark):
@@ -193,10 +192,150 @@ def test_predictions(spark):
 
 def test_bootstrap_is_reproducible(spark):
     rows = spark.createDataFrame([("g", float(i)) for i in range(30)], "g string, v double")
-    a, b = (inference.bootstrap_mean_ci(rows.repartition(n), "v", ["g"], 200).first() for n in (1, 5))
+    a, b = (bootstrap.bootstrap_mean_ci(rows.repartition(n), "v", ["g"], ["v"], 200).first() for n in (1, 5))
     assert tuple(a) == tuple(b) and a.low < 14.5 < a.high and math.isfinite(a.low)
 
 
 def test_grid(spark):
     docs = spark.createDataFrame([(21, "t", "src1"), (22, None, "src2")], "doc_id long, text string, source string")
     assert [(r.document_id, r.model, r.text) for r in grid_corpus(docs).orderBy("doc_id").collect()] == [("RPT-1", "src1", "t"), ("RPT-1", "src2", "")]
+
+
+def brute_shapiro(x):
+    """W with the weights spelled out for the whole sorted sample."""
+    from statistics import NormalDist
+
+    x, n = np.sort(x), len(x)
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    u, c = 1 / math.sqrt(n), m / math.sqrt(m @ m)
+    last = c[-1] + np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, 0], u)
+    second = c[-2] + np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0], u)
+    a = m / math.sqrt((m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2))
+    a[[-1, -2, 0, 1]] = last, second, -last, -second
+    return float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
+
+
+def test_shapiro_over_all_values(spark):
+    rng = np.random.default_rng(5)
+    groups = {"ten": np.arange(1.0, 11), "ties": np.repeat(rng.normal(size=30), rng.integers(1, 9, size=30)), "many": rng.normal(size=7000), "one": np.ones(5), "two": np.array([1.0, 2.0])}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("ten", None)], "g string, v double")
+    got = {r.g: r for r in inference.shapiro_wilk(rows, ["g"], "v").collect()}
+    for g in ("ten", "ties", "many"):
+        assert got[g].w == pytest.approx(brute_shapiro(groups[g]), abs=1e-9) and got[g].n == len(groups[g]) and 0 <= got[g].p <= 1
+    assert got["ten"].w == pytest.approx(0.9702, abs=1e-3) and not got["many"].fitted_range
+    assert got["one"].w is None and got["two"].w is None
+    whole = inference.normality(rows.where("g in ('ten', 'many')"), ["g"], "v").first()
+    assert (whole.n, whole.cells) == (7010, 2)
+
+
+def test_exact_median(spark):
+    rng = np.random.default_rng(2)
+    groups = {k: rng.integers(0, 6, size=n).astype(float) for k, n in enumerate((1, 2, 7, 40, 41))}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [(0, None)], "g int, v double")
+    assert {r.g: r.median for r in ranks.exact_median(rows, "v", ["g"]).collect()} == {k: float(np.median(x)) for k, x in groups.items()}
+
+
+def test_bootstrap_equals_brute_force(spark):
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    data = [(i, bool(i % 3), float(rng.integers(0, 9)), "ab"[i % 2]) for i in range(90)]
+    rows = spark.createDataFrame(data, "id long, first boolean, v double, g string")
+
+    def weights(i, reps):
+        h = hashlib.md5(f"{i}-42".encode()).hexdigest()
+        a, b = int(h[:8], 16) % bootstrap.PRIME, int(h[8:16], 16) % (bootstrap.PRIME - 1) + 1
+        return np.searchsorted(bootstrap.STEPS, (a + np.arange(reps) * b) % bootstrap.PRIME, "right")
+
+    k = np.array([weights(i, 300) for i, *_ in data])
+    assert k.mean() == pytest.approx(1, abs=0.02) and k.var() == pytest.approx(1, abs=0.05)
+    v, first = np.array([d[2] for d in data]), np.array([d[1] for d in data])
+    means = (k * v[:, None]).sum(axis=0) / k.sum(axis=0)
+    got = bootstrap.bootstrap_mean_ci(rows, "v", [], ["id"], 300).first()
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+    wins = np.sign(v[first][:, None] - v[~first][None, :])
+    r = np.einsum("ir,jr,ij->r", k[first], k[~first], wins) / (k[first].sum(axis=0) * k[~first].sum(axis=0))
+    for size in (20_000, 10):
+        bootstrap.BUCKET_ROWS, before = size, bootstrap.BUCKET_ROWS
+        got = bootstrap.bootstrap_rank_biserial_ci(rows, "first", "v", ["id"], replicates=300).first()
+        bootstrap.BUCKET_ROWS = before
+        assert (got.low, got.high) == pytest.approx(tuple(np.percentile(r, [2.5, 97.5])))
+    # The interval agrees with drawing with replacement.
+    drawn = v[rng.integers(0, 90, size=(4000, 90))].mean(axis=1)
+    whole = bootstrap.bootstrap_mean_ci(rows, "v", [], ["id"], 3000).first()
+    assert (whole.low, whole.high) == pytest.approx(tuple(np.percentile(drawn, [2.5, 97.5])), abs=0.12)
+
+
+def brute_mixed(y, x, unit, reml):
+    """-2 log likelihood by whole matrices, over a grid of variance ratios; the best one's estimates."""
+    best = None
+    z = (unit[:, None] == np.unique(unit)[None, :]).astype(float)
+    for ratio in np.exp(np.linspace(-6, 4, 1500)):
+        v = np.eye(len(y)) + ratio * z @ z.T
+        w = np.linalg.inv(v)
+        beta = np.linalg.solve(x.T @ w @ x, x.T @ w @ y)
+        e = y - x @ beta
+        df = len(y) - (x.shape[1] if reml else 0)
+        loss = df * np.log(e @ w @ e / df) + np.linalg.slogdet(v)[1] + (np.linalg.slogdet(x.T @ w @ x)[1] if reml else 0)
+        if best is None or loss < best[0]:
+            sigma = e @ w @ e / df
+            best = loss, beta, np.sqrt(sigma * np.linalg.inv(x.T @ w @ x)[-1, -1]), ratio * sigma, sigma
+    return best
+
+
+def test_unbalanced_mixed_models(spark):
+    rng = np.random.default_rng(9)
+    data = [(f"d{d}", r, m, float(u + 0.3 * (r == "b") - 0.2 * (m == "y") + 0.4 * (r + m == "ax") + rng.normal() * 0.5)) for d, u in enumerate(rng.normal(size=14)) for r in "ab" for m in "xyz" if rng.random() < 0.75]
+    rows = spark.createDataFrame([(*d, d[1] + d[2] == "ax") for d in data] + [("d0", "a", "x", None, True)], "document_id string, Reference string, Model string, OverallScore double, same_family boolean")
+    unit, y = np.array([d[0] for d in data]), np.array([d[3] for d in data])
+    cells = sorted({d[1:3] for d in data})
+    x = np.array([[float(d[1:3] == c) for c in cells] for d in data])
+    _, _, _, var_unit, var_residual = brute_mixed(y, x, unit, True)
+    got = mixed.random_intercept(rows, "document_id", ["Reference", "Model"], "OverallScore").first()
+    assert (got.units, got.rows) == (len(set(unit)), len(data))
+    assert got.var_unit == pytest.approx(var_unit, rel=0.01) and got.var_residual == pytest.approx(var_residual, rel=0.01)
+    x = np.array([[1.0, d[1] == "b", d[2] == "y", d[2] == "z", d[1] + d[2] == "ax"] for d in data], float)
+    _, beta, se, _, _ = brute_mixed(y, x, unit, False)
+    got = mixed.family_contrast(rows, "document_id", "Reference", "Model", "same_family", "OverallScore").first()
+    assert got.beta == pytest.approx(beta[-1], rel=0.01) and got.se == pytest.approx(se, rel=0.01)
+    full = rows.where("OverallScore is not null").join(rows.where("OverallScore is not null").groupBy("document_id").count().where("count = 6").select("document_id"), "document_id")
+    one, two = inference.balanced_intercept(full, "document_id", ["Reference", "Model"], "OverallScore").first(), mixed.random_intercept(full, "document_id", ["Reference", "Model"], "OverallScore").first()
+    assert two.icc == pytest.approx(one.icc, abs=1e-4)
+
+
+def test_statistics_of_nothing_and_of_one_level(spark):
+    kind = "document_id string, Reference string, Model string, OverallScore double, same_family boolean"
+    for data in ([], [("d", "a", "x", 0.5, False)], [("d", "a", "x", None, None)]):
+        rows = spark.createDataFrame(data, kind)
+        for found in (
+            inference.one_way_f(rows, ["Reference"], "OverallScore"), inference.brown_forsythe(rows, ["Reference", "Model"], "OverallScore"), inference.two_way_anova(rows, "Reference", "Model", "OverallScore"),
+            inference.kruskal_wallis(rows, "Reference", "OverallScore"), inference.friedman(rows, "document_id", "Model", "OverallScore", 3), inference.mann_whitney(rows, "Model", "OverallScore", [("x", "y")]),
+            inference.shapiro_wilk(rows, ["Reference"], "OverallScore"), inference.normality(rows, ["Reference"], "OverallScore"), inference.spearman(rows.withColumn("b", F.col("OverallScore")), "OverallScore", "b"),
+            bootstrap.bootstrap_mean_ci(rows, "OverallScore", ["Model"], ["document_id"], 20), bootstrap.bootstrap_rank_biserial_ci(rows, "same_family", "OverallScore", ["document_id"], replicates=20),
+            mixed.random_intercept(rows, "document_id", ["Reference"], "OverallScore"), mixed.family_contrast(rows, "document_id", "Reference", "Model", "same_family", "OverallScore"),
+        ):
+            assert found.count() <= 4
+
+
+def test_large_flat_trees():
+    import time
+
+    a, b = (markdown.document_tree("\n\n".join(["# t", *(f"- x\n- y" if i % k == 0 else "p" for i in range(20_000))])) for k in (5, 7))
+    began = time.time()
+    assert markdown.tree_distance(a, b) > 0 and time.time() - began < 20
+
+
+def test_gram_overlaps_equal_counters(spark):
+    from collections import Counter
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("abc d") for _ in range(r.randint(0, 60))) for _ in range(12)] + [""]
+    docs = spark.createDataFrame([(f"d{i}", "ADR", m, texts[(i + k) % 13]) for i in range(13) for k, m in enumerate("rc")], "document_id string, doc_type string, model string, text string")
+    from scoreloom.functions.tokens import tokenize_chars
+
+    rows = lexical._ngram_pairs(docs, ["r"], ["c"], tokenize_chars(F.col("text")), (1, 2, 3, 4)).collect()
+    assert len(rows) == 13 * 4
+    for x in rows:
+        i = int(x.document_id[1:])
+        a, b = ([t[k : k + x.n] for k in range(len(t) - x.n + 1)] for t in (texts[i], texts[(i + 1) % 13]))
+        assert x.overlap == sum((Counter(a) & Counter(b)).values())
