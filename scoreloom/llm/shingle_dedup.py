@@ -6,8 +6,10 @@ What SimHash misses is found by prefix filtering: of n shingles in one order tha
 all texts share, the first ``n - ceil(0.8 n) + 1`` of two similar texts have one in
 common. The order puts shingles that are frequent in a sample last; it decides
 how many candidates there are, never which pairs are found. Pairs that are already
-connected are not compared again, so a block of near copies costs its rows times
-those outside its largest component.
+connected are not compared again. Where many pairs would be, a node is first compared
+with one node of the largest class for each of its prefix shingles, in up to
+``TURNS`` turns, which joins most of a large block of near copies; then all pairs
+that are still open are compared.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ WIDTH = 5
 SAMPLE, FREQUENT = 50_000, 200_000
 #: Prefix rows of one Arrow batch.
 ROWS = 200_000
+#: Open pairs for each prefix row above which classes' speakers are compared first, and how often.
+OPEN_PAIRS, TURNS = 2, 3
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -152,12 +156,23 @@ def candidates_by_simhash(prints: DataFrame) -> DataFrame:
     return near.union(same)
 
 
-def candidates_by_prefix(blocks: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a prefix shingle and are not connected yet."""
+def placed_prefixes(blocks: DataFrame, classes: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """``(h, node, root)`` and, for each shingle that several classes share, its largest class, one node of it, and how many pairs are open."""
     placed = materialize(blocks.join(classes.select("node", "root"), "node"), "placed")
-    main = placed.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    main = materialize(main.select("h", F.col("most.root").alias("main")), "main-roots")
-    open_ = placed.join(main, "h")
+    # Another node of the class speaks for each shingle and turn.
+    speaker = F.max_by("node", F.xxhash64("h", "node", F.lit(turn))).alias("speaker")
+    most = placed.groupBy("h", "root").agg(F.count("*").alias("n"), speaker).groupBy("h").agg(F.max(F.struct("n", "root", "speaker")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("all")).where("roots > 1")
+    return placed, materialize(most.select("h", F.col("most.root").alias("main"), "most.speaker", ((F.col("all") - F.col("most.n")) * F.col("all")).alias("pairs")), "main-roots")
+
+
+def candidates_by_speaker(placed: DataFrame, main: DataFrame) -> DataFrame:
+    """Each node beside the speakers of the classes that it shares prefix shingles with but is not in: at most a pair a shingle."""
+    return placed.join(main, "h").where("root <> main").select(F.col("node").alias("a"), F.col("speaker").alias("b"))
+
+
+def candidates_by_prefix(placed: DataFrame, main: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a prefix shingle and are not connected yet."""
+    open_ = placed.join(main.select("h", "main"), "h")
     others = open_.where("root <> main").select("h", F.col("node").alias("a"), F.col("root").alias("root_a"))
     return others.join(open_.select("h", F.col("node").alias("b"), "root"), "h").where("root_a <> root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -182,6 +197,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark, nodes = docs.sparkSession, prints.select("node", "rank")
     links = verified(candidates_by_simhash(prints), prints, rows, node, text_col, width)
     classes = materialize(connected_components(spark, links, nodes), "classes")
-    missed = verified(candidates_by_prefix(shared_prefixes(rows, node, text_col, width), classes), prints, rows, node, text_col, width)
-    classes = connected_components(spark, links.union(missed), nodes).select(F.col("node").alias(node), "root")
+    blocks = shared_prefixes(rows, node, text_col, width)
+    for turn in range(TURNS + 1):
+        placed, main = placed_prefixes(blocks, classes, turn)
+        many = (main.agg(F.sum("pairs")).first()[0] or 0) > OPEN_PAIRS * placed.count()
+        found = candidates_by_speaker(placed, main) if many and turn < TURNS else candidates_by_prefix(placed, main)
+        links = links.union(verified(found, prints, rows, node, text_col, width))
+        classes = materialize(connected_components(spark, links, nodes), "classes")
+        if not (many and turn < TURNS):
+            break
+    classes = classes.select(F.col("node").alias(node), "root")
     return simhash.first_of_classes(rows, classes, docs.columns, id_col, node)

@@ -127,7 +127,8 @@ def linked_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, refined: bo
         same, found = same & (F.col("a.piece") == F.col("b.piece")), found & (first_piece == F.col("a.piece"))
     else:
         a, b = (x.drop("piece") for x in (a, b))
-    return a.join(b, same & found).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    # Sizes are judged before signatures are spelled out: a broadcast of them would not be small.
+    return a.join(b.hint("merge"), same & found).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def fingerprint_classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

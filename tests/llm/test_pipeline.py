@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from scoreloom.llm import pii, queries, token_files
+from scoreloom.llm import pii, queries, shingle_dedup, token_files
 
 from .test_operators import brute_components, brute_simhash, prose
 
@@ -49,7 +49,9 @@ def test_pipeline(spark, tmp_path):
     assert sorted(f.ids_crc32 for f in files) == sorted(zlib.crc32(bytes(r.ids) + end) for r in got.values())
 
 
-def test_near_dedup_equals_brute_force_jaccard(spark):
+@pytest.mark.parametrize("open_pairs", [2, 0])
+def test_near_dedup_equals_brute_force_jaccard(spark, monkeypatch, open_pairs):
+    monkeypatch.setattr(shingle_dedup, "OPEN_PAIRS", open_pairs)
     r = random.Random(5)
     rows = [(1000, ""), (1001, None), (1002, "two words"), (1003, "Two  WORDS"), (1004, "two words more")]
     for i in range(12):
