@@ -6,10 +6,9 @@ What SimHash misses is found by prefix filtering: of n shingles in one order tha
 all texts share, the first ``n - ceil(0.8 n) + 1`` of two similar texts have one in
 common. The order puts shingles that are frequent in a sample last; it decides
 how many candidates there are, never which pairs are found. Pairs that are already
-connected are not compared again. Where many pairs would be, a node is first compared
-with one node of the largest class for each of its prefix shingles, in up to
-``TURNS`` turns, which joins most of a large block of near copies; then all pairs
-that are still open are compared.
+connected are not compared again, and sketches of the sets, which never rule out a
+similar pair, are held against each other inside the join: what leaves it are few
+pairs but the similar ones, however many texts share a shingle.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -34,8 +33,8 @@ WIDTH = 5
 SAMPLE, FREQUENT = 50_000, 200_000
 #: Prefix rows of one Arrow batch.
 ROWS = 200_000
-#: Open pairs for each prefix row above which classes' speakers are compared first, and how often.
-OPEN_PAIRS, TURNS = 2, 3
+#: Longs of a sketch.
+SKETCH = 16
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -55,6 +54,22 @@ def histogram(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
+def sketch(shingles: np.ndarray) -> list[int]:
+    """A bit for each of ``64 * SKETCH`` remainders that some shingle has, as longs."""
+    bits = np.zeros(64 * SKETCH, bool)
+    bits[(shingles >> np.uint64(8)).astype(np.int64) % (64 * SKETCH)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
+def may_be_close(n_a: Column, sketch_a: Column, n_b: Column, sketch_b: Column) -> Column:
+    """False where sizes or sketches rule out a similarity of 0.8: then more than a ninth of both sets, added, are in one alone.
+
+    A bit that only one sketch has stands for a shingle, or more, that only one text has.
+    """
+    apart = sum(F.bit_count(F.get(sketch_a, F.lit(i)).bitwiseXOR(F.get(sketch_b, F.lit(i)))) for i in range(SKETCH))
+    return (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * apart <= n_a + n_b)
+
+
 def may_be_similar(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """False where the histograms (rows of ``a`` and ``b``) leave too few shingles in common; ``sizes`` of both sets added."""
     most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
@@ -156,30 +171,21 @@ def candidates_by_simhash(prints: DataFrame) -> DataFrame:
     return near.union(same)
 
 
-def placed_prefixes(blocks: DataFrame, classes: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """``(h, node, root)`` and, for each shingle that several classes share, its largest class, one node of it, and how many pairs are open."""
-    placed = materialize(blocks.join(classes.select("node", "root"), "node"), "placed")
-    # Another node of the class speaks for each shingle and turn.
-    speaker = F.max_by("node", F.xxhash64("h", "node", F.lit(turn))).alias("speaker")
-    most = placed.groupBy("h", "root").agg(F.count("*").alias("n"), speaker).groupBy("h").agg(F.max(F.struct("n", "root", "speaker")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("all")).where("roots > 1")
-    return placed, materialize(most.select("h", F.col("most.root").alias("main"), "most.speaker", ((F.col("all") - F.col("most.n")) * F.col("all")).alias("pairs")), "main-roots")
-
-
-def candidates_by_speaker(placed: DataFrame, main: DataFrame) -> DataFrame:
-    """Each node beside the speakers of the classes that it shares prefix shingles with but is not in: at most a pair a shingle."""
-    return placed.join(main, "h").where("root <> main").select(F.col("node").alias("a"), F.col("speaker").alias("b"))
-
-
-def candidates_by_prefix(placed: DataFrame, main: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a prefix shingle and are not connected yet."""
-    open_ = placed.join(main.select("h", "main"), "h")
-    others = open_.where("root <> main").select("h", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    return others.join(open_.select("h", F.col("node").alias("b"), "root"), "h").where("root_a <> root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def candidates_by_prefix(blocks: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a prefix shingle, are not connected yet and that sizes and sketches do not rule out."""
+    placed = materialize(blocks.join(classes.select("node", "root"), "node").join(prints.select("node", "n", "sketch"), "node"), "placed")
+    main = placed.groupBy("h", "root").agg(F.count("*").alias("rows")).groupBy("h").agg(F.max(F.struct("rows", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    main = materialize(main.select("h", F.col("most.root").alias("main")), "main-roots")
+    open_ = placed.join(main, "h")
+    others = open_.where("root <> main").select("h", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    met = others.join(open_.select("h", F.col("node").alias("b"), "root", "n", "sketch"), "h").where("root_a <> root")
+    close = met.where(may_be_close(F.col("n_a"), F.col("sketch_a"), F.col("n"), F.col("sketch")))
+    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row of each group of ``docs`` stays, that of the smallest id, with all its columns."""
-    fp, node, n, hist = (fresh(c, docs.columns) for c in ("fp", "node", "n", "hist"))
+    fp, node, n, hist, bits = (fresh(c, docs.columns) for c in ("fp", "node", "n", "hist", "sketch"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,23 +194,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 prints = np.array([simhash.simhash(h) for h in hashes], np.uint64)
                 sets = [np.unique(np.array(h, np.uint64)) for h in hashes]
                 nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
-                added = [pa.array(prints.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(map(histogram, sets), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, fp, node, n, hist])
+                added = [pa.array(prints.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(map(histogram, sets), pa.binary()), pa.array(map(sketch, sets), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, fp, node, n, hist, bits])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType()), T.StructField(node, T.LongType()), T.StructField(n, T.LongType()), T.StructField(hist, T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType()), T.StructField(node, T.LongType()), T.StructField(n, T.LongType()), T.StructField(hist, T.BinaryType()), T.StructField(bits, T.ArrayType(T.LongType()))])
     rows = materialize(docs.mapInArrow(add, schema), "shingle-rows")
-    prints = materialize(rows.groupBy(F.col(node).alias("node")).agg(F.min(fp).alias("fp"), F.min(id_col).alias("rank"), F.min(n).alias("n"), F.min(hist).alias("hist")), "shingle-nodes")
+    prints = materialize(rows.groupBy(F.col(node).alias("node")).agg(F.min(fp).alias("fp"), F.min(id_col).alias("rank"), F.min(n).alias("n"), F.min(hist).alias("hist"), F.min(bits).alias("sketch")), "shingle-nodes")
     spark, nodes = docs.sparkSession, prints.select("node", "rank")
     links = verified(candidates_by_simhash(prints), prints, rows, node, text_col, width)
     classes = materialize(connected_components(spark, links, nodes), "classes")
-    blocks = shared_prefixes(rows, node, text_col, width)
-    for turn in range(TURNS + 1):
-        placed, main = placed_prefixes(blocks, classes, turn)
-        many = (main.agg(F.sum("pairs")).first()[0] or 0) > OPEN_PAIRS * placed.count()
-        found = candidates_by_speaker(placed, main) if many and turn < TURNS else candidates_by_prefix(placed, main)
-        links = links.union(verified(found, prints, rows, node, text_col, width))
-        classes = materialize(connected_components(spark, links, nodes), "classes")
-        if not (many and turn < TURNS):
-            break
-    classes = classes.select(F.col("node").alias(node), "root")
+    missed = verified(candidates_by_prefix(shared_prefixes(rows, node, text_col, width), classes, prints), prints, rows, node, text_col, width)
+    classes = connected_components(spark, links.union(missed), nodes).select(F.col("node").alias(node), "root")
     return simhash.first_of_classes(rows, classes, docs.columns, id_col, node)

@@ -3,8 +3,10 @@
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -49,9 +51,7 @@ def test_pipeline(spark, tmp_path):
     assert sorted(f.ids_crc32 for f in files) == sorted(zlib.crc32(bytes(r.ids) + end) for r in got.values())
 
 
-@pytest.mark.parametrize("open_pairs", [2, 0])
-def test_near_dedup_equals_brute_force_jaccard(spark, monkeypatch, open_pairs):
-    monkeypatch.setattr(shingle_dedup, "OPEN_PAIRS", open_pairs)
+def test_near_dedup_equals_brute_force_jaccard(spark):
     r = random.Random(5)
     rows = [(1000, ""), (1001, None), (1002, "two words"), (1003, "Two  WORDS"), (1004, "two words more")]
     for i in range(12):
@@ -76,6 +76,21 @@ def test_near_dedup_equals_brute_force_jaccard(spark, monkeypatch, open_pairs):
     assert sorted(x.doc_id for x in got.collect()) == sorted(set(root.values()))
 
 
+def test_sketches_rule_out_no_similar_pair(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for n in (1, 5, 9, 60, 500, 3000):
+        for share in (0.75, 0.8, 0.85, 1.0):
+            a = r.integers(0, 1 << 63, n, np.uint64)
+            b = np.concatenate([a[: int(np.ceil(share * n))], r.integers(0, 1 << 63, n - int(np.ceil(share * n)), np.uint64)])
+            for x, y in ((a, b), (a, a[: int(np.ceil(share * n))])):
+                x, y = np.unique(x), np.unique(y)
+                rows.append((shingle_dedup.similar(x, y), len(x), shingle_dedup.sketch(x), len(y), shingle_dedup.sketch(y)))
+    df = spark.createDataFrame(rows, "similar boolean, n long, s array<long>, m long, t array<long>")
+    got = df.select("similar", shingle_dedup.may_be_close(F.col("n"), F.col("s"), F.col("m"), F.col("t")).alias("close")).collect()
+    assert all(x.close for x in got if x.similar) and not all(x.close for x in got if not x.similar)
+
+
 def test_stages_keep_columns(spark, tmp_path):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "redact", "encode"]
 
