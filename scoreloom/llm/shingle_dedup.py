@@ -8,7 +8,8 @@ common. The order puts shingles that are frequent in a sample last; it decides
 how many candidates there are, never which pairs are found. Pairs that are already
 connected are not compared again, and sketches of the sets, which never rule out a
 similar pair, are held against each other inside the join: what leaves it are few
-pairs but the similar ones, however many texts share a shingle.
+pairs but the similar ones, however many texts share a shingle. A pair does not
+speak again where both have the same shingle before the shared one: it met there.
 """
 
 from __future__ import annotations
@@ -87,6 +88,13 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np
     return shingles[np.argsort(count, kind="stable")][:size]
 
 
+def prefix_rows(prefixes: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each shingle of each prefix, with the one before it."""
+    h = np.concatenate(prefixes).view(np.int64)
+    first = np.concatenate([np.arange(len(x)) == 0 for x in prefixes])
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate(nodes)), pa.array(np.roll(h, 1), mask=first)], ["h", "node", "prev"])
+
+
 def frequent_shingles(rows: DataFrame, node: str, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that repeat in a sample of different texts, and how often."""
 
@@ -106,7 +114,7 @@ def frequent_shingles(rows: DataFrame, node: str, text: str, width: int) -> tupl
 
 
 def shared_prefixes(rows: DataFrame, node: str, text: str, width: int) -> DataFrame:
-    """``(h, node)`` of the prefix shingles that two nodes or more have."""
+    """``(h, node, prev)`` of the prefix shingles that two nodes or more have; ``prev`` is the one before it, null for the first."""
     frequent, counts = frequent_shingles(rows, node, text, width)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +131,14 @@ def shared_prefixes(rows: DataFrame, node: str, text: str, width: int) -> DataFr
                     nodes.append(np.full(len(found), k, np.int64))
                     held += len(found)
                     if held >= ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(nodes))], ["h", "node"])
+                        yield prefix_rows(hashes, nodes)
                         hashes, nodes, held = [], [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(nodes))], ["h", "node"])
+                    yield prefix_rows(hashes, nodes)
 
-    index = rows.select(F.col(node), F.col(text)).mapInArrow(emit, "h long, node long").repartition("h").dropDuplicates(["h", "node"])
+    index = rows.select(F.col(node), F.col(text)).mapInArrow(emit, "h long, node long, prev long").repartition("h").dropDuplicates(["h", "node"])
     counted = index.withColumn("n", F.count("*").over(Window.partitionBy("h")))
-    return materialize(counted.where("n > 1").select("h", "node"), "prefixes")
+    return materialize(counted.where("n > 1").select("h", "node", "prev"), "prefixes")
 
 
 def verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, node: str, text: str, width: int) -> DataFrame:
@@ -172,13 +180,17 @@ def candidates_by_simhash(prints: DataFrame) -> DataFrame:
 
 
 def candidates_by_prefix(blocks: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a prefix shingle, are not connected yet and that sizes and sketches do not rule out."""
+    """Pairs of nodes that share a prefix shingle, are not connected yet and that sizes and sketches do not rule out.
+
+    Prefixes follow one order, so of the shingles that a pair shares the first has different ones before it, or none.
+    """
     placed = materialize(blocks.join(classes.select("node", "root"), "node").join(prints.select("node", "n", "sketch"), "node"), "placed")
     main = placed.groupBy("h", "root").agg(F.count("*").alias("rows")).groupBy("h").agg(F.max(F.struct("rows", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     main = materialize(main.select("h", F.col("most.root").alias("main")), "main-roots")
     open_ = placed.join(main, "h")
-    others = open_.where("root <> main").select("h", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    met = others.join(open_.select("h", F.col("node").alias("b"), "root", "n", "sketch"), "h").where("root_a <> root")
+    others = open_.where("root <> main").select("h", F.col("node").alias("a"), F.col("prev").alias("prev_a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    met = others.join(open_.select("h", F.col("node").alias("b"), "prev", "root", "n", "sketch"), "h").where("root_a <> root")
+    met = met.where("prev_a is null or prev is null or prev_a <> prev")
     close = met.where(may_be_close(F.col("n_a"), F.col("sketch_a"), F.col("n"), F.col("sketch")))
     return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -76,6 +76,25 @@ def test_near_dedup_equals_brute_force_jaccard(spark):
     assert sorted(x.doc_id for x in got.collect()) == sorted(set(root.values()))
 
 
+def test_prefixes_alone_find_every_similar_pair(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(8):
+        base = [f"w{r.randrange(300)}" for _ in range(60 + 15 * i)]
+        for k in range(8):
+            words = list(base)
+            for at in r.sample(range(len(words)), k % 4):
+                words[at] = f"x{k}"
+            rows.append((i * 8 + k, "words that stand before all of these texts " * (i % 3) + " ".join(words)))
+    sets = {i: shingle_dedup.shingle_set(t) for i, t in rows}
+    docs = spark.createDataFrame(rows, "id long, text string")
+    prints = spark.createDataFrame([(i, len(x), shingle_dedup.sketch(x)) for i, x in sets.items()], "node long, n long, sketch array<long>")
+    blocks = shingle_dedup.shared_prefixes(docs, "id", "text", 5)
+    got = {(x.a, x.b) for x in shingle_dedup.candidates_by_prefix(blocks, prints.select("node", F.col("node").alias("root")), prints).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and shingle_dedup.similar(sets[a], sets[b])}
+    assert len(want) > 50 and want <= got
+
+
 def test_sketches_rule_out_no_similar_pair(spark):
     r = np.random.default_rng(3)
     rows = []
