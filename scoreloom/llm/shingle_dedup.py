@@ -4,7 +4,8 @@ Texts with the same set of shingles are one node. Candidates come from SimHash
 deletion variants first; every pair is verified on the shingles of the texts.
 What SimHash misses is found by prefix filtering: of n shingles in one order that
 all texts share, the first ``n - ceil(0.8 n) + 1`` of two similar texts have one in
-common. The order puts shingles that are frequent in a sample last; it decides
+common. Each text is first compared with one text of each shingle, which connects
+most of a large group; then all that are not connected meet. The order puts shingles that are frequent in a sample last; it decides
 how many candidates there are, never which pairs are found. Pairs that are already
 connected are not compared again, and sketches of the sets, which never rule out a
 similar pair, are held against each other inside the join: what leaves it are few
@@ -179,6 +180,16 @@ def candidates_by_simhash(prints: DataFrame) -> DataFrame:
     return near.union(same)
 
 
+def candidates_by_star(blocks: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs of a node and the smallest node of one of its prefix shingles, not connected yet: no more than prefix rows."""
+    centers = blocks.groupBy("h").agg(F.min("node").alias("b"))
+    pairs = blocks.join(centers, "h").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    known = materialize(classes.select("node", "root").join(prints.select("node", "n", "sketch"), "node"), "known-nodes")
+    a, b = (known.select(*(F.col(c).alias(f"{c}_{x}") for c in ("root", "n", "sketch")), F.col("node").alias(x)) for x in "ab")
+    met = pairs.join(a, "a").join(b, "b").where("root_a <> root_b")
+    return met.where(may_be_close(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b"))).select("a", "b")
+
+
 def candidates_by_prefix(blocks: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
     """Pairs of nodes that share a prefix shingle, are not connected yet and that sizes and sketches do not rule out.
 
@@ -215,6 +226,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark, nodes = docs.sparkSession, prints.select("node", "rank")
     links = verified(candidates_by_simhash(prints), prints, rows, node, text_col, width)
     classes = materialize(connected_components(spark, links, nodes), "classes")
-    missed = verified(candidates_by_prefix(shared_prefixes(rows, node, text_col, width), classes, prints), prints, rows, node, text_col, width)
+    prefixes = shared_prefixes(rows, node, text_col, width)
+    links = links.union(verified(candidates_by_star(prefixes, classes, prints), prints, rows, node, text_col, width))
+    classes = materialize(connected_components(spark, links, nodes), "classes")
+    missed = verified(candidates_by_prefix(prefixes, classes, prints), prints, rows, node, text_col, width)
     classes = connected_components(spark, links.union(missed), nodes).select(F.col("node").alias(node), "root")
     return simhash.first_of_classes(rows, classes, docs.columns, id_col, node)
