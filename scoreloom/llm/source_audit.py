@@ -1,12 +1,15 @@
 """Source divergence audit by chunk factorization.
 
-A document is cut at white space and its chunks are counted. The chunks of many
-documents of one language become one block of posting lists: for each distinct
-chunk, the numbers of the block's documents that hold it and how often. Only
-these lists are shuffled. Every globally distinct chunk is tokenized once; its
-terms are joined back to the lists, and each block merges the lists of a term's
-chunks, so a document counts once however many of its chunks hold the term.
-A document lies in one block only, so sums over blocks are exact.
+Documents are cut at white space and their chunks counted, many documents to a
+block. Every globally distinct chunk is tokenized once. The documents of a term's
+chunks, added up, are at least those of the term, so terms below the limit by this
+sum go at once, and with them nearly all chunks.
+
+For the chunks that stay, the blocks return posting lists: the numbers of the
+block's documents that hold a chunk, and how often. A chunk's terms are joined to
+its lists, and each block merges the lists of a term's chunks, so a document counts
+once however many of its chunks hold the term. A block has one language, and a
+document lies in one block only, so sums over blocks are exact.
 
 Sources of a language are compared on the terms that enough of its documents
 hold: p is the smoothed share of a term in billionths, and the distance of two
@@ -40,6 +43,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of text that a task cuts up at once, and cells (terms x sources) of a bucket.
 BLOCK_BYTES, CELLS = 32 << 20, 1 << 18
+#: Rows and bytes of text of a table that may be broadcast.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 32 << 20
 
 _POSTINGS = "block long, lang string, chunk string, sources array<string>, docs array<int>, times array<int>"
 _ARROW = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("chunk", pa.string()), ("sources", pa.list_(pa.string())), ("docs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
@@ -60,24 +65,18 @@ def _posting_lists(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
     return chunks.dictionary.take(pa.array(pairs[first] >> 32)), *lists
 
 
-def chunk_postings(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Blocks of posting lists: ``(block, lang, chunk, docs, times)``, and for each block a row of its documents' ``sources``."""
+def _in_blocks(docs: DataFrame, columns: tuple[str, str, str], emit, schema: str) -> DataFrame:
+    """``emit(block, lang, table)`` for blocks of ``(text, source)`` of one language; a block's number is the same in every run."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial, held, parts = TaskContext.get().partitionId(), 0, 0, []
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal serial, held
             table = pa.Table.from_batches(parts).combine_chunks()
             for lang in table["lang"].unique().to_pylist():
-                own = table.filter(pc.equal(table["lang"], lang)).combine_chunks()
-                block = task << 32 | serial
+                yield from emit(task << 32 | serial, lang, table.filter(pc.equal(table["lang"], lang)).combine_chunks())
                 serial += 1
-                yield pa.RecordBatch.from_pylist([{"block": block, "lang": lang, "sources": own["source"].to_pylist()}], _ARROW)
-                chunks, at, times = _posting_lists(own["text"].chunk(0))
-                n = len(chunks)
-                rows = pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.repeat(lang, n), chunks, pa.nulls(n, pa.list_(pa.string())), at, times], schema=_ARROW)
-                yield from (rows.slice(low, 50_000) for low in range(0, n, 50_000))
             parts.clear()
             held = 0
 
@@ -92,7 +91,31 @@ def chunk_postings(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
             yield from flush()
 
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select(plain(text_col).alias("text"), plain(lang_col).alias("lang"), plain(source_col).alias("source")).mapInArrow(count, _POSTINGS)
+    return docs.select(*(plain(c).alias(n) for c, n in zip(columns, ("text", "lang", "source"), strict=True))).mapInArrow(run, schema)
+
+
+def chunk_counts(docs: DataFrame, columns: tuple[str, str, str]) -> DataFrame:
+    """``(chunk, docs)`` of each block: how many of its documents hold a chunk."""
+
+    def emit(block: int, lang: str, own: pa.Table) -> Iterator[pa.RecordBatch]:
+        chunks, at, _ = _posting_lists(own["text"].chunk(0))
+        rows = pa.RecordBatch.from_arrays([chunks, pc.list_value_length(at).cast(pa.int64())], ["chunk", "docs"])
+        yield from (rows.slice(low, 50_000) for low in range(0, rows.num_rows, 50_000))
+
+    return _in_blocks(docs, columns, emit, "chunk string, docs long")
+
+
+def chunk_postings(docs: DataFrame, columns: tuple[str, str, str]) -> DataFrame:
+    """``(block, lang, chunk, docs, times)``, and for each block a row of its documents' ``sources``."""
+
+    def emit(block: int, lang: str, own: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pylist([{"block": block, "lang": lang, "sources": own["source"].to_pylist()}], _ARROW)
+        chunks, at, times = _posting_lists(own["text"].chunk(0))
+        n = len(chunks)
+        rows = pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.repeat(lang, n), chunks, pa.nulls(n, pa.list_(pa.string())), at, times], schema=_ARROW)
+        yield from (rows.slice(low, 50_000) for low in range(0, n, 50_000))
+
+    return _in_blocks(docs, columns, emit, _POSTINGS)
 
 
 def chunk_terms(chunk: Column) -> Column:
@@ -148,17 +171,31 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from ended(rest, True)
 
 
-def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``(lang, source, term, docs, occurrences)``: distinct documents and occurrences of every term."""
-    postings = materialize(chunk_postings(docs, text_col, lang_col, source_col), "postings")
-    lists = postings.where(F.col("chunk").isNotNull())
-    terms = lists.select("chunk").distinct().select("chunk", F.explode(chunk_terms(F.col("chunk"))).alias("t")).select("chunk", "t.term", "t.k")
-    joined = lists.join(terms, "chunk").select("block", "lang", "sources", "term", "k", "docs", "times")
-    heads = postings.where(F.col("chunk").isNull()).select("block", "lang", "sources", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("k"), "docs", "times")
-    merged = heads.union(joined).repartition("block").sortWithinPartitions("block", F.col("term").asc_nulls_first()).mapInArrow(_merge, "lang string, source string, term string, docs long, occurrences long")
+def _small(df: DataFrame, *texts: str) -> DataFrame:
+    """``df`` marked for broadcast if it is counted and found small; joins shuffle it otherwise."""
+    size = df.agg(F.count("*"), *(F.sum(F.octet_length(c)) for c in texts)).first()
+    return F.broadcast(df) if size[0] <= SMALL_ROWS and sum(x or 0 for x in size[1:]) <= SMALL_BYTES else df
+
+
+def term_counts(docs: DataFrame, min_docs: int = 1, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``(lang, source, term, docs, occurrences)``: distinct documents and occurrences of the terms that ``min_docs`` documents of a language may hold."""
+    columns = (text_col, lang_col, source_col)
+    known = chunk_counts(docs, columns).groupBy("chunk").agg(F.sum("docs").alias("docs"))
+    parsed = materialize(known.select("chunk", "docs", F.explode(chunk_terms(F.col("chunk"))).alias("t")).select("chunk", "docs", "t.term", "t.k"), "chunks")
+    enough = materialize(parsed.groupBy("term").agg(F.sum("docs").alias("most")).where(F.col("most") >= min_docs).select("term"), "enough")
+    terms = materialize(parsed.join(_small(enough, "term"), "term", "left_semi").select("chunk", "term", "k"), "chunk-terms")
+    postings = materialize(_with_terms(chunk_postings(docs, columns), terms), "postings")
+    merged = postings.repartition("block").sortWithinPartitions("block", F.col("term").asc_nulls_first()).mapInArrow(_merge, "lang string, source string, term string, docs long, occurrences long")
     return merged.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))
 
 
+def _with_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """The lists of each term of each chunk; the rows of sources, which have no chunk, keep none."""
+    known = _small(terms, "chunk", "term")
+    joined = postings.join(known, "chunk", "left").where(F.col("term").isNotNull() | F.col("sources").isNotNull())
+    return joined.select("block", "lang", "sources", "term", "k", "docs", "times")
+
+
 def share(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(10⁹·(count + 5) / (total + 5·kept)), exact."""
     wide = lambda c, digits: c.cast(f"decimal({digits},0)")
@@ -181,7 +218,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_c
     """``(lang, source, part, item, value, rank)``: distances of the sources of a language (``pair``), and each source's most over-used terms (``term``)."""
     plain = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
     groups = docs.select(plain(lang_col, "lang"), plain(source_col, "source")).distinct()
-    counts = materialize(term_counts(docs, text_col, lang_col, source_col), "terms")
+    counts = materialize(term_counts(docs, min_docs, text_col, lang_col, source_col), "terms")
     whole = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("in_lang")).where(F.col("docs") >= min_docs)
     kept = materialize(counts.join(whole.select("lang", "term", "in_lang"), ["lang", "term"]).select("lang", "source", "term", "occurrences", "in_lang"), "kept")
     langs = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(kept.groupBy("lang").agg(F.sum("occurrences").alias("lang_total")), "lang", "left").join(kept.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("v")), "lang", "left").fillna(0, ["lang_total", "v"])

@@ -169,6 +169,7 @@ def audit_rows(seed, n):
 def test_audit_equals_brute_force(spark, monkeypatch, cells):
     monkeypatch.setattr(source_audit, "CELLS", cells)
     monkeypatch.setattr(source_audit, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(source_audit, "SMALL_ROWS", cells)
     rows = audit_rows(3, 300)
     docs = spark.createDataFrame([(i, *r, "x", 1) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, chunk string, block int").repartition(3)
     got = source_audit.divergence(docs, min_docs=5, top=6).collect()
