@@ -5,11 +5,13 @@ block. Every globally distinct chunk is tokenized once. The documents of a term'
 chunks, added up, are at least those of the term, so terms below the limit by this
 sum go at once, and with them nearly all chunks.
 
-For the chunks that stay, the blocks return posting lists: the numbers of the
-block's documents that hold a chunk, and how often. A chunk's terms are joined to
-its lists, and each block merges the lists of a term's chunks, so a document counts
-once however many of its chunks hold the term. A block has one language, and a
-document lies in one block only, so sums over blocks are exact.
+A block's posting lists are the numbers of its documents that hold a chunk, and how
+often. The terms of the chunks that stay are joined to these lists, and each block
+merges the lists of a term's chunks, so a document counts once however many of its
+chunks hold the term. A block has one language, and a document lies in one block
+only, so sums over blocks are exact. While the table of these terms is small by its
+own count, it is broadcast and joined inside the blocks; otherwise the lists are
+shuffled to it and back. Both ways give the same rows.
 
 Sources of a language are compared on the terms that enough of its documents
 hold: p is the smoothed share of a term in billionths, and the distance of two
@@ -44,7 +46,7 @@ MIN_DOCS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of text that a task cuts up at once, and cells (terms x sources) of a bucket.
 BLOCK_BYTES, CELLS = 32 << 20, 1 << 18
 #: Rows and bytes of text of a table that may be broadcast.
-SMALL_ROWS, SMALL_BYTES = 1_000_000, 32 << 20
+SMALL_ROWS, SMALL_BYTES = 4_000_000, 64 << 20
 
 _POSTINGS = "block long, lang string, chunk string, sources array<string>, docs array<int>, times array<int>"
 _ARROW = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("chunk", pa.string()), ("sources", pa.list_(pa.string())), ("docs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
@@ -126,30 +128,70 @@ def chunk_terms(chunk: Column) -> Column:
     )
 
 
+_COUNTS = "lang string, source string, term string, docs long, occurrences long"
+
+
+def _counted(lang: str, sources: pa.Array, terms: pa.Array, tid: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Of postings (term, document, occurrences) of one block: documents, each once, and occurrences by term and source."""
+    own = sources.dictionary_encode()
+    codes, width = own.indices.to_numpy().astype(np.int64), len(own.dictionary)
+    order = np.argsort(key := tid << 32 | at, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    pairs, times = key[first], np.add.reduceat(n[order], first) if len(first) else n
+    cells = (pairs >> 32) * width + codes[pairs & 0xFFFFFFFF]
+    cell, where, df = np.unique(cells, return_inverse=True, return_counts=True)
+    # Sums inside a block are far below 2^53.
+    occ = np.bincount(where, weights=times, minlength=len(cell)).astype(np.int64)
+    columns = [pa.repeat(lang, len(cell)), own.dictionary.take(pa.array(cell % width)), terms.take(pa.array(cell // width)), pa.array(df.astype(np.int64)), pa.array(occ)]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "docs", "occurrences"])
+
+
+def _spread(lists: pa.ListArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the lists ``rows``, one after the other, and the length of each."""
+    offsets, sizes = lists.offsets.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy()[rows].astype(np.int64)
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return lists.values.to_numpy()[np.repeat(offsets[rows], sizes) + within], sizes
+
+
+def counts_in_blocks(docs: DataFrame, columns: tuple[str, str, str], terms: pa.Table) -> DataFrame:
+    """Documents and occurrences by language, source and term, summed in each block; ``terms`` (chunk, term, k) is broadcast."""
+    terms = terms.sort_by("chunk").combine_chunks()
+    chunks, names = (terms[c].chunk(0).dictionary_encode() if len(terms) else pa.array([], pa.string()).dictionary_encode() for c in ("chunk", "term"))
+    starts = np.flatnonzero(np.r_[True, np.diff(chunks.indices.to_numpy()) != 0][: len(terms)])
+    held = docs.sparkSession.sparkContext.broadcast((chunks.dictionary, np.r_[starts, len(terms)], names.dictionary, names.indices.to_numpy().astype(np.int64), terms["k"].to_numpy()))
+
+    def emit(block: int, lang: str, own: pa.Table) -> Iterator[pa.RecordBatch]:
+        known, bounds, dictionary, term, k = held.value
+        found, at, times = _posting_lists(own["text"].chunk(0))
+        place = pc.index_in(found, value_set=known)
+        hit = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+        place = place.take(pa.array(hit)).to_numpy().astype(np.int64)
+        # A row for each term of each chunk, then one for each document of it.
+        each = bounds[place + 1] - bounds[place]
+        entry = np.repeat(bounds[place], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        rows = np.repeat(hit, each)
+        (documents, sizes), (n, _) = _spread(at, rows), _spread(times, rows)
+        rows_out = _counted(lang, own["source"].chunk(0), dictionary, np.repeat(term[entry], sizes), documents.astype(np.int64), n.astype(np.int64) * np.repeat(k[entry], sizes))
+        yield from (rows_out.slice(low, 50_000) for low in range(0, rows_out.num_rows, 50_000))
+
+    return _in_blocks(docs, columns, emit, _COUNTS)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks in order, the sources first, then the lists by term: documents and occurrences by term and source."""
-    names = codes = lang = rest = None
+    sources = lang = rest = None
 
     def merged(part: pa.Table) -> Iterator[pa.RecordBatch]:
         """Whole terms of one block."""
         terms = part["term"].combine_chunks().dictionary_encode()
-        tid = terms.indices.to_numpy().astype(np.int64)
-        docs, times = (part[c].combine_chunks() for c in ("docs", "times"))
-        sizes = pc.list_value_length(docs).to_numpy()
-        owner, at = np.repeat(tid, sizes), docs.flatten().to_numpy()
-        n = times.flatten().to_numpy().astype(np.int64) * np.repeat(part["k"].to_numpy(), sizes)
-        width, cells = len(names), len(terms.dictionary) * len(names)
-        once = np.unique(owner << 32 | at)
-        df = np.bincount((once >> 32) * width + codes[once & 0xFFFFFFFF], minlength=cells)
-        # Sums inside a block are far below 2^53.
-        occ = np.bincount(owner * width + codes[at], weights=n, minlength=cells).astype(np.int64)
-        cell = np.flatnonzero(df)
-        columns = [pa.repeat(lang, len(cell)), names.take(pa.array(cell % width)), terms.dictionary.take(pa.array(cell // width)), pa.array(df[cell]), pa.array(occ[cell])]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "docs", "occurrences"])
+        every = np.arange(part.num_rows)
+        (at, sizes), (n, _) = (_spread(part[c].combine_chunks(), every) for c in ("docs", "times"))
+        yield _counted(lang, sources, terms.dictionary, np.repeat(terms.indices.to_numpy().astype(np.int64), sizes), at.astype(np.int64), n.astype(np.int64) * np.repeat(part["k"].to_numpy(), sizes))
 
     def ended(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
         """All terms of ``table`` but the last, which may go on; that one as well at the end."""
-        nonlocal names, codes, lang, rest
+        nonlocal sources, lang, rest
         block, term = table["block"].to_numpy(), pc.fill_null(table["term"].combine_chunks().dictionary_encode().indices, -1).to_numpy()
         new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (term[1:] != term[:-1])])
         stop = len(block) if last else int(new[-1])
@@ -157,8 +199,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(term[:stop] < 0)
         for low, high in zip(np.r_[0, heads].tolist(), np.r_[heads, stop].tolist(), strict=True):
             if low < stop and term[low] < 0:
-                lang, own = table["lang"][low].as_py(), table["sources"].combine_chunks().slice(low, 1).flatten().dictionary_encode()
-                names, codes = own.dictionary, own.indices.to_numpy()
+                lang, sources = table["lang"][low].as_py(), table["sources"].combine_chunks().slice(low, 1).flatten()
                 low += 1
             if low < high:
                 yield from merged(table.slice(low, high - low))
@@ -171,10 +212,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from ended(rest, True)
 
 
-def _small(df: DataFrame, *texts: str) -> DataFrame:
-    """``df`` marked for broadcast if it is counted and found small; joins shuffle it otherwise."""
+def _is_small(df: DataFrame, *texts: str) -> bool:
     size = df.agg(F.count("*"), *(F.sum(F.octet_length(c)) for c in texts)).first()
-    return F.broadcast(df) if size[0] <= SMALL_ROWS and sum(x or 0 for x in size[1:]) <= SMALL_BYTES else df
+    return size[0] <= SMALL_ROWS and sum(x or 0 for x in size[1:]) <= SMALL_BYTES
 
 
 def term_counts(docs: DataFrame, min_docs: int = 1, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -183,16 +223,18 @@ def term_counts(docs: DataFrame, min_docs: int = 1, text_col: str = "text", lang
     known = chunk_counts(docs, columns).groupBy("chunk").agg(F.sum("docs").alias("docs"))
     parsed = materialize(known.select("chunk", "docs", F.explode(chunk_terms(F.col("chunk"))).alias("t")).select("chunk", "docs", "t.term", "t.k"), "chunks")
     enough = materialize(parsed.groupBy("term").agg(F.sum("docs").alias("most")).where(F.col("most") >= min_docs).select("term"), "enough")
-    terms = materialize(parsed.join(_small(enough, "term"), "term", "left_semi").select("chunk", "term", "k"), "chunk-terms")
-    postings = materialize(_with_terms(chunk_postings(docs, columns), terms), "postings")
-    merged = postings.repartition("block").sortWithinPartitions("block", F.col("term").asc_nulls_first()).mapInArrow(_merge, "lang string, source string, term string, docs long, occurrences long")
-    return merged.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))
+    terms = materialize(parsed.join(F.broadcast(enough) if _is_small(enough, "term") else enough, "term", "left_semi").select("chunk", "term", "k"), "chunk-terms")
+    if _is_small(terms, "chunk", "term"):
+        counted = counts_in_blocks(docs, columns, terms.toArrow())
+    else:
+        postings = materialize(_with_terms(chunk_postings(docs, columns), terms), "postings")
+        counted = postings.repartition("block").sortWithinPartitions("block", F.col("term").asc_nulls_first()).mapInArrow(_merge, _COUNTS)
+    return counted.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))
 
 
 def _with_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """The lists of each term of each chunk; the rows of sources, which have no chunk, keep none."""
-    known = _small(terms, "chunk", "term")
-    joined = postings.join(known, "chunk", "left").where(F.col("term").isNotNull() | F.col("sources").isNotNull())
+    joined = postings.join(terms, "chunk", "left").where(F.col("term").isNotNull() | F.col("sources").isNotNull())
     return joined.select("block", "lang", "sources", "term", "k", "docs", "times")
 
 
