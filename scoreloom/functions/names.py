@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Known document types, model tokens with labels, aliases, and display names.
 DOC_TYPES = ("ADR", "PRD", "TestPlan")
@@ -125,3 +126,16 @@ def model_tag(name: Column, prefixes: dict[str, str]) -> Column:
 def unique_stem(document: Column, image: Column) -> Column:
     """Document and image stems joined, without repeating the document's."""
     return F.when(image.startswith(document), image).otherwise(F.concat_ws("_", document, image))
+
+
+def numbered_stems(rows: DataFrame, folder: list[str], stem: str, order: str) -> DataFrame:
+    """``unique``: the stem, and from its second row in a folder on with ``_2``, ``_3``, ... behind it, by ``order``; a stem that so comes to exist already counts on.
+
+    Letter case does not part names, as on file systems that ignore it.
+    """
+    own = Window.partitionBy(*folder, F.lower(stem)).orderBy(order)
+    numbered = rows.withColumn("__n", F.row_number().over(own)).withColumn("unique", F.when(F.col("__n") == 1, F.col(stem)).otherwise(F.concat_ws("_", stem, "__n")))
+    # A numbered name may be another row's own stem; such rows take their number after a double mark.
+    taken = rows.select(*folder, F.lower(stem).alias("__low")).distinct().withColumn("__taken", F.lit(True))
+    met = numbered.withColumn("__low", F.lower("unique")).join(taken, [*folder, "__low"], "left")
+    return met.withColumn("unique", F.when((F.col("__n") > 1) & F.col("__taken"), F.concat_ws("__", stem, "__n")).otherwise(F.col("unique"))).select(*rows.columns, "unique")

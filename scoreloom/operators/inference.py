@@ -10,7 +10,6 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +19,6 @@ from scoreloom.functions import tails
 from scoreloom.operators.ranks import average_rank, block_rank, exact_median, ranked_values, tie_sum
 
 
-#: Cells of a table that the driver may hold.
-MAX_CELLS = 10_000
-
-
 def _tail(function, *columns) -> Column:
     @F.arrow_udf(T.DoubleType())
     def apply(*arrays: pa.Array) -> pa.Array:
@@ -33,6 +28,26 @@ def _tail(function, *columns) -> Column:
     return apply(*(F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in columns))
 
 
+#: Pairs up to which signed ranks have an exact p, the size of the smaller sample up to which U has one, and the products of sizes up to which it is counted.
+EXACT_PAIRS, EXACT_SAMPLE, EXACT_CELLS = 50, 8, 10_000_000
+
+
+def with_signed_rank_p(rows: DataFrame) -> DataFrame:
+    """Adds ``p`` to what ``signed_rank`` returns: exact for up to ``EXACT_PAIRS`` pairs without a zero, by the normal approximation else."""
+    exact = (F.col("n") <= EXACT_PAIRS) & (F.col("zeros") == 0)
+    small = _tail(tails.signed_rank_exact, F.when(exact, F.col("n")), "w_plus")
+    return rows.withColumn("p", F.when(exact, small).otherwise(_tail(tails.normal_two_sided, "z")))
+
+
+def with_rank_sum_p(rows: DataFrame) -> DataFrame:
+    """Adds ``p`` to what ``mann_whitney`` returns: exact without ties if a sample has up to ``EXACT_SAMPLE`` values, by the normal approximation else."""
+    n1, n2 = F.col("n1"), F.col("n2")
+    exact = (F.least(n1, n2) <= EXACT_SAMPLE) & (F.least(n1, n2) > 0) & (F.col("ties") == 0) & (n1 * n2 <= EXACT_CELLS)
+    small = _tail(tails.rank_sum_exact, F.when(exact, n1), "n2", "u")
+    # The correction for continuity may take z below the middle.
+    return rows.withColumn("p", F.when(exact, small).otherwise(_tail(lambda z: tails.normal_two_sided(max(z, 0.0)), "z")))
+
+
 def with_p(rows: DataFrame, kind: str, *columns) -> DataFrame:
     """Adds ``p`` of a statistic: ``normal(z)``, ``chi2(x, df)`` or ``f(f, df1, df2)``."""
     return rows.withColumn("p", _tail({"normal": tails.normal_two_sided, "chi2": tails.chi2_tail, "f": tails.f_tail}[kind], *columns))
@@ -53,29 +68,6 @@ def brown_forsythe(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     return one_way_f(rows.join(middle, group).withColumn("__d", F.abs(F.col(value) - F.col("__median"))), group, "__d")
 
 
-def two_way_anova(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
-    """Type-II sums of squares of two factors and their interaction, from one row a cell; an error above ``MAX_CELLS``."""
-    if len(rows.where(F.col(value).isNotNull()).select(a, b).distinct().limit(MAX_CELLS + 1).collect()) > MAX_CELLS:
-        raise ValueError(f"over {MAX_CELLS} cells of {a} and {b}")
-    cells = rows.where(F.col(value).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count("*")).alias("w")).toPandas()
-    n, m = cells["n"].to_numpy(float), cells["m"].to_numpy(float)
-
-    def explained(*factors):
-        design = np.column_stack([np.ones(len(cells)), *(pd.get_dummies(cells[f], drop_first=True).to_numpy(float) for f in factors)])
-        root = np.sqrt(n)
-        fit = design @ np.linalg.lstsq(design * root[:, None], m * root, rcond=None)[0]
-        return float((n * (m - fit) ** 2).sum()), int(np.linalg.matrix_rank(design)) if len(design) else 0
-
-    both, rank = explained(a, b)
-    parts = [(a, explained(b)), (b, explained(a))]
-    within, df2 = float(cells["w"].sum()), int(n.sum()) - len(cells)
-    found = [(name, rss - both, rank - r) for name, (rss, r) in parts] + [(f"{a}:{b}", both, len(cells) - rank), ("Residual", within, df2)]
-    total = sum(x[1] for x in found)
-    f = lambda ss, df: float(ss / df / (within / df2)) if within > 0 and df and df2 else None
-    out = [(name, float(ss), int(df), None if name == "Residual" else f(ss, df), float(ss / total) if total else None) for name, ss, df in found]
-    return rows.sparkSession.createDataFrame(out, "term string, ss double, df long, f double, eta2 double").withColumn("df2", F.lit(df2))
-
-
 def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
     """``(h, df)``, corrected for ties."""
     ranked = average_rank(rows.where(F.col(value).isNotNull()).select(group, value), value)
@@ -100,9 +92,9 @@ def friedman(rows: DataFrame, block: str, treatment: str, value: str, treatments
 
 
 def signed_rank(diffs: DataFrame, d: str, group: list[str]) -> DataFrame:
-    """Wilcoxon's signed ranks per group: ``n``, mean, ``w`` without zeros, paired r over all, dz, wins and z.
+    """Wilcoxon's signed ranks per group: ``n``, mean, ``w`` without zeros, paired r over all, dz, wins, z, and what ``with_signed_rank_p`` reads.
 
-    z is the normal approximation with tie correction; groups of fewer than 50 report it as well.
+    z is the normal approximation with tie correction, at every size.
     """
     rows = diffs.where(F.col(d).isNotNull()).withColumn("__a", F.abs(d))
     ranked = average_rank(rows, "__a", group, "rank_all")
@@ -113,7 +105,7 @@ def signed_rank(diffs: DataFrame, d: str, group: list[str]) -> DataFrame:
     zero_free = nonzero.groupBy(*group).agg(F.count("*").alias("m"), plus("rank_nz").alias("wp"), minus("rank_nz").alias("wm")).join(tie_sum(rows.where(F.col(d) != 0), "__a", group), group)
     m = F.col("m")
     z = F.try_divide(F.least("wp", "wm") - m * (m + 1) / 4, F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48))
-    return total.join(zero_free, group, "left").select(*group, "n", "mean", F.least("wp", "wm").alias("w"), F.try_divide(F.col("rp") - F.col("rm"), F.col("rp") + F.col("rm")).alias("r"), F.try_divide("mean", "std").alias("dz"), "wins", z.alias("z"))
+    return total.join(zero_free, group, "left").select(*group, "n", "mean", F.least("wp", "wm").alias("w"), F.try_divide(F.col("rp") - F.col("rm"), F.col("rp") + F.col("rm")).alias("r"), F.try_divide("mean", "std").alias("dz"), "wins", z.alias("z"), F.col("wp").alias("w_plus"), (F.col("n") - F.coalesce(m, F.lit(0))).alias("zeros"))
 
 
 def paired_differences(rows: DataFrame, pairs: list[tuple[str, str]], block: str = "document_id", treatment: str = "Model", value: str = "OverallScore") -> DataFrame:
@@ -131,9 +123,12 @@ def both_sides(rows: DataFrame, column: str, value: str, pairs: list[tuple[str,
 
 
 def mann_whitney(rows: DataFrame, column: str, value: str, pairs: list[tuple[str, str]] | None = None, levels: list[str] | None = None) -> DataFrame:
-    """U, rank-biserial r, z with tie and continuity correction, Cohen's d and the mean difference of each pair."""
-    pairs = pairs or list(combinations(sorted(levels), 2))
-    both = both_sides(rows, column, value, pairs)
+    """U, rank-biserial r, z with tie and continuity correction, Cohen's d, the mean difference and the tie sum of each pair."""
+    return rank_sums(both_sides(rows, column, value, pairs or list(combinations(sorted(levels), 2))))
+
+
+def rank_sums(both: DataFrame) -> DataFrame:
+    """The same for rows of ``(comparison, first, v)``."""
     ranked = average_rank(both, "v", ["comparison"])
     one, two = F.when(F.col("first"), F.col("v")), F.when(~F.col("first"), F.col("v"))
     sums = ranked.groupBy("comparison").agg(
@@ -147,7 +142,15 @@ def mann_whitney(rows: DataFrame, column: str, value: str, pairs: list[tuple[str
     pooled = F.sqrt(F.try_divide((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2"), n - 2))
     d = F.when(pooled == 0, 0.0).otherwise(F.try_divide(F.col("m1") - F.col("m2"), pooled))
     z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, spread)
-    return sums.select("comparison", "n1", "n2", (F.col("m1") - F.col("m2")).alias("delta"), u.alias("u"), (2 * F.try_divide(u, n1 * n2) - 1).alias("r"), d.alias("d"), z.alias("z"))
+    return sums.select("comparison", "n1", "n2", (F.col("m1") - F.col("m2")).alias("delta"), u.alias("u"), (2 * F.try_divide(u, n1 * n2) - 1).alias("r"), d.alias("d"), z.alias("z"), "ties")
+
+
+def two_type_rank_sum(rows: DataFrame, kind: str, unit: str, value: str) -> DataFrame:
+    """Mann-Whitney with p on the means of units of two kinds, in the order of their names; no row unless there are exactly two kinds."""
+    means = rows.groupBy(unit, kind).agg(F.avg(value).alias("v")).where(F.col(kind).isNotNull() & F.col("v").isNotNull())
+    ends = means.agg(F.min(kind).alias("one"), F.max(kind).alias("two"), F.countDistinct(kind).alias("kinds")).where("kinds = 2")
+    sides = means.crossJoin(F.broadcast(ends)).select(F.concat_ws(" vs ", "one", "two").alias("comparison"), (F.col(kind) == F.col("one")).alias("first"), "v")
+    return with_rank_sum_p(rank_sums(sides))
 
 
 def spearman(rows: DataFrame, a: str, b: str, group: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,61 +13,91 @@ from pyspark.sql import types as T
 
 from scoreloom.functions.names import is_valid
 from scoreloom.functions.tokens import tokenize_chars, tokenize_rouge, tokenize_terms
-from scoreloom.operators.pairs import KEY, make_pairs, overlap, select_models
+from scoreloom.operators.pairs import KEY, make_pairs, select_models
+from scoreloom.sources.scratch import written
 
 PAIR = [*KEY, "reference_model", "comparison_model"]
 DOC = [*KEY, "model"]
 #: Fixed: the weights of the four sentence scores, the third as published.
 BLEU_WEIGHTS = ((1.0,), (0.5, 0.5), (0.33, 0.33, 0.33), (0.25, 0.25, 0.25, 0.25))
 BLEU_EPSILON = 0.1
-#: Terms of the most documents, whose weights may be broadcast.
-COMMON = 50_000
+#: Rows and bytes of text of a table that may be broadcast.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 32 << 20
 
 
-def term_counts(corpus: DataFrame) -> DataFrame:
-    return corpus.select(*DOC, F.explode(tokenize_terms(F.col("text"))).alias("term")).groupBy(*DOC, "term").agg(F.count("*").alias("count"))
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("count", T.LongType())])))
+def _counted(terms: pa.Array) -> pa.Array:
+    """The distinct terms of each list with their counts."""
+    return pa.array([[{"term": t, "count": n} for t, n in Counter(own or ()).items()] for own in terms.to_pylist()], pa.list_(pa.struct([("term", pa.string()), ("count", pa.int64())])))
 
 
-def tfidf_fit(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(*DOC, term, weight)`` with unit length, and ``(term, idf, df)``, over all documents of enough text."""
-    fitted = corpus.where(is_valid(F.col("text")))
-    counts = term_counts(fitted)
+def term_profiles(corpus: DataFrame) -> DataFrame:
+    """``(*DOC, fits, terms)``: the counted terms of each text, inside its row, and whether it is long enough to fit on."""
+    return corpus.select(*DOC, is_valid(F.col("text")).alias("fits"), _counted(tokenize_terms(F.col("text"))).alias("terms"))
+
+
+def term_counts(profiles: DataFrame) -> DataFrame:
+    return profiles.select(*DOC, F.explode("terms").alias("t")).select(*DOC, "t.term", "t.count")
+
+
+def small(df: DataFrame, *texts: str) -> DataFrame:
+    """``df`` marked for broadcast if it is counted and found small; a join shuffles it otherwise, and AQE splits what is skewed."""
+    size = df.agg(F.count("*"), *(F.sum(F.octet_length(c)) for c in texts)).first()
+    return F.broadcast(df) if size[0] <= SMALL_ROWS and sum(x or 0 for x in size[1:]) <= SMALL_BYTES else df
+
+
+def tfidf_fit(profiles: DataFrame) -> DataFrame:
+    """``(term, idf, df)`` over all documents of enough text."""
+    fitted = profiles.where("fits")
     n = fitted.agg(F.count("*").alias("n_docs"))
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"), "df")
-    return tfidf_transform(counts, idf), idf
+    counted = fitted.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return counted.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"), "df")
+
+
+def tfidf_transform(profiles: DataFrame, idf: DataFrame) -> DataFrame:
+    """``(*DOC, vector)``: of each document's known terms, by term hash, the weights of unit length. A document without any has no row."""
+    raw = term_counts(profiles).join(small(idf.select("term", "idf"), "term"), "term").select(*DOC, F.struct(F.xxhash64("term").alias("key"), (F.col("count") * F.col("idf")).alias("w")).alias("e"))
+    whole = raw.groupBy(*DOC).agg(F.sort_array(F.collect_list("e")).alias("vector"), F.sqrt(F.sum(F.col("e.w") * F.col("e.w"))).alias("norm"))
+    return whole.select(*DOC, F.struct(F.col("vector.key").alias("keys"), F.transform("vector.w", lambda w: w / F.col("norm")).alias("weights")).alias("vector"))
 
 
-def tfidf_transform(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """Weights of unit length. The ``COMMON`` terms of most documents are looked up where the counts lie, so none gathers its rows."""
-    common = idf.orderBy(F.desc("df"), "term").limit(COMMON).select("term", F.col("idf").alias("common_idf"))
-    marked = counts.join(F.broadcast(common), "term", "left")
-    rest = marked.where("common_idf is null").drop("common_idf").join(idf.select("term", "idf"), "term")
-    looked_up = marked.where("common_idf is not null").withColumnRenamed("common_idf", "idf")
-    raw = looked_up.unionByName(rest).withColumn("w", F.col("count") * F.col("idf"))
-    norms = raw.groupBy(*DOC).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, DOC).select(*DOC, "term", (F.col("w") / F.col("norm")).alias("weight"))
+@F.arrow_udf(T.DoubleType())
+def _dot(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Dot products of sparse vectors, whose keys are sorted; 0 where one is missing."""
+    out = []
+    (a_keys, a_weights), (b_keys, b_weights) = (([x.field(c) for c in ("keys", "weights")]) for x in (left, right))
+    for i in range(len(left)):
+        if not (left[i].is_valid and right[i].is_valid):
+            out.append(0.0)
+            continue
+        x, y = a_keys[i].values.to_numpy(), b_keys[i].values.to_numpy()
+        at = np.searchsorted(y, x)
+        hit = np.flatnonzero(y[np.minimum(at, len(y) - 1)] == x) if len(y) else np.zeros(0, np.int64)
+        out.append(float(a_weights[i].values.to_numpy()[hit] @ b_weights[i].values.to_numpy()[at[hit]]))
+    return pa.array(out, pa.float64())
 
 
 def tfidf_similarity(corpus: DataFrame, references: list[str], candidates: list[str]) -> DataFrame:
-    """Cosine of every ordered pair; 0 without a common term. Documents too short to fit still take part."""
-    _, idf = tfidf_fit(corpus)
-    wanted = select_models(corpus, sorted({*references, *candidates}))
-    weights = tfidf_transform(term_counts(wanted), idf).withColumnRenamed("weight", "count")
-    dots = overlap(weights, ["term"], references, candidates, lambda r, c: r * c)
-    pairs = make_pairs(select_models(wanted, references).select(*DOC), select_models(wanted, candidates).select(*DOC))
-    return pairs.join(dots, PAIR, "left").select(*PAIR, F.coalesce("overlap", F.lit(0.0)).alias("tfidf_similarity"))
+    """Cosine of every ordered pair; 0 without a common term. Documents too short to fit still take part.
+
+    Terms are counted once, inside each text's row, and written; a document then is one
+    vector, and pairs meet on the document.
+    """
+    profiles = written(term_profiles(corpus), "terms")
+    wanted = select_models(profiles, sorted({*references, *candidates}))
+    vectors = wanted.select(*DOC).join(tfidf_transform(wanted, tfidf_fit(profiles)), DOC, "left")
+    pairs = make_pairs(select_models(vectors, references), select_models(vectors, candidates))
+    return pairs.select(*PAIR, _dot("ref_vector", "cand_vector").alias("tfidf_similarity"))
 
 
 def vocab_overlap_f1(corpus: DataFrame, references: list[str], candidates: list[str]) -> DataFrame:
     """2·|A∩B| / (|A|+|B|) over distinct terms; 0 if a text is too short or nothing is shared."""
     wanted = select_models(corpus, sorted({*references, *candidates}))
-    terms = term_counts(wanted.where(is_valid(F.col("text")))).withColumn("count", F.lit(1))
-    sizes = terms.groupBy(*DOC).agg(F.count("*").alias("size"))
-    docs = wanted.select(*DOC).join(sizes, DOC, "left")
-    shared = overlap(terms, ["term"], references, candidates, lambda r, c: r * c)
+    terms = F.when(is_valid(F.col("text")), F.transform(F.array_distinct(tokenize_terms(F.col("text"))), lambda t: F.xxhash64(t)))
+    docs = wanted.select(*DOC, terms.alias("terms"))
     pairs = make_pairs(select_models(docs, references), select_models(docs, candidates))
-    f1 = F.try_divide(2.0 * F.col("overlap"), F.col("ref_size") + F.col("cand_size"))
-    return pairs.join(shared, PAIR, "left").select(*PAIR, F.coalesce(f1, F.lit(0.0)).alias("f1_score"))
+    shared = F.size(F.array_intersect("ref_terms", "cand_terms"))
+    return pairs.select(*PAIR, F.coalesce(F.try_divide(2.0 * shared, F.size("ref_terms") + F.size("cand_terms")), F.lit(0.0)).alias("f1_score"))
 
 
 #: Odd factors that tell the places of the tokens of a gram apart.

@@ -9,11 +9,21 @@ from pyspark.sql.window import Window
 KEY = ["document_id", "doc_type"]
 
 
+#: Consecutive ids of a document table that stand for one source document.
+GRID_MODELS = 8
+
+
 def grid_corpus(docs: DataFrame) -> DataFrame:
-    """A document table as a corpus: 20 consecutive ids are one source document, ``source`` wrote each text."""
-    group = F.floor(F.col("doc_id") / 20)
-    document = F.concat(F.when(group % 2 == 0, "PAT-").otherwise("RPT-"), group)
-    return docs.select("doc_id", document.alias("document_id"), F.col("source").alias("model"), F.lit("ADR").alias("doc_type"), F.concat_ws("_", document, "source", F.lit("ADR.md")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    """A document table as a corpus, every row of it: ``GRID_MODELS`` consecutive ids are one source document, and an id's place among them is the model.
+
+    Rows of equal id are numbered, and the second one belongs to a document of its own.
+    """
+    group, place = F.floor(F.col("doc_id") / GRID_MODELS), F.pmod("doc_id", F.lit(GRID_MODELS))
+    text = F.coalesce("text", F.lit(""))
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(text))
+    document = F.concat(F.when(group % 2 == 0, "PAT-").otherwise("RPT-"), group, F.when(F.col("__n") > 1, F.concat(F.lit("#"), "__n")).otherwise(""))
+    rows = docs.withColumn("__n", again).select("doc_id", document.alias("document_id"), F.concat(F.lit("src"), place).alias("model"), F.lit("ADR").alias("doc_type"), text.alias("text"))
+    return rows.withColumn("path", F.concat_ws("_", "document_id", "model", F.lit("ADR.md"))).select("doc_id", "document_id", "model", "doc_type", "path", "text")
 
 
 def valid_documents(corpus: DataFrame) -> DataFrame:
@@ -42,19 +52,17 @@ def select_models(corpus: DataFrame, models: list[str]) -> DataFrame:
     return corpus.where(F.col("model").isin(models))
 
 
-def registry_order(model: str, registry: list[str]):
-    """Sort key by registry position, unknown models last."""
-    at = F.array_position(F.array(*map(F.lit, registry)), F.col(model))
-    return F.when(at == 0, len(registry) + 1).otherwise(at)
-
-
-def overlap(rows: DataFrame, on: list[str], references: list[str], candidates: list[str], value) -> DataFrame:
-    """Per ordered pair, ``value(ref count, cand count)`` summed over the items both have.
+def ordered_models(corpus: DataFrame, registry: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """``(model, label, place)`` of the models of a corpus: those wanted, in that order and once each, or all, by their position in the registry.
 
-    The join key holds the document, so an item meets at most as many rows as
-    the document has models, however common it is in the corpus.
+    ``registry`` has ``token, label, position``. Models that it does not know come
+    last, by name, and are their own label. A wanted model without a text has no row.
     """
-    r = select_models(rows, references).select(*KEY, F.col("model").alias("reference_model"), *on, F.col("count").alias("rc"))
-    c = select_models(rows, candidates).select(*KEY, F.col("model").alias("comparison_model"), *on, F.col("count").alias("cc"))
-    group = [*KEY, "reference_model", "comparison_model", *[x for x in on if x == "n"]]
-    return r.join(c, [*KEY, *on]).where("reference_model <> comparison_model").groupBy(*group).agg(F.sum(value(F.col("rc"), F.col("cc"))).alias("overlap"))
+    found = corpus.select("model").where(F.col("model").isNotNull()).distinct()
+    known = found.join(registry.select(F.col("token").alias("model"), "label", "position"), "model", "left")
+    if wanted is not None:
+        order = list(dict.fromkeys(wanted))
+        known = select_models(known, order).withColumn("position", F.array_position(F.array(*map(F.lit, order)), F.col("model")))
+    # A row a model from here on.
+    listed = Window.partitionBy(F.lit(0)).orderBy(F.col("position").asc_nulls_last(), "model")
+    return known.select("model", F.coalesce("label", "model").alias("label"), F.row_number().over(listed).alias("place"))

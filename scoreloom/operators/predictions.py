@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.operators.ranks import average_rank
 
@@ -31,9 +34,39 @@ def predict_from_scores(rows: DataFrame, scores: list[str]) -> DataFrame:
     }).drop("__p")
 
 
-def score_rows(rows: DataFrame, model: Callable, schema: str) -> DataFrame:
-    """Applies a caller's model to batches of rows: ``model`` maps an iterator of pandas frames to frames of ``schema``."""
-    return rows.mapInPandas(model, schema)
+def score_rows(rows: DataFrame, vector: str, width: int, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], classes: int = 2, batch_size: int = 1024) -> DataFrame:
+    """``rows`` with ``scores array<double>`` and ``error``: a caller's model applied to batches of vectors.
+
+    ``make_model`` is called once in each worker and returns a function from
+    ``(n, width)`` to ``(n, classes)``; weights belong in a broadcast that it reads.
+    Vectors that are null, of another width or hold nulls never reach the model. If a
+    batch fails, its rows are tried one by one, and only those that fail keep an error.
+    """
+
+    def make() -> Callable:
+        model = make_model()
+
+        def predict(vectors: np.ndarray) -> dict[str, np.ndarray]:
+            errors = np.full(len(vectors), "", dtype=object)
+            try:
+                return {"scores": np.asarray(model(vectors), dtype=np.float64), "error": errors}
+            except Exception:
+                scores = np.zeros((len(vectors), classes))
+                for i in range(len(vectors)):
+                    try:
+                        scores[i] = np.asarray(model(vectors[i : i + 1]), dtype=np.float64)[0]
+                    except Exception as e:
+                        errors[i] = str(e) or type(e).__name__
+                return {"scores": scores, "error": errors}
+
+        return predict
+
+    run = predict_batch_udf(make, return_type=T.StructType([T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())]), batch_size=batch_size, input_tensor_shapes=[[width]])
+    values = F.col(vector).cast("array<double>")
+    whole = F.coalesce((F.size(values) == width) & ~F.exists(values, lambda x: x.isNull()), F.lit(False))
+    done = rows.withColumn("__s", run(F.when(whole, values).otherwise(F.array_repeat(F.lit(0.0), width))))
+    error = F.when(~whole, "no vector").otherwise(F.col("__s.error"))
+    return done.withColumns({"error": error, "scores": F.when(error == "", F.col("__s.scores"))}).drop("__s")
 
 
 def label_from_folder(path: Column) -> Column:

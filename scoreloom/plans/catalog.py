@@ -1,7 +1,8 @@
 """Registered queries of the evaluation library, each beside its SQL where SQL can express it.
 
-Document tables stand for a corpus: 20 consecutive ids are one source document
-and ``source`` names the model that wrote a text. ``evaluations`` gives every
+Document tables stand for a corpus: eight consecutive ids are one source document,
+and an id's place among them names the model that wrote the text. So every row is
+the text of a model, and five models are references of the other three. ``evaluations`` gives every
 ordered pair of a reference and a local model twelve metric columns, ratios of
 counts in the two texts, so that the statistics run on tables of any size
 without recomputing the text metrics; missing values occur as in real tables.
@@ -11,13 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import names, tokens
-from scoreloom.operators import bootstrap, family, inference, lexical, mixed, pairs, predictions, ranks, scores, structure, vectors
+from scoreloom.operators import bootstrap, factors, family, inference, lexical, mixed, pairs, predictions, ranks, scores, structure, vectors
 from scoreloom.plans import jobs
 from scoreloom.sources import corpus as sources
+from scoreloom.sources.scratch import scratch_folder
 
 REFERENCES = [f"src{i}" for i in range(5)]
 LOCALS = ["src5", "src6", "src7"]
@@ -49,7 +52,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.keep_first(pairs.grid_corpus(table(spark, sf_dir, "documents")), ["doc_id"])
+    return pairs.grid_corpus(table(spark, sf_dir, "documents"))
 
 
 def evaluations(spark: SparkSession, sf_dir: str, references: list[str] = REFERENCES, candidates: list[str] = LOCALS) -> DataFrame:
@@ -95,8 +98,8 @@ def _quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-GRID = """g0 AS (SELECT doc_id, CASE WHEN (doc_id // 20) % 2 = 0 THEN 'PAT-' ELSE 'RPT-' END || (doc_id // 20) AS document_id, source AS model, 'ADR' AS doc_type, coalesce(text, '') AS text FROM documents),
-g AS (SELECT * FROM g0 QUALIFY row_number() OVER (PARTITION BY document_id, model ORDER BY doc_id) = 1)"""
+GRID = f"""g AS (SELECT doc_id, CASE WHEN (doc_id // {pairs.GRID_MODELS}) % 2 = 0 THEN 'PAT-' ELSE 'RPT-' END || (doc_id // {pairs.GRID_MODELS}) || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS document_id,
+    'src' || (doc_id % {pairs.GRID_MODELS}) AS model, 'ADR' AS doc_type, coalesce(text, '') AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(text, '')) AS n FROM documents))"""
 
 
 def _mean(columns) -> str:
@@ -559,9 +562,32 @@ def pending_work(spark, sf_dir):
 # Statistics -------------------------------------------------------------------------------------
 
 
+def _anova_sql(source: str) -> str:
+    """Type-II squares of ``source(a, b, v)`` where b has two levels, so the reduced normal equation has one unknown."""
+    return f"""c AS (SELECT a, b, count(*) AS n, avg(v) - (SELECT avg(v) FROM {source}) AS m, var_pop(v) * count(*) AS w FROM {source} WHERE v IS NOT NULL GROUP BY a, b),
+ra AS (SELECT a, sum(n) AS n, sum(n * m) AS s, sum(n) FILTER (b = (SELECT min(b) FROM c)) AS n1, sum(n * m) FILTER (b = (SELECT min(b) FROM c)) AS s1 FROM c GROUP BY a),
+rb AS (SELECT b, sum(n) AS n, sum(n * m) AS s FROM c GROUP BY b),
+z AS (SELECT (SELECT sum(n * m * m) FROM c) AS q, (SELECT sum(s * s / n) FROM ra) AS fa, (SELECT sum(s * s / n) FROM rb) AS fb, sum(coalesce(s1, 0) - coalesce(n1, 0) * s / n) AS r, sum(coalesce(n1, 0) - coalesce(n1, 0) * coalesce(n1, 0) / n) AS d,
+    count(*) AS ka, (SELECT count(*) FROM rb) AS kb, (SELECT count(*) FROM c) AS cells, (SELECT sum(w) FROM c) AS w, (SELECT sum(n) FROM c) AS n FROM ra),
+y AS (SELECT *, greatest(0, q - fa - r * r / d) AS rest FROM z),
+t AS (SELECT unnest([{{'t': 'a', 'ss': q - fb - rest, 'df': ka - 1}}, {{'t': 'b', 'ss': q - fa - rest, 'df': kb - 1}}, {{'t': 'a:b', 'ss': rest, 'df': cells - ka - kb + 1}}, {{'t': 'Residual', 'ss': w, 'df': n - cells}}], recursive := true), w / (n - cells) AS ms, (n - cells)::BIGINT AS df2 FROM y)"""
+
+
+@register(f"""WITH src AS (SELECT l_returnflag AS a, l_linestatus AS b, l_extendedprice AS v FROM lineitem), {_anova_sql('src')}
+SELECT CASE t WHEN 'a' THEN 'l_returnflag' WHEN 'b' THEN 'l_linestatus' WHEN 'a:b' THEN 'l_returnflag:l_linestatus' ELSE t END AS term, round(ss, 6) AS ss, df::BIGINT AS df, CASE WHEN t <> 'Residual' AND df > 0 THEN round(ss / df / ms, 6) END AS f, round(ss / sum(ss) OVER (), 6) AS eta2, df2 FROM t""")
+def two_way_anova_f(spark, sf_dir):
+    return factors.two_way_anova(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice")
+
+
 @register()
 def two_way_anova(spark, sf_dir):
-    return inference.with_p(inference.two_way_anova(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice"), "f", "f", "df", "df2")
+    return inference.with_p(factors.two_way_anova(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice"), "f", "f", "df", "df2")
+
+
+@register()
+def two_way_anova_of_many_levels(spark, sf_dir):
+    """Parts and suppliers: as many levels as the tables hold, most cells empty."""
+    return factors.two_way_anova(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 _FORSYTHE = "WITH d AS (SELECT l_returnflag, l_linestatus, abs(l_extendedprice - median(l_extendedprice) OVER (PARTITION BY l_returnflag, l_linestatus)) AS d FROM lineitem), c AS (SELECT count(*) AS n, avg(d) AS m, var_pop(d) * count(*) AS w FROM d GROUP BY l_returnflag, l_linestatus)"
@@ -602,22 +628,53 @@ _WIDE = ", ".join(f"avg(OverallScore) FILTER (Model = '{m}') AS {m}" for m in LO
 _DIFFS = " UNION ALL ".join(f"SELECT '{a} vs {b}' AS comparison, {a} - {b} AS d FROM wide" for a, b in MODEL_PAIRS)
 
 
-@register(f"""{EV}, wide AS (SELECT document_id, {_WIDE} FROM ev GROUP BY document_id), dd AS (SELECT * FROM ({_DIFFS}) WHERE d IS NOT NULL),
+_PAIRED = f"""{EV.replace('WITH', 'WITH RECURSIVE', 1)}, wide AS (SELECT document_id, {_WIDE} FROM ev GROUP BY document_id), dd AS (SELECT * FROM ({_DIFFS}) WHERE d IS NOT NULL),
 a AS (SELECT comparison, d, {_AVG_RANK('comparison', 'abs(d)')} AS r FROM dd), z AS (SELECT comparison, d, {_AVG_RANK('comparison', 'abs(d)')} AS r FROM dd WHERE d <> 0),
 t AS (SELECT comparison, sum(t * t * t - t) AS ties FROM (SELECT comparison, count(*)::DOUBLE AS t FROM z GROUP BY comparison, abs(d)) GROUP BY comparison),
 x AS (SELECT comparison, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS std, sum((d > 0)::INT)::BIGINT AS wins, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS rp, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS rm FROM a GROUP BY comparison),
-y AS (SELECT comparison, count(*)::DOUBLE AS m, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS w FROM z GROUP BY comparison)
-SELECT comparison, n, round(mean, 6)::DOUBLE AS mean, w, round((rp - rm) / (rp + rm), 6) AS r, round(mean / std, 6)::DOUBLE AS dz, wins, round((w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 6) AS z FROM x LEFT JOIN y USING (comparison) LEFT JOIN t USING (comparison)""")
+y AS (SELECT comparison, count(*)::DOUBLE AS m, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS wp, least(wp, coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS w FROM z GROUP BY comparison),
+tested AS (SELECT comparison, n, mean, w, wp, n - m AS zeros, (rp - rm) / (rp + rm) AS r, mean / std AS dz, wins, (w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48) AS z FROM x LEFT JOIN y USING (comparison) LEFT JOIN t USING (comparison))"""
+_PAIRED_COLUMNS = "comparison, n, round(mean, 6)::DOUBLE AS mean, w, round(r, 6) AS r, round(dz, 6)::DOUBLE AS dz, wins, round(z, 6) AS z"
+
+
+@register(f"{_PAIRED} SELECT {_PAIRED_COLUMNS} FROM tested")
 def paired_wilcoxon(spark, sf_dir):
-    return inference.signed_rank(inference.paired_differences(scored(spark, sf_dir), MODEL_PAIRS), "d", ["comparison"])
+    return inference.signed_rank(inference.paired_differences(scored(spark, sf_dir), MODEL_PAIRS), "d", ["comparison"]).drop("w_plus", "zeros")
 
 
-@register()
+def _normal_p(z: str) -> str:
+    """Two-sided p of ``z`` by the error function's series of positive terms."""
+    x = f"(abs({z}) / sqrt(2))"
+    return f"CASE WHEN abs({z}) > 7 THEN 0.0 WHEN {z} = 0 THEN 1.0 ELSE 1 - exp(-{x} * {x}) * list_sum([exp((2 * i + 1) * ln({x}) - lgamma(i + 1.5)) for i in range(160)]) END"
+
+
+# Ways to sign the ranks 1 to n by their sum, a rank at a time.
+_SIGNED = """ways AS (SELECT 0 AS n, 0 AS w, 1::DOUBLE AS c UNION ALL SELECT n + 1, x, sum(c) FROM ways, unnest([w, w + n + 1]) u(x) WHERE n < 50 GROUP BY n, x),
+exact AS (SELECT comparison, CASE WHEN floor(wp)::INT = any_value(ways.n) * (any_value(ways.n) + 1) // 2 // 2 THEN 1.0 ELSE least(1.0, 2 * least(sum(c) FILTER (ways.w <= floor(wp)), sum(c) FILTER (ways.w >= floor(wp))) / sum(c)) END AS p FROM tested JOIN ways ON ways.n = tested.n WHERE zeros = 0 GROUP BY comparison, wp)"""
+
+
+@register(f"""{_PAIRED}, {_SIGNED}, ps AS (SELECT tested.*, coalesce(p, {_normal_p('z')}) AS p FROM tested LEFT JOIN exact USING (comparison)), o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS k FROM ps)
+SELECT {_PAIRED_COLUMNS}, round(p, 6)::DOUBLE AS p, round(max(least(1.0, p * (k - i + 1))) OVER (ORDER BY i), 6)::DOUBLE AS p_holm FROM o""")
 def paired_wilcoxon_holm(spark, sf_dir):
-    tested = inference.with_p(inference.signed_rank(inference.paired_differences(scored(spark, sf_dir), MODEL_PAIRS), "d", ["comparison"]), "normal", "z")
+    tested = inference.with_signed_rank_p(inference.signed_rank(inference.paired_differences(scored(spark, sf_dir), MODEL_PAIRS), "d", ["comparison"])).drop("w_plus", "zeros")
     return ranks.holm_adjust(tested, "p")
 
 
+# Signs of the differences of small samples: each supplier's months against all its others.
+
+
+@register(f"""WITH RECURSIVE q AS (SELECT l_suppkey, month(l_shipdate) AS m, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), dd AS (SELECT l_suppkey AS comparison, v - avg(v) OVER (PARTITION BY l_suppkey) AS d FROM q),
+z AS (SELECT comparison, d, {_AVG_RANK('comparison', 'abs(d)')} AS r FROM dd WHERE d <> 0), y AS (SELECT comparison, count(*) AS m, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS wp FROM z GROUP BY comparison),
+tested AS (SELECT comparison, count(*) AS n, count(*) - coalesce(any_value(m), 0) AS zeros, any_value(wp) AS wp FROM dd LEFT JOIN y USING (comparison) GROUP BY comparison), {_SIGNED}
+SELECT comparison AS l_suppkey, n, round(p, 6)::DOUBLE AS p FROM tested JOIN exact USING (comparison)""")
+def small_sample_signed_ranks(spark, sf_dir):
+    """Months of each supplier, at most twelve differences a group."""
+    means = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.month("l_shipdate").alias("m")).agg(F.avg("l_quantity").alias("v"))
+    middle = means.groupBy("l_suppkey").agg(F.avg("v").alias("middle"))
+    tested = inference.with_signed_rank_p(inference.signed_rank(means.join(middle, "l_suppkey").withColumn("d", F.col("v") - F.col("middle")), "d", ["l_suppkey"]))
+    return tested.where("zeros = 0").select("l_suppkey", "n", "p")
+
+
 def _mw_sql(source: str, comparison: str) -> str:
     """``source`` gives comparison, first, v."""
     return f"""k AS (SELECT *, {_AVG_RANK('comparison', 'v')} AS r FROM {source} WHERE v IS NOT NULL), t AS (SELECT comparison, sum(t * t * t - t) AS ties FROM (SELECT comparison, count(*)::DOUBLE AS t FROM k GROUP BY comparison, v) GROUP BY comparison),
@@ -631,55 +688,77 @@ _MW_ROWS = " UNION ALL ".join(f"SELECT '{a} vs {b}' AS comparison, Model = '{a}'
 
 @register(f"{EV}, rows AS ({_MW_ROWS}), {_mw_sql('rows', '')}")
 def mann_whitney(spark, sf_dir):
-    return inference.mann_whitney(scored(spark, sf_dir), "Model", "OverallScore", MODEL_PAIRS)
+    return inference.mann_whitney(scored(spark, sf_dir), "Model", "OverallScore", MODEL_PAIRS).drop("ties")
 
 
 @register(f"{EV}, rows AS (SELECT 'same vs cross' AS comparison, same_family AS first, OverallScore AS v FROM ev), {_mw_sql('rows', '')}")
 def family_test(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("kind", F.when(F.col("same_family"), "same").otherwise("cross"))
-    return inference.mann_whitney(rows, "kind", "OverallScore", [("same", "cross")])
+    return inference.mann_whitney(rows, "kind", "OverallScore", [("same", "cross")]).drop("ties")
 
 
-@register(f"{EV}, rows AS (SELECT 'patent vs report' AS comparison, DocType = 'patent' AS first, avg(OverallScore) AS v FROM ev GROUP BY document_id, DocType), {_mw_sql('rows', '')}")
+_TYPES = f"{EV}, rows AS (SELECT 'patent vs report' AS comparison, DocType = 'patent' AS first, avg(OverallScore) AS v FROM ev GROUP BY document_id, DocType), {_mw_sql('rows', '')}"
+_BY_TYPE = _TYPES.rpartition("SELECT comparison")
+
+
+@register(f"{_BY_TYPE[0]}, by_type AS ({_BY_TYPE[1]}{_BY_TYPE[2]}), tested AS (SELECT *, greatest(z, 0) AS zp FROM by_type) SELECT * EXCLUDE (zp), round({_normal_p('zp')}, 6)::DOUBLE AS p FROM tested")
 def doc_type_mann_whitney(spark, sf_dir):
-    docs = scored(spark, sf_dir).groupBy("document_id", "DocType").agg(F.avg("OverallScore").alias("m"))
-    return inference.mann_whitney(docs, "DocType", "m", [("patent", "report")])
+    """Of document means, only if there are exactly two types."""
+    return inference.two_type_rank_sum(scored(spark, sf_dir), "DocType", "document_id", "OverallScore").drop("ties")
+
+
+# Ways to deal ranks to a sample of n1 and one of n2, by U: the last rank goes to the one or the other.
+_DEALT = """deals AS (SELECT n1, n2, u, c FROM (SELECT 0 AS n1, 0 AS n2, 0 AS u, 1::DOUBLE AS c)
+UNION ALL SELECT n1 + x, n2 + 1 - x, u + x * n2, sum(c) FROM deals, unnest([0, 1]) t(x) WHERE n1 + n2 < 14 GROUP BY ALL)"""
+
+
+@register(f"""WITH RECURSIVE k AS (SELECT l_suppkey AS comparison, month(l_shipdate) < 7 AS first, avg(l_extendedprice) AS v FROM lineitem GROUP BY l_suppkey, month(l_shipdate)),
+r AS (SELECT *, rank() OVER (PARTITION BY comparison ORDER BY v) AS r, count(*) OVER (PARTITION BY comparison, v) AS t FROM k),
+s AS (SELECT comparison, count(*) FILTER (first) AS n1, count(*) FILTER (NOT first) AS n2, sum(r) FILTER (first) AS r1 FROM r GROUP BY comparison HAVING max(t) = 1 AND n1 > 0 AND n2 > 0), m AS (SELECT comparison, n1, n2, (r1 - n1 * (n1 + 1) / 2)::BIGINT AS u FROM s), {_DEALT}
+SELECT comparison AS l_suppkey, m.n1, m.n2, m.u::DOUBLE AS u, round(least(1.0, 2 * sum(c) FILTER (d.u <= least(m.u, m.n1 * m.n2 - m.u)) / sum(c)), 6)::DOUBLE AS p FROM m JOIN deals d ON d.n1 = m.n1 AND d.n2 = m.n2 GROUP BY ALL""")
+def small_sample_rank_sums(spark, sf_dir):
+    """Each supplier's first half-year months against the others."""
+    means = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("comparison"), F.month("l_shipdate").alias("m")).agg(F.avg("l_extendedprice").alias("v"))
+    tested = inference.with_rank_sum_p(inference.rank_sums(means.select("comparison", (F.col("m") < 7).alias("first"), "v")))
+    return tested.where("ties = 0 and n1 > 0 and n2 > 0").select(F.col("comparison").alias("l_suppkey"), "n1", "n2", "u", "p")
 
 
 _FAMILY_RESIDUALS = " OR ".join(f"(Reference = '{r}' AND Model = '{c}')" for r, c, _ in FAMILIES)
-_WALK = f"('0x' || substr(h, 1, 8))::BIGINT % {bootstrap.PRIME} AS a, ('0x' || substr(h, 9, 8))::BIGINT % {bootstrap.PRIME - 1} + 1 AS b"
-_KEY_DIGEST = "md5(document_id || '-' || Reference || '-' || Model || '-42')"
-_WEIGHT = " + ".join(f"((a + rep * b) % {bootstrap.PRIME} >= {x})::INT" for x in bootstrap.STEPS)
+
+
+def _draws_sql(keys: str, side: str, replicates: int) -> str:
+    """Of ``sized(keys, n)``: the places that fall to each draw of each replicate."""
+    p, step = bootstrap.PRIME, bootstrap.STEPS
+    return f"""SELECT {keys}, rep, ((y * y % {p}) * x % {p}) * n // {p} AS place FROM (SELECT *, x * x % {p} AS y FROM (
+SELECT {keys}, rep, n, (draw * {step['draw']} + rep * {step['rep']} + (({side}) * {step['side']} + {42 * step['seed'] % p}) % {p}) % {p} AS x FROM (SELECT *, unnest(range(n)) AS draw FROM sized), (SELECT unnest(range({replicates})) AS rep)))"""
 
 
 def _mean_ci_sql(group: str, source: str) -> str:
-    """Percentiles of resampled means of ``source(group, v, h)``, as the tables ``m`` and ``ci``."""
-    return f"""w0 AS (SELECT {group}, v, {_WALK} FROM ({source})), w1 AS (SELECT {group}, v, rep, {_WEIGHT} AS k FROM w0, (SELECT unnest(range(0, 5000)) AS rep)),
-m AS (SELECT {group}, rep, sum(k * v) / sum(k) AS m FROM w1 GROUP BY ALL), ci AS (SELECT {group}, round(quantile_cont(m, 0.025), 6)::DOUBLE AS low, round(quantile_cont(m, 0.975), 6)::DOUBLE AS high FROM m GROUP BY {group})"""
+    """Percentiles of resampled means of ``source(group, v)``, as the tables ``m`` and ``ci``."""
+    return f"""w0 AS (SELECT {group}, v, row_number() OVER (PARTITION BY {group} ORDER BY v) - 1 AS place FROM ({source})), sized AS (SELECT {group}, count(*) AS n FROM w0 GROUP BY {group}),
+m AS (SELECT {group}, rep, avg(v) AS m FROM ({_draws_sql(group, '0', 5000)}) JOIN w0 USING ({group}, place) GROUP BY {group}, rep), ci AS (SELECT {group}, round(quantile_cont(m, 0.025), 6)::DOUBLE AS low, round(quantile_cont(m, 0.975), 6)::DOUBLE AS high FROM m GROUP BY {group})"""
 
 
-@register(f"{_CENTERED}, {_mean_ci_sql('Reference', f'SELECT Reference, residual AS v, {_KEY_DIGEST} AS h FROM dc WHERE residual IS NOT NULL AND ({_FAMILY_RESIDUALS})')} SELECT * FROM ci")
+@register(f"{_CENTERED}, {_mean_ci_sql('Reference', f'SELECT Reference, residual AS v FROM dc WHERE residual IS NOT NULL AND ({_FAMILY_RESIDUALS})')} SELECT * FROM ci")
 def bootstrap_mean_ci(spark, sf_dir):
     rows = centered(spark, sf_dir).where(_FAMILY_RESIDUALS)
-    return bootstrap.bootstrap_mean_ci(rows, "residual", ["Reference"], family.KEY)
+    return bootstrap.bootstrap_mean_ci(rows, "residual", ["Reference"])
 
 
 def _biserial_ci_sql(source: str) -> str:
-    """Percentiles of resampled rank-biserial r of ``source(comparison, first, v, h)``, as the table ``rci``."""
-    return f"""b0 AS (SELECT comparison, first, v, {_WALK} FROM ({source}) WHERE v IS NOT NULL), b1 AS (SELECT comparison, first, v, rep, {_WEIGHT} AS k FROM b0, (SELECT unnest(range(0, 3000)) AS rep)),
-b2 AS (SELECT comparison, rep, v, sum(k) FILTER (first) AS k1, sum(k) FILTER (NOT first) AS k2 FROM b1 GROUP BY ALL), b3 AS (SELECT comparison, rep, coalesce(k1, 0) AS k1, coalesce(k2, 0) AS k2, coalesce(sum(coalesce(k2, 0)) OVER (PARTITION BY comparison, rep ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b2),
+    """Percentiles of resampled rank-biserial r of ``source(comparison, first, v)``, as the table ``rci``."""
+    return f"""b0 AS (SELECT comparison, first, v, row_number() OVER (PARTITION BY comparison, first ORDER BY v) - 1 AS place FROM ({source}) WHERE v IS NOT NULL), sized AS (SELECT comparison, first, count(*) AS n FROM b0 GROUP BY ALL),
+b1 AS (SELECT comparison, rep, v, first FROM ({_draws_sql('comparison, first', 'CASE WHEN first THEN 0 ELSE 1 END', 3000)}) JOIN b0 USING (comparison, first, place)),
+b2 AS (SELECT comparison, rep, v, count(*) FILTER (first) AS k1, count(*) FILTER (NOT first) AS k2 FROM b1 GROUP BY ALL), b3 AS (SELECT *, coalesce(sum(k2) OVER (PARTITION BY comparison, rep ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b2),
 b4 AS (SELECT comparison, rep, 2 * sum(k1 * (below + k2 / 2.0::DOUBLE)) / (sum(k1) * sum(k2))::DOUBLE - 1 AS r FROM b3 GROUP BY ALL), rci AS (SELECT comparison, round(quantile_cont(r, 0.025), 6)::DOUBLE AS low, round(quantile_cont(r, 0.975), 6)::DOUBLE AS high FROM b4 GROUP BY comparison)"""
 
 
-@register(f"{EV}, {_biserial_ci_sql(f'SELECT 1 AS comparison, same_family AS first, OverallScore AS v, {_KEY_DIGEST} AS h FROM ev')} SELECT low, high FROM rci")
+@register(f"{EV}, {_biserial_ci_sql('SELECT 1 AS comparison, same_family AS first, OverallScore AS v FROM ev')} SELECT low, high FROM rci")
 def bootstrap_rank_biserial_ci(spark, sf_dir):
-    return bootstrap.bootstrap_rank_biserial_ci(evaluations(spark, sf_dir), "same_family", "OverallScore", family.KEY)
-
-
-_MW_KEYED = _MW_ROWS.replace("OverallScore AS v", f"OverallScore AS v, {_KEY_DIGEST} AS h")
+    return bootstrap.bootstrap_rank_biserial_ci(evaluations(spark, sf_dir), "same_family", "OverallScore")
 
 
-@register(f"{EV}, {_biserial_ci_sql(_MW_KEYED)} SELECT comparison, low, high FROM rci")
+@register(f"{EV}, {_biserial_ci_sql(_MW_ROWS)} SELECT comparison, low, high FROM rci")
 def independent_pairs_ci(spark, sf_dir):
     return family.independent_pairs(scored(spark, sf_dir), MODEL_PAIRS).select("comparison", "low", "high")
 
@@ -709,7 +788,7 @@ def family_gaps(spark, sf_dir):
 _OWN_RESIDUALS = f"own AS (SELECT dc.*, l.family FROM dc JOIN ({_FAMILY_LIST}) l ON dc.Reference = l.own_reference AND dc.Model = l.Model WHERE residual IS NOT NULL)"
 
 
-@register(f"{_CENTERED}, {_OWN_RESIDUALS}, {_mean_ci_sql('family', f'SELECT family, residual AS v, {_KEY_DIGEST} AS h FROM own')} SELECT family, count(*) AS n, round(avg(residual), 6)::DOUBLE AS mean_residual, sum((residual > 0)::INT)::BIGINT AS positive, round(avg((residual > 0)::INT), 6)::DOUBLE AS share_positive, any_value(low) AS low, any_value(high) AS high FROM own JOIN ci USING (family) GROUP BY family")
+@register(f"{_CENTERED}, {_OWN_RESIDUALS}, {_mean_ci_sql('family', 'SELECT family, residual AS v FROM own')} SELECT family, count(*) AS n, round(avg(residual), 6)::DOUBLE AS mean_residual, sum((residual > 0)::INT)::BIGINT AS positive, round(avg((residual > 0)::INT), 6)::DOUBLE AS share_positive, any_value(low) AS low, any_value(high) AS high FROM own JOIN ci USING (family) GROUP BY family")
 def family_residuals(spark, sf_dir):
     return family.residual_signs(centered(spark, sf_dir), FAMILIES).drop("w", "z", "p")
 
@@ -728,7 +807,7 @@ y AS (SELECT Reference, Model, count(*)::DOUBLE AS m, least(coalesce(sum(r) FILT
 SELECT Reference, Model, n, round(mean, 6)::DOUBLE AS mean, w, round((rp - rm) / (rp + rm), 6) AS r, round(mean / std, 6)::DOUBLE AS dz, wins, round((w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 6) AS z FROM x LEFT JOIN y USING (Reference, Model) LEFT JOIN t USING (Reference, Model)""")
 def residual_sign_test(spark, sf_dir):
     rows = centered(spark, sf_dir).where(_FAMILY_RESIDUALS).where("residual is not null")
-    return inference.signed_rank(rows, "residual", ["Reference", "Model"])
+    return inference.signed_rank(rows, "residual", ["Reference", "Model"]).drop("w_plus", "zeros")
 
 
 @register(f"""{_CENTERED}, x AS (SELECT CASE WHEN document_id LIKE 'PAT%' THEN 'patent' ELSE 'report' END AS DocType, residual > 0 AS up FROM dc WHERE residual IS NOT NULL AND ({_FAMILY_RESIDUALS})),
@@ -875,3 +954,136 @@ def study_leniency(spark, sf_dir):
 def study_family_gaps(spark, sf_dir):
     """Real metrics of all pairs into the gaps of the families."""
     return family.family_gaps(kept(study(spark, sf_dir).select("document_id", "Reference", "Model", "OverallScore")), FAMILIES)
+
+
+# Batch scoring, order and names --------------------------------------------------------------------
+
+#: A linear model of two classes that refuses vectors whose first component is large.
+WEIGHTS = [[((7 * i + 3 * c) % 11 - 5) / 10 for c in range(2)] for i in range(64)]
+LARGEST = 0.25
+
+
+def linear_model(spark: SparkSession):
+    """Makes the model in each worker from weights that are broadcast once."""
+    held = spark.sparkContext.broadcast(WEIGHTS)
+
+    def make():
+        weights = np.array(held.value)
+
+        def model(x):
+            if (x[:, 0] > LARGEST).any():
+                raise ValueError("out of range")
+            return x.astype(np.float64) @ weights
+
+        return model
+
+    return make
+
+
+def _linear(c: int) -> str:
+    return f"list_dot_product(v, {[w[c] for w in WEIGHTS]}::DOUBLE[])"
+
+
+@register(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, CASE WHEN embedding IS NULL OR len(embedding) <> 64 OR vec_id % 50 = 7 THEN 'no vector' WHEN embedding[1] > {LARGEST} THEN 'out of range' ELSE '' END AS error FROM embeddings),
+s AS (SELECT vec_id, error, CASE WHEN error = '' THEN {_linear(0)} END AS a, CASE WHEN error = '' THEN {_linear(1)} END AS b FROM e)
+SELECT vec_id, error, round(a, 6) AS a, round(b, 6) AS b, CASE WHEN a >= b THEN 0 WHEN a < b THEN 1 END AS predicted_class_idx, round(1 / (1 + exp(b - a)), 6) AS prob_diagram, round(1 - 1 / (1 + exp(b - a)), 6) AS prob_general FROM s""")
+def batch_scores(spark, sf_dir):
+    """Every vector through a model in batches; vectors that are missing or that the model refuses keep their error."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 50 != 7, F.col("embedding")).alias("embedding"))
+    scored_rows = predictions.score_rows(rows, "embedding", 64, linear_model(spark))
+    both = scored_rows.select("vec_id", F.col("error").alias("why"), F.get("scores", F.lit(0)).alias("a"), F.get("scores", F.lit(1)).alias("b"))
+    return predictions.predict_from_scores(both, ["a", "b"]).select("vec_id", F.col("why").alias("error"), "a", "b", "predicted_class_idx", "prob_diagram", "prob_general")
+
+
+#: Registered models, in order; a corpus holds others as well.
+REGISTRY = [("src6", "Six", 1), ("src2", "Two", 2), ("src7", "Seven", 3), ("src0", "Zero", 4), ("src99", "None", 5)]
+WANTED = ["src3", "src2", "src3", "src99", "src6"]
+
+
+@register(f"""WITH {GRID}, r(model, label, position) AS (VALUES {', '.join(map(str, REGISTRY))}), w(model, position) AS (VALUES {', '.join(f"('{m}', {i})" for i, m in enumerate(dict.fromkeys(WANTED)))}), m AS (SELECT model, count(*) AS texts FROM g GROUP BY model)
+SELECT 'all' AS listing, m.model, coalesce(r.label, m.model) AS label, row_number() OVER (ORDER BY r.position NULLS LAST, m.model)::INT AS place, texts FROM m LEFT JOIN r ON r.model = m.model
+UNION ALL SELECT 'wanted', m.model, coalesce(r.label, m.model), row_number() OVER (ORDER BY w.position)::INT, texts FROM m JOIN w ON w.model = m.model LEFT JOIN r ON r.model = m.model""")
+def ordered_models(spark, sf_dir):
+    """The models of the corpus by the registry, unknown ones last, and those of a request in its order."""
+    docs = grid(spark, sf_dir)
+    registry = spark.createDataFrame(REGISTRY, "token string, label string, position int")
+    texts = docs.groupBy("model").agg(F.count("*").alias("texts"))
+    listings = [pairs.ordered_models(docs, registry, w).select(F.lit(n).alias("listing"), "model", "label", "place") for n, w in (("all", None), ("wanted", WANTED))]
+    return listings[0].union(listings[1]).join(texts, "model")
+
+
+@register(r"""WITH s AS (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/.]*)(\.[^/]*)?$', 1) AS image FROM pages),
+t AS (SELECT page_id, host, CASE WHEN starts_with(image, host) THEN image ELSE host || '_' || image END AS stem FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY host, lower(stem) ORDER BY page_id) AS n FROM t),
+u AS (SELECT page_id, host, stem, n, CASE WHEN n = 1 THEN stem ELSE stem || '_' || n END AS u FROM n)
+SELECT page_id, stem, CASE WHEN n > 1 AND EXISTS (SELECT 1 FROM t WHERE t.host = u.host AND lower(t.stem) = lower(u.u)) THEN stem || '__' || n ELSE u END AS "unique" FROM u""")
+def numbered_stems(spark, sf_dir):
+    """Page names joined with their hosts', and numbered where they repeat."""
+    image = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"([^/.]*)(\.[^/]*)?$", 1)
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("host"), image.alias("image"))
+    stems = rows.select("page_id", "host", names.unique_stem(F.col("host"), F.col("image")).alias("stem"))
+    return names.numbered_stems(stems, ["host"], "stem", "page_id").select("page_id", "stem", "unique")
+
+
+# Readers and writers: what was written is read back -------------------------------------------------
+
+_HANGUL = "translate(regexp_replace(regexp_replace({}, '[^\\x20-\\x7E]', ' ', 'g'), '[|\\\\\"]', '', 'g'), 'aeiou', '가나다라마')"
+
+
+@register(rf"""WITH {GRID} SELECT 'PAT-' || first AS document_id, CASE WHEN first // {pairs.GRID_MODELS} % 2 = 0 THEN 'gemma' ELSE 'qwen' END AS model, 'ADR' AS doc_type,
+length(rtrim(t))::INT AS chars, md5(rtrim(t)) AS digest FROM (SELECT min(doc_id) AS first, '글 ' || string_agg({_HANGUL.format('text')}, ' ' ORDER BY doc_id) AS t FROM g GROUP BY document_id)""")
+def corpus_round_trip(spark, sf_dir):
+    """A file for each source document, each model's text in it, every other file in the Korean code page, read as a corpus."""
+    hangul = F.translate(F.regexp_replace(F.regexp_replace("text", "[^\x20-\x7E]", " "), '[|\\"]', ""), "aeiou", "가나다라마")
+    texts = F.array_sort(F.collect_list(F.struct("doc_id", hangul.alias("t"))))
+    files = grid(spark, sf_dir).groupBy("document_id").agg(F.min("doc_id").alias("first"), F.concat_ws(" ", F.lit("글"), F.transform(texts, lambda x: x["t"])).alias("text"))
+    even = F.floor(F.col("first") / pairs.GRID_MODELS) % 2 == 0
+    named = files.select(F.concat(F.lit("PAT-"), "first", F.when(even, "_gemma").otherwise("_qwen"), F.lit("_ADR.md")).alias("name"), "text", even.alias("even"))
+    path = scratch_folder(spark, "corpus")
+    sources.write_texts(named.where("even"), path)
+    sources.write_texts(named.where("not even"), path, "cp949")
+    back = sources.read_corpus(spark, path, in_folders=True)
+    text = F.regexp_replace("text", "\n$", "")
+    return back.select("document_id", "model", "doc_type", F.length(text).alias("chars"), F.md5(F.encode(text, "UTF-8")).alias("digest"))
+
+
+@register(f"""{EV} SELECT document_id, Reference AS reference_model, Model AS comparison_model, round(rougeL, 6) AS "rougeL", round(CASE WHEN Reference = 'src1' THEN 1 - f1_score ELSE f1_score END, 6) AS f1_score FROM ev""")
+def similarity_sink(spark, sf_dir):
+    """Written by reference; one reference is written again, and the others stay."""
+    rows = evaluations(spark, sf_dir).select("document_id", F.col("Reference").alias("reference_model"), F.col("Model").alias("comparison_model"), "rougeL", "f1_score")
+    path = scratch_folder(spark, "similarity")
+    sources.write_similarity(rows, path)
+    sources.write_similarity(rows.where("reference_model = 'src1'").withColumn("f1_score", 1 - F.col("f1_score")), path, again=True)
+    return spark.read.parquet(path).select(rows.columns)
+
+
+@register(f"""{EV} SELECT document_id, Reference AS reference_model, Model AS comparison_model, round(f1_score, 6) AS f1_score, round(bertscore, 6) AS bertscore FROM ev""")
+def evaluation_tables(spark, sf_dir):
+    """A CSV table for each reference, of which one does not name its reference, read as one."""
+    rows = evaluations(spark, sf_dir).select("document_id", F.col("Reference").alias("reference_model"), F.col("Model").alias("comparison_model"), F.round("f1_score", 6).alias("f1_score"), F.round("bertscore", 6).alias("bertscore"))
+    path = scratch_folder(spark, "evaluations")
+    for r in REFERENCES:
+        own = rows.where(F.col("reference_model") == r)
+        sources.write_evaluations(own.withColumn("reference_model", F.lit(None).cast("string")) if r == "src2" else own, path, r)
+    return sources.read_evaluations(spark, path, rows.schema)
+
+
+@register(rf"WITH {GRID} SELECT document_id, model, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))::INT AS output_words FROM g")
+def word_count_sink(spark, sf_dir):
+    rows = grid(spark, sf_dir).select("document_id", "model", names.count_words(F.col("text")).cast("int").alias("output_words"))
+    sources.write_word_counts(rows, path := scratch_folder(spark, "words"))
+    return spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
+@register(f"{_SOFTMAX} SELECT vec_id, idx::INT AS predicted_class_idx, CASE idx WHEN 0 THEN '설계도' ELSE '일반' END AS predicted_class_ko, round(greatest(pd, 1 - pd), 6)::DECIMAL(10, 6)::VARCHAR AS confidence, round(pd, 6)::DECIMAL(10, 6)::VARCHAR AS prob_diagram FROM p")
+def prediction_sink(spark, sf_dir):
+    sources.write_predictions(predicted(spark, sf_dir).select("vec_id", "predicted_class_idx", "predicted_class_ko", "confidence", "prob_diagram"), path := scratch_folder(spark, "predictions"))
+    return spark.read.option("header", True).schema("vec_id long, predicted_class_idx int, predicted_class_ko string, confidence string, prob_diagram string").csv(path)
+
+
+@register(f"{EV} SELECT 'means' AS part, Model AS name, round(avg(OverallScore), 6)::DOUBLE AS value FROM ev GROUP BY Model UNION ALL SELECT 'references', Reference, round(avg(OverallScore), 6)::DOUBLE FROM ev GROUP BY Reference")
+def report_sink(spark, sf_dir):
+    """Two tables of a report, each in its folder, read back together."""
+    rows = scored(spark, sf_dir)
+    tables = {"means": rows.groupBy(F.col("Model").alias("name")).agg(F.avg("OverallScore").alias("value")), "references": rows.groupBy(F.col("Reference").alias("name")).agg(F.avg("OverallScore").alias("value"))}
+    sources.write_report(tables, path := scratch_folder(spark, "report"))
+    return spark.read.parquet(f"{path}/means").select(F.lit("means").alias("part"), "name", "value").union(spark.read.parquet(f"{path}/references").select(F.lit("references").alias("part"), "name", "value"))

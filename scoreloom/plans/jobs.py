@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import names
-from scoreloom.operators import family, inference, lexical, mixed, pairs, ranks, scores, structure
+from scoreloom.operators import factors, family, inference, lexical, mixed, pairs, ranks, scores, structure
 from scoreloom.sources import corpus as sources
 
 
@@ -42,7 +42,7 @@ def bias_report(evaluations: DataFrame, references: list[str], models: list[str]
     rows, model_pairs = evaluations, list(combinations(models, 2))
     residuals = ranks.centered_documents(rows, len(references), len(models))
     typed = residuals.join(rows.select("document_id", "DocType").distinct(), "document_id")
-    paired = inference.with_p(inference.signed_rank(inference.paired_differences(rows, model_pairs), "d", ["comparison"]), "normal", "z")
+    paired = inference.with_signed_rank_p(inference.signed_rank(inference.paired_differences(rows, model_pairs), "d", ["comparison"])).drop("w_plus", "zeros")
     metrics = [m for m in scores.METRICS if m in rows.columns]
     cells = ["Reference", "Model"]
     report = {
@@ -51,7 +51,7 @@ def bias_report(evaluations: DataFrame, references: list[str], models: list[str]
         "reference_by_model": scores.means_pivot(rows, "Reference", "Model", models, "OverallScore"),
         "table_structure": scores.means_pivot(rows, "Reference", "Model", models, "teds_table_structure_similarity"),
         "leniency": scores.leniency(rows),
-        "anova": inference.with_p(inference.two_way_anova(rows, "Reference", "Model", "OverallScore"), "f", "f", "df", "df2"),
+        "anova": inference.with_p(factors.two_way_anova(rows, "Reference", "Model", "OverallScore"), "f", "f", "df", "df2"),
         "normality": inference.normality(rows, cells, "OverallScore"),
         "brown_forsythe": inference.with_p(inference.brown_forsythe(rows, cells, "OverallScore"), "f", "f", "df1", "df2"),
         "kruskal_wallis": inference.with_p(inference.kruskal_wallis(rows, "Reference", "OverallScore"), "chi2", "h", "df"),

@@ -30,10 +30,11 @@ def read_files(spark: SparkSession, path: str, pattern: str, recursive: bool = F
     return reader.option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
-def read_corpus(spark: SparkSession, path: str, recursive: bool = False, **names) -> DataFrame:
-    """``(document_id, model, doc_type, path, text)`` of all Markdown files."""
-    files = read_files(spark, path, "*.md", recursive)
-    keys = parse_document_name(F.element_at(F.split("path", "/"), -1), **names)
+def read_corpus(spark: SparkSession, path: str, recursive: bool = False, in_folders: bool = False, **names) -> DataFrame:
+    """``(document_id, model, doc_type, path, text)`` of all Markdown files; ``in_folders``: as Spark writes them, a folder ``name=FILE.md`` for each."""
+    files = read_files(spark, path, "part-*" if in_folders else "*.md", recursive or in_folders)
+    name = F.regexp_extract("path", "/name=([^/]+)/[^/]*$", 1) if in_folders else F.element_at(F.split("path", "/"), -1)
+    keys = parse_document_name(name, **names)
     return files.select(keys.alias("k"), "path", strip_front_matter(decode_text(F.col("content"))).alias("text")).select("k.*", "path", "text")
 
 
@@ -43,10 +44,10 @@ def read_any_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_evaluations(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """All ``similarity_*_as_reference*`` CSV tables under ``path``; the file name names a missing reference."""
-    reader = spark.read.option("header", True).option("pathGlobFilter", "similarity_*_as_reference*").option("recursiveFileLookup", "true")
-    rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
-    named = F.regexp_extract(F.col("_metadata.file_name"), "similarity_(.+?)_as_reference", 1)
+    """All ``similarity_*_as_reference*`` CSV tables in ``path``, files or folders of parts; the name tells a missing reference."""
+    reader = spark.read.option("header", True).option("recursiveFileLookup", "true")
+    rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(f"{path}/similarity_*_as_reference*")
+    named = F.regexp_extract(F.col("_metadata.file_path"), "similarity_([^/]+?)_as_reference", 1)
     own = F.col("reference_model") if "reference_model" in rows.columns else F.lit(None).cast("string")
     return rows.withColumn("reference_model", F.coalesce(own, named)).dropna(subset=["document_id", "comparison_model"])
 
@@ -67,8 +68,34 @@ def list_images(spark: SparkSession, path: str) -> DataFrame:
     return image_keys(read_files(spark, path, "*", True).select("path"))
 
 
-def write_similarity(rows: DataFrame, path: str) -> None:
-    rows.write.partitionBy("reference_model").parquet(path)
+def write_similarity(rows: DataFrame, path: str, again: bool = False) -> None:
+    """A folder for each reference; ``again`` replaces those of the references in ``rows`` and leaves the others."""
+    out = rows.write.partitionBy("reference_model")
+    (out.mode("overwrite").option("partitionOverwriteMode", "dynamic") if again else out).parquet(path)
+
+
+def write_evaluations(rows: DataFrame, path: str, reference: str) -> None:
+    """The CSV table of one reference, by the name that ``read_evaluations`` looks for."""
+    rows.write.option("header", True).csv(f"{path}/similarity_{reference}_as_reference.csv")
+
+
+def _one_byte_a_character(charset: str):
+    """An Arrow function to the bytes of a text in ``charset``, each as the character of that number."""
+
+    @F.arrow_udf(T.StringType())
+    def bytes_of(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else t.encode(charset, "replace").decode("latin-1") for t in texts.to_pylist()], pa.string())
+
+    return bytes_of
+
+
+def write_texts(rows: DataFrame, path: str, charset: str | None = None) -> None:
+    """``(name, text)`` of one line each, a folder for each name; UTF-8, or any charset that Python knows."""
+    text = _one_byte_a_character(charset)(F.col("text")) if charset else F.col("text")
+    out = rows.select("name", text.alias("text")).write.partitionBy("name").mode("append").option("encoding", "ISO-8859-1" if charset else "UTF-8")
+    # One column, written as it is.
+    plain = {"quote": "", "emptyValue": "", "escape": "\u0000", "sep": "\u0001", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    out.options(**plain).csv(path)
 
 
 def write_word_counts(rows: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scoreloom.functions import markdown, names, tails, tokens
-from scoreloom.operators import bootstrap, inference, lexical, mixed, predictions, ranks, scores, structure, vectors
+from scoreloom.operators import bootstrap, factors, inference, lexical, mixed, predictions, ranks, scores, structure, vectors
 from scoreloom.operators.pairs import grid_corpus, make_pairs
 
 D1 = "# T\n\np1\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n- x\n- y"
@@ -169,7 +169,7 @@ def test_ols_and_anova(spark):
     sst = ((y - y.mean()) ** 2).sum()
     assert got.r2 == pytest.approx(1 - (e**2).sum() / sst) and got.loocv_r2 == pytest.approx(1 - ((e / (1 - np.diag(h))) ** 2).sum() / sst)
     cells = [("a" if i % 2 else "b", "u" if i % 3 else "w", float(v)) for i, v in enumerate(rng.normal(size=60))]
-    table = {r.term: r for r in inference.two_way_anova(spark.createDataFrame(cells, "a string, b string, v double"), "a", "b", "v").collect()}
+    table = {r.term: r for r in factors.two_way_anova(spark.createDataFrame(cells, "a string, b string, v double"), "a", "b", "v").collect()}
     assert sum(r.eta2 for r in table.values()) == pytest.approx(1) and table["Residual"].df == 56
 
 
@@ -192,13 +192,13 @@ def test_predictions(spark):
 
 def test_bootstrap_is_reproducible(spark):
     rows = spark.createDataFrame([("g", float(i)) for i in range(30)], "g string, v double")
-    a, b = (bootstrap.bootstrap_mean_ci(rows.repartition(n), "v", ["g"], ["v"], 200).first() for n in (1, 5))
+    a, b = (bootstrap.bootstrap_mean_ci(rows.repartition(n), "v", ["g"], 200).first() for n in (1, 5))
     assert tuple(a) == tuple(b) and a.low < 14.5 < a.high and math.isfinite(a.low)
 
 
 def test_grid(spark):
-    docs = spark.createDataFrame([(21, "t", "src1"), (22, None, "src2")], "doc_id long, text string, source string")
-    assert [(r.document_id, r.model, r.text) for r in grid_corpus(docs).orderBy("doc_id").collect()] == [("RPT-1", "src1", "t"), ("RPT-1", "src2", "")]
+    docs = spark.createDataFrame([(9, "t", "src1"), (10, None, "src2"), (10, "u", "src2")], "doc_id long, text string, source string")
+    assert [(r.document_id, r.model, r.text) for r in grid_corpus(docs).orderBy("doc_id", "text").collect()] == [("RPT-1", "src1", "t"), ("RPT-1", "src2", ""), ("RPT-1#2", "src2", "u")]
 
 
 def brute_shapiro(x):
@@ -235,35 +235,102 @@ def test_exact_median(spark):
     assert {r.g: r.median for r in ranks.exact_median(rows, "v", ["g"]).collect()} == {k: float(np.median(x)) for k, x in groups.items()}
 
 
-def test_bootstrap_equals_brute_force(spark):
-    import hashlib
+def brute_places(reps, n, side):
+    """Draws of a sample of one bucket, spelled out with Python's integers."""
+    p, step = bootstrap.PRIME, bootstrap.STEPS
+    return [[pow((j * step["draw"] + r * step["rep"] + side * step["side"] + 42 * step["seed"]) % p, 5, p) * n // p for j in range(n)] for r in range(reps)]
+
 
+def test_bootstrap_equals_brute_force(spark):
     rng = np.random.default_rng(6)
-    data = [(i, bool(i % 3), float(rng.integers(0, 9)), "ab"[i % 2]) for i in range(90)]
-    rows = spark.createDataFrame(data, "id long, first boolean, v double, g string")
-
-    def weights(i, reps):
-        h = hashlib.md5(f"{i}-42".encode()).hexdigest()
-        a, b = int(h[:8], 16) % bootstrap.PRIME, int(h[8:16], 16) % (bootstrap.PRIME - 1) + 1
-        return np.searchsorted(bootstrap.STEPS, (a + np.arange(reps) * b) % bootstrap.PRIME, "right")
-
-    k = np.array([weights(i, 300) for i, *_ in data])
-    assert k.mean() == pytest.approx(1, abs=0.02) and k.var() == pytest.approx(1, abs=0.05)
-    v, first = np.array([d[2] for d in data]), np.array([d[1] for d in data])
-    means = (k * v[:, None]).sum(axis=0) / k.sum(axis=0)
-    got = bootstrap.bootstrap_mean_ci(rows, "v", [], ["id"], 300).first()
+    data = [(bool(i % 3), float(rng.integers(0, 9))) for i in range(90)]
+    rows = spark.createDataFrame(data + [(True, None), (None, 1.0)], "first boolean, v double").repartition(3)
+    v = np.sort([x for _, x in data] + [1.0])
+    means = v[np.array(brute_places(300, 91, 0))].mean(axis=1)
+    got = bootstrap.bootstrap_mean_ci(rows, "v", [], 300).first()
     assert (got.low, got.high) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
-    wins = np.sign(v[first][:, None] - v[~first][None, :])
-    r = np.einsum("ir,jr,ij->r", k[first], k[~first], wins) / (k[first].sum(axis=0) * k[~first].sum(axis=0))
-    for size in (20_000, 10):
-        bootstrap.BUCKET_ROWS, before = size, bootstrap.BUCKET_ROWS
-        got = bootstrap.bootstrap_rank_biserial_ci(rows, "first", "v", ["id"], replicates=300).first()
-        bootstrap.BUCKET_ROWS = before
-        assert (got.low, got.high) == pytest.approx(tuple(np.percentile(r, [2.5, 97.5])))
-    # The interval agrees with drawing with replacement.
-    drawn = v[rng.integers(0, 90, size=(4000, 90))].mean(axis=1)
-    whole = bootstrap.bootstrap_mean_ci(rows, "v", [], ["id"], 3000).first()
-    assert (whole.low, whole.high) == pytest.approx(tuple(np.percentile(drawn, [2.5, 97.5])), abs=0.12)
+    one, two = (np.sort([x for f, x in data if f == side]) for side in (True, False))
+    drawn = [x[np.array(brute_places(300, len(x), i))] for i, x in enumerate((one, two))]
+    r = np.sign(drawn[0][:, :, None] - drawn[1][:, None, :]).mean(axis=(1, 2))
+    got = bootstrap.bootstrap_rank_biserial_ci(rows, "first", "v", replicates=300).first()
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(r, [2.5, 97.5])))
+    # Draws are like those of a generator: as often each place, and as far apart the means.
+    places = np.array(brute_places(2000, 50, 1))
+    counts = np.bincount(places.ravel(), minlength=50)
+    assert ((counts - 2000) ** 2 / 2000).sum() < 90
+    weights = np.stack([np.bincount(p, minlength=50) for p in places])
+    assert weights.var(axis=0).mean() == pytest.approx(1 - 1 / 50, abs=0.03) and np.corrcoef(weights[:-1].ravel(), weights[1:].ravel())[0, 1] == pytest.approx(0, abs=0.02)
+
+
+@pytest.mark.parametrize("hashed", [20_000, 0])
+def test_bootstrap_draws_n_of_n_over_buckets(spark, monkeypatch, hashed):
+    monkeypatch.setattr(bootstrap, "BUCKET_VALUES", 7)
+    monkeypatch.setattr(bootstrap, "HASHED", hashed)
+    rng = np.random.default_rng(7)
+    # Two groups of different size; one value is most of the second.
+    x = [("a", float(v), bool(v > 40)) for v in rng.integers(0, 80, size=400)] + [("b", 5.0 if i % 10 else float(i), bool(i % 2)) for i in range(600)]
+    rows = spark.createDataFrame(x, "g string, v double, first boolean")
+    placed, heads = bootstrap._bucketed(rows.select("g", F.col("v").alias("__v")), ["g"], [F.lit(True)])
+    assert placed.select("g", "__bucket").distinct().count() > 8
+    sums = bootstrap._grouped(rows.select("g", F.col("v").alias("__v")), ["g"], [F.lit(True)], bootstrap._per_bucket(500, 42, ["g", "__bucket"], ["k", "s"], lambda v, one: (one.sum(axis=1), one @ v)), "k long, s double")
+    assert {(r.g, r.n) for r in sums.groupBy("g", "rep").agg(F.sum("k").alias("n")).distinct().collect()} == {("a", 400), ("b", 600)}
+    got = {r.g: r for r in bootstrap.bootstrap_mean_ci(rows, "v", ["g"], 2000).collect()}
+    for g in "ab":
+        v = np.array([y for k, y, _ in x if k == g])
+        want = np.percentile(v[rng.integers(0, len(v), size=(4000, len(v)))].mean(axis=1), [2.5, 97.5])
+        assert (got[g].low, got[g].high) == pytest.approx(tuple(want), abs=0.12 * (want[1] - want[0]))
+    one, two = (np.array([y for k, y, f in x if k == "b" and f == side]) for side in (True, False))
+    drawn = [z[rng.integers(0, len(z), size=(1500, len(z)))] for z in (one, two)]
+    wins = [np.searchsorted(np.sort(b), a, "left").mean() + np.searchsorted(np.sort(b), a, "right").mean() - len(b) for a, b in zip(*drawn)]
+    want = np.percentile(np.array(wins) / len(two), [2.5, 97.5])
+    r = bootstrap.bootstrap_rank_biserial_ci(rows.where("g = 'b'"), "first", "v", replicates=1500).first()
+    assert (r.low, r.high) == pytest.approx(tuple(want), abs=0.12 * (want[1] - want[0]))
+
+
+def test_one_value_of_millions_is_one_row(spark):
+    """Nine tenths of five million rows are equal: they are one value, whatever their number."""
+    rows = spark.range(5_000_000).select((F.col("id") % 3 == 0).alias("first"), F.when(F.col("id") % 10 > 0, 1.0).otherwise(F.col("id") % 1000 / 100.0).alias("v"))
+    placed, _ = bootstrap._bucketed(rows.select(F.col("v").alias("__v"), "first"), [], [F.col("first"), ~F.col("first")])
+    assert placed.count() <= 101
+    got = bootstrap.bootstrap_rank_biserial_ci(rows, "first", "v", replicates=200).first()
+    assert -0.01 < got.low < got.high < 0.01
+
+
+def test_exact_tails_equal_enumeration():
+    from collections import Counter
+    from itertools import combinations, product
+
+    for n in range(1, 11):
+        sums = Counter(sum(r for r, up in enumerate(signs, 1) if up) for signs in product((0, 1), repeat=n))
+        assert tails.signed_rank_counts(n) == tuple(sums[w] for w in range(n * (n + 1) // 2 + 1))
+        for w in range(n * (n + 1) // 2 + 1):
+            both = 2 * min(sum(c for s, c in sums.items() if s <= w), sum(c for s, c in sums.items() if s >= w)) / 2**n
+            assert tails.signed_rank_exact(n, w) == pytest.approx(min(1, both))
+    for a in range(1, 7):
+        for b in range(1, 7):
+            us = Counter(sum(x) - a * (a - 1) // 2 for x in combinations(range(a + b), a))
+            for u in range(a * b + 1):
+                least = min(u, a * b - u)
+                assert tails.rank_sum_exact(a, b, u) == pytest.approx(min(1, 2 * sum(c for s, c in us.items() if s <= least) / sum(us.values())))
+    # Published critical value: n = 50, W = 434, just under 5 %.
+    assert tails.signed_rank_exact(50, 434) < 0.05 < tails.signed_rank_exact(50, 435)
+    assert tails.rank_sum_shares(8, 200_000).sum() == pytest.approx(0.5, abs=1e-5)
+
+
+def test_p_is_exact_for_small_samples(spark):
+    rows = spark.createDataFrame([("a", float(x)) for x in (3, -1, 2, 7, 5, -4)] + [("zero", float(x)) for x in (0, 1, 2, 3)] + [("many", float(i - 8)) for i in range(60) if i != 8] + [("none", 0.0)], "g string, d double")
+    got = {r.g: r for r in inference.with_signed_rank_p(inference.signed_rank(rows, "d", ["g"])).collect()}
+    assert got["a"].p == pytest.approx(tails.signed_rank_exact(6, 16)) and got["a"].w == 5
+    for g in ("zero", "many"):
+        assert got[g].p == pytest.approx(tails.normal_two_sided(got[g].z))
+    assert got["none"].p is None
+    pairs = spark.createDataFrame([("d1", "p", 1.0), ("d2", "p", 2.0), ("d3", "p", 4.0), ("d4", "r", 3.0), ("d5", "r", 5.0), ("d5", "r", 7.0), ("d6", "r", None)], "doc string, kind string, v double")
+    found = inference.two_type_rank_sum(pairs, "kind", "doc", "v").collect()
+    assert [(r.comparison, r.n1, r.n2, r.u) for r in found] == [("p vs r", 3, 2, 1.0)] and found[0].p == pytest.approx(0.4)
+    for other in (pairs.where("kind = 'p'"), pairs.unionByName(spark.createDataFrame([("d9", "x", 1.0)], pairs.schema)), pairs.limit(0)):
+        assert inference.two_type_rank_sum(other, "kind", "doc", "v").count() == 0
+    tied = inference.with_rank_sum_p(inference.rank_sums(spark.createDataFrame([("c", i < 3, float(i // 2)) for i in range(6)], "comparison string, first boolean, v double"))).first()
+    assert tied.p == pytest.approx(tails.normal_two_sided(max(tied.z, 0)))
 
 
 def brute_mixed(y, x, unit, reml):
@@ -308,10 +375,10 @@ def test_statistics_of_nothing_and_of_one_level(spark):
     for data in ([], [("d", "a", "x", 0.5, False)], [("d", "a", "x", None, None)]):
         rows = spark.createDataFrame(data, kind)
         for found in (
-            inference.one_way_f(rows, ["Reference"], "OverallScore"), inference.brown_forsythe(rows, ["Reference", "Model"], "OverallScore"), inference.two_way_anova(rows, "Reference", "Model", "OverallScore"),
+            inference.one_way_f(rows, ["Reference"], "OverallScore"), inference.brown_forsythe(rows, ["Reference", "Model"], "OverallScore"), factors.two_way_anova(rows, "Reference", "Model", "OverallScore"),
             inference.kruskal_wallis(rows, "Reference", "OverallScore"), inference.friedman(rows, "document_id", "Model", "OverallScore", 3), inference.mann_whitney(rows, "Model", "OverallScore", [("x", "y")]),
             inference.shapiro_wilk(rows, ["Reference"], "OverallScore"), inference.normality(rows, ["Reference"], "OverallScore"), inference.spearman(rows.withColumn("b", F.col("OverallScore")), "OverallScore", "b"),
-            bootstrap.bootstrap_mean_ci(rows, "OverallScore", ["Model"], ["document_id"], 20), bootstrap.bootstrap_rank_biserial_ci(rows, "same_family", "OverallScore", ["document_id"], replicates=20),
+            bootstrap.bootstrap_mean_ci(rows, "OverallScore", ["Model"], 20), bootstrap.bootstrap_rank_biserial_ci(rows, "same_family", "OverallScore", replicates=20),
             mixed.random_intercept(rows, "document_id", ["Reference"], "OverallScore"), mixed.family_contrast(rows, "document_id", "Reference", "Model", "same_family", "OverallScore"),
         ):
             assert found.count() <= 4
