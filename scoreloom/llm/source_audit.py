@@ -44,7 +44,7 @@ TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of text that a task cuts up at once, and cells (terms x sources) of a bucket.
-BLOCK_BYTES, CELLS = 32 << 20, 1 << 18
+BLOCK_BYTES, CELLS = 12 << 20, 1 << 18
 #: Rows and bytes of text of a table that may be broadcast.
 SMALL_ROWS, SMALL_BYTES = 4_000_000, 64 << 20
 
@@ -135,10 +135,14 @@ def _counted(lang: str, sources: pa.Array, terms: pa.Array, tid: np.ndarray, at:
     """Of postings (term, document, occurrences) of one block: documents, each once, and occurrences by term and source."""
     own = sources.dictionary_encode()
     codes, width = own.indices.to_numpy().astype(np.int64), len(own.dictionary)
-    order = np.argsort(key := tid << 32 | at, kind="stable")
-    key = key[order]
+    key = tid << 32 | at
+    del tid, at
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    del order
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    pairs, times = key[first], np.add.reduceat(n[order], first) if len(first) else n
+    pairs, times = key[first], np.add.reduceat(n, first) if len(first) else n
+    del key, n, first
     cells = (pairs >> 32) * width + codes[pairs & 0xFFFFFFFF]
     cell, where, df = np.unique(cells, return_inverse=True, return_counts=True)
     # Sums inside a block are far below 2^53.
