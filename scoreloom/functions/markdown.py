@@ -9,7 +9,7 @@ pre-order, as columns cannot recurse.
 from __future__ import annotations
 
 import re
-from itertools import groupby, takewhile
+from itertools import accumulate, groupby, takewhile
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +26,8 @@ _FENCE = re.compile(r"```[\s\S]*?```")
 _CODE = "<code_block/>"
 #: Costs of changes that one comparison of trees keeps at hand.
 TABLE_CELLS = 1 << 22
+#: Cells up to which plain numbers are faster than arrays.
+FEW_CELLS = 1024
 
 #: A letter for each tag: headings in pairs, then blocks.
 TAGS = {f"{slash}h{n}": chr(ord("A") + 2 * (n - 1) + bool(slash)) for n in range(1, 7) for slash in ("", "/")} | dict(
@@ -196,7 +198,7 @@ def tree_distance(a: Tree, b: Tree) -> int:
     """Top-down ordered distance: a subtree costs its size to insert or delete, a label one to change.
 
     Equal subtrees are recognised by their shape, so only pairs of different shapes
-    are compared, each once. A row of the table of two lists of children is an array.
+    are compared, each once. A row of the table of two long lists of children is an array.
     """
     kids = _children(a), _children(b)
     shapes: dict = {}
@@ -218,6 +220,14 @@ def tree_distance(a: Tree, b: Tree) -> int:
         if need:
             todo.extend(need)
             return None
+        if len(left) * len(right) <= FEW_CELLS:
+            row = list(accumulate((b.sizes[y] for y in right), initial=0))
+            for x in left:
+                f, size, new = forms[0][x], a.sizes[x], [row[0] + a.sizes[x]]
+                for k, y in enumerate(right):
+                    new.append(min(row[k] + known[f, forms[1][y]], row[k + 1] + size, new[k] + b.sizes[y]))
+                row = new
+            return row[-1] + (a.labels[i] != b.labels[j])
         place = {g: k for k, g in enumerate(other)}
         at = np.array([place[forms[1][y]] for y in right], np.int64)
         costs = {f: np.array([known[f, g] for g in other], np.int64)[at] if right else at for f in some} if len(some) * len(right) < TABLE_CELLS else None
@@ -268,28 +278,11 @@ def tree(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.IntegerType())
 def tree_edit_distance(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Distance of two tree columns; equal pairs of a batch are compared once."""
-    seen: dict = {}
-    out = []
-    for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        key = tuple(map(tuple, (x["labels"], x["parents"], y["labels"], y["parents"])))
-        if key not in seen:
-            seen[key] = tree_distance(Tree(**x), Tree(**y))
-        out.append(seen[key])
-    return pa.array(out, pa.int32())
+    """Distance of two tree columns."""
+    return pa.array([None if x is None or y is None else tree_distance(Tree(**x), Tree(**y)) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int32())
 
 
 @F.arrow_udf(T.IntegerType())
 def table_distance(left: pa.Array, right: pa.Array) -> pa.Array:
     """Distance of two tables given by the widths of their rows."""
-    seen: dict = {}
-    out = []
-    for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-        key = tuple(x), tuple(y)
-        if key not in seen:
-            seen[key] = tree_distance(table_tree(x), table_tree(y))
-        out.append(seen[key])
-    return pa.array(out, pa.int32())
+    return pa.array([tree_distance(table_tree(x), table_tree(y)) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int32())

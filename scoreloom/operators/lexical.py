@@ -21,6 +21,8 @@ DOC = [*KEY, "model"]
 #: Fixed: the weights of the four sentence scores, the third as published.
 BLEU_WEIGHTS = ((1.0,), (0.5, 0.5), (0.33, 0.33, 0.33), (0.25, 0.25, 0.25, 0.25))
 BLEU_EPSILON = 0.1
+#: Columns of a strip of the table of common subsequences.
+LCS_BITS = 16_384
 #: Rows and bytes of text of a table that may be broadcast.
 SMALL_ROWS, SMALL_BYTES = 1_000_000, 32 << 20
 
@@ -180,17 +182,29 @@ def rouge(corpus: DataFrame, references: list[str], candidates: list[str]) -> Da
 _ROUGE_WORD = re.compile("[a-z0-9]+")
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Longest common subsequence, a whole row of the table at a time in the bits of one integer."""
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for y in b:
-        both = row & places.get(y, 0)
-        row = (row + both | row - both) & full
-    return len(a) - row.bit_count()
+def lcs_length(a: list, b: list, width: int = LCS_BITS) -> int:
+    """Longest common subsequence, ``width`` columns of the table at a time in the bits of one integer.
+
+    A strip of columns hands the carry of each row to the next strip, so memory is
+    the strip's masks and a byte a row, however long the texts.
+    """
+    carries, unmatched = bytearray(len(b)), 0
+    for low in range(0, len(a), width):
+        strip = a[low : low + width]
+        places: dict = {}
+        for i, x in enumerate(strip):
+            places[x] = places.get(x, 0) | 1 << i
+        size = len(strip)
+        full = row = (1 << size) - 1
+        for j, y in enumerate(b):
+            mask = places.get(y, 0)
+            if mask or carries[j]:
+                both = row & mask
+                total = row + both + carries[j]
+                carries[j] = total >> size
+                row = (total | row - both) & full
+        unmatched += row.bit_count()
+    return len(a) - unmatched
 
 
 @F.arrow_udf(T.DoubleType())

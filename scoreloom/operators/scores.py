@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scoreloom.operators.lexical import PAIR
 
@@ -83,6 +84,12 @@ def scenario_scores(rows: DataFrame) -> DataFrame:
     return crossed.withColumn("score", weighted_score(rows.columns, (F.col("w_lex"), F.col("w_sem"), F.col("w_str")))).drop("w_lex", "w_sem", "w_str")
 
 
+def top_models(rows: DataFrame, k: int = 3) -> DataFrame:
+    """``(scenario, k, Model, mean)``: the ``k`` best models of each weighting, of equal ones the first name."""
+    means = scenario_scores(rows).groupBy("scenario", "Model").agg(F.avg("score").alias("mean"))
+    return means.withColumn("k", F.row_number().over(Window.partitionBy("scenario").orderBy(F.desc("mean"), "Model"))).where(F.col("k") <= k).select("scenario", "k", "Model", "mean")
+
+
 def document_signals(rows: DataFrame) -> DataFrame:
     """Per document: the response, structural spread, lexical-semantic level and mean of optional signals; complete rows only."""
     optional = [c for c in ("output_words", "local_agreement_mean", "local_agreement_std") if c in rows.columns]

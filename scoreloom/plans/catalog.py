@@ -457,10 +457,7 @@ def _scenario_sql() -> str:
 
 @register(f"{EV}, {_scenario_sql()}, r0 AS (SELECT scenario, Model, avg(score) AS m FROM sc GROUP BY scenario, Model), r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY m DESC, Model) AS k FROM r0) SELECT scenario, k::INT AS k, Model, round(m, 6)::DOUBLE AS mean FROM r WHERE k <= 3")
 def top_models(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    means = scores.scenario_scores(evaluations(spark, sf_dir)).groupBy("scenario", "Model").agg(F.avg("score").alias("mean"))
-    return means.withColumn("k", F.row_number().over(Window.partitionBy("scenario").orderBy(F.desc("mean"), "Model"))).where("k <= 3").select("scenario", "k", "Model", "mean")
+    return scores.top_models(evaluations(spark, sf_dir))
 
 
 _AVG_RANK = "rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2.0".format

@@ -63,6 +63,7 @@ def bias_report(evaluations: DataFrame, references: list[str], models: list[str]
         "residual_signs": inference.sign_crosstab(typed, "DocType", ("patent", "report"), "residual"),
         "variance": mixed.random_intercept(rows, "document_id", cells, "OverallScore"),
         "sensitivity": inference.spearman(scores.scenario_scores(rows), "OverallScore", "score", ["scenario"]),
+        "sensitivity_ranking": scores.top_models(rows),
         "lexical_semantic_gap": rows.groupBy("Model").agg(F.avg("rougeL").alias("lexical"), F.avg("bertscore").alias("semantic"), (F.avg("bertscore") - F.avg("rougeL")).alias("gap")),
     }
     if families:

@@ -101,7 +101,7 @@ def test_lcs(a, b):
         for k, y in enumerate(b):
             new.append(row[k] + 1 if x == y else max(new[k], row[k + 1]))
         row = new
-    assert lexical.lcs_length(a, b) == row[-1]
+    assert all(lexical.lcs_length(a, b, width) == row[-1] for width in (lexical.LCS_BITS, 3, 1))
 
 
 @settings(max_examples=40, deadline=None)
@@ -384,6 +384,39 @@ def test_statistics_of_nothing_and_of_one_level(spark):
             assert found.count() <= 4
 
 
+def test_lcs_of_long_texts_needs_little_memory():
+    import tracemalloc
+
+    r = random.Random(4)
+    a, b = ([r.randrange(50_000) for _ in range(60_000)] for _ in range(2))
+    tracemalloc.start()
+    found = lexical.lcs_length(a, a[:30_000] + b[30_000:])
+    assert found >= 30_000 and tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
+def test_equal_structures_are_compared_once(spark, monkeypatch):
+    """Six documents of three models in two structures, so one comparison of trees and one of tables in all."""
+    bodies = ["# a\n\ntext\n\n| x | y |\n|---|---|\n| 1 | 2 |", "# b\n\ntext\n\n| x |\n|---|\n| 1 |"]
+    docs = spark.createDataFrame([(f"d{d}", "ADR", m, bodies[(d + k) % 2]) for d in range(6) for k, m in enumerate("rcs")], "document_id string, doc_type string, model string, text string")
+    got = structure.structure_similarity(docs, ["r"], ["c", "s"]).collect()
+    a, b = (markdown.document_tree(x) for x in bodies)
+    want = 1 - markdown.tree_distance(a, b) / max(a.sizes[0], b.sizes[0])
+    assert {(r.comparison_model, round(r.teds_document_structure_similarity, 9)) for r in got} == {("c", round(want, 9)), ("s", 1.0)} and len(got) == 12
+    pairs = spark.createDataFrame([("x", "y"), ("y", "x"), ("x", "x"), ("x", "y")], "l string, r string")
+    forms = spark.createDataFrame([("x", 1), ("y", 5)], "key string, form int")
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("int")
+    def gap(p, q):
+        counted.add(len(p))
+        import pyarrow.compute as pc
+
+        return pc.abs(pc.subtract(p, q))
+
+    assert sorted(r.distance for r in structure.with_distance(pairs, "l", "r", forms, gap).collect()) == [0, 4, 4, 4] and counted.value == 1
+
+
 def test_large_flat_trees():
     import time
 
