@@ -760,13 +760,28 @@ def independent_pairs_ci(spark, sf_dir):
     return family.independent_pairs(scored(spark, sf_dir), MODEL_PAIRS).select("comparison", "low", "high")
 
 
-@register()
+def _rank_sums_with_p(rows: str) -> str:
+    """Mann-Whitney of ``rows(comparison, first, v)`` in full digits with p, as the table ``tested``, for samples of more than eight values."""
+    tables, _, columns = _mw_sql("rows", "").rpartition("SELECT comparison")
+    exact = columns.replace("round(", "(").replace(", 6)", ")")
+    return f"rows AS ({rows}), {tables}raw AS (SELECT comparison{exact}), tested AS (SELECT *, {_normal_p('greatest(z, 0)')} AS p FROM raw)".replace("\nraw AS", ",\nraw AS")
+
+
+_TESTED_COLUMNS = "comparison, n1, n2, round(delta, 6)::DOUBLE AS delta, u, round(r, 6)::DOUBLE AS r, round(d, 6)::DOUBLE AS d, round(z, 6)::DOUBLE AS z, round(p, 6)::DOUBLE AS p"
+
+
+@register(f"""{EV}, {_rank_sums_with_p(_MW_ROWS)}, o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS tests FROM tested), h AS (SELECT *, max(least(1.0, p * (tests - i + 1))) OVER (ORDER BY i) AS p_holm FROM o), {_biserial_ci_sql(_MW_ROWS)}
+SELECT {_TESTED_COLUMNS}, round(p_holm, 6)::DOUBLE AS p_holm, low, high FROM h JOIN rci USING (comparison)""")
 def independent_pairs(spark, sf_dir):
     """All models against each other as independent samples, with p, Holm's p and the interval of r."""
     return family.independent_pairs(scored(spark, sf_dir), MODEL_PAIRS)
 
 
-@register()
+_SAME_ROWS = "SELECT 'same vs cross' AS comparison, same_family AS first, OverallScore AS v FROM ev"
+
+
+@register(f"""{EV}, {_rank_sums_with_p(_SAME_ROWS)}, {_biserial_ci_sql(_SAME_ROWS)}
+SELECT {_TESTED_COLUMNS}, (SELECT round(avg(v) FILTER (first), 6) FROM rows)::DOUBLE AS own, (SELECT round(avg(v) FILTER (NOT first), 6) FROM rows)::DOUBLE AS other, low, high FROM tested JOIN rci USING (comparison)""")
 def same_against_cross(spark, sf_dir):
     """The family test whole: means, U, p, r with its interval, d."""
     return family.same_against_cross(scored(spark, sf_dir))
@@ -790,7 +805,13 @@ def family_residuals(spark, sf_dir):
     return family.residual_signs(centered(spark, sf_dir), FAMILIES).drop("w", "z", "p")
 
 
-@register()
+@register(f"""{_CENTERED.replace('WITH', 'WITH RECURSIVE', 1)}, {_OWN_RESIDUALS}, z AS (SELECT family AS comparison, residual AS d, {_AVG_RANK('family', 'abs(residual)')} AS r FROM own WHERE residual <> 0),
+t AS (SELECT comparison, sum(t * t * t - t) AS ties FROM (SELECT comparison, count(*)::DOUBLE AS t FROM z GROUP BY comparison, abs(d)) GROUP BY comparison),
+y AS (SELECT comparison, count(*)::DOUBLE AS m, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS wp, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS wm FROM z GROUP BY comparison),
+sums AS (SELECT family AS comparison, count(*) AS n, avg(residual) AS mean, sum((residual > 0)::INT)::BIGINT AS positive FROM own GROUP BY family),
+tested AS (SELECT *, n - m AS zeros, least(wp, wm) AS w, (least(wp, wm) - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48) AS z FROM sums LEFT JOIN y USING (comparison) LEFT JOIN t USING (comparison)), {_SIGNED}, {_mean_ci_sql('family', 'SELECT family, residual AS v FROM own')}
+SELECT comparison AS family, n, round(mean, 6)::DOUBLE AS mean_residual, w, round(z, 6)::DOUBLE AS z, CASE WHEN n > 5 THEN round(coalesce(p, {_normal_p('z')}), 6)::DOUBLE END AS p, positive, round(positive / n, 6)::DOUBLE AS share_positive, low, high
+FROM tested LEFT JOIN exact USING (comparison) JOIN ci ON ci.family = tested.comparison""")
 def family_residual_tests(spark, sf_dir):
     """The same with Wilcoxon's statistic and p."""
     return family.residual_signs(centered(spark, sf_dir), FAMILIES)
@@ -807,15 +828,18 @@ def residual_sign_test(spark, sf_dir):
     return inference.signed_rank(rows, "residual", ["Reference", "Model"]).drop("w_plus", "zeros")
 
 
-@register(f"""{_CENTERED}, x AS (SELECT CASE WHEN document_id LIKE 'PAT%' THEN 'patent' ELSE 'report' END AS DocType, residual > 0 AS up FROM dc WHERE residual IS NOT NULL AND ({_FAMILY_RESIDUALS})),
-t AS (SELECT count(*) FILTER (DocType = 'patent' AND up)::DOUBLE AS a, count(*) FILTER (DocType = 'patent' AND NOT up)::DOUBLE AS b, count(*) FILTER (DocType = 'report' AND up)::DOUBLE AS c, count(*) FILTER (DocType = 'report' AND NOT up)::DOUBLE AS d FROM x)
-SELECT a, b, c, d, round((a + b + c + d) * greatest(0, abs(a * d - b * c) - (a + b + c + d) / 2) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)), 6) AS chi2, round((a + c) / (a + b + c + d), 6) AS share_positive FROM t""")
+_CHI = f"""{_CENTERED}, x AS (SELECT CASE WHEN document_id LIKE 'PAT%' THEN 'patent' ELSE 'report' END AS DocType, residual > 0 AS up FROM dc WHERE residual IS NOT NULL AND ({_FAMILY_RESIDUALS})),
+t AS (SELECT count(*) FILTER (DocType = 'patent' AND up)::DOUBLE AS a, count(*) FILTER (DocType = 'patent' AND NOT up)::DOUBLE AS b, count(*) FILTER (DocType = 'report' AND up)::DOUBLE AS c, count(*) FILTER (DocType = 'report' AND NOT up)::DOUBLE AS d FROM x),
+chi AS (SELECT a, b, c, d, ((a + b + c + d) * greatest(0, abs(a * d - b * c) - (a + b + c + d) / 2) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))) AS chi2, round((a + c) / (a + b + c + d), 6) AS share_positive FROM t)"""
+
+
+@register(f"{_CHI} SELECT * REPLACE (round(chi2, 6) AS chi2) FROM chi")
 def chi_square_2x2(spark, sf_dir):
     rows = centered(spark, sf_dir).where(_FAMILY_RESIDUALS).withColumn("DocType", names.classify_doc_type(F.col("document_id")))
     return inference.sign_crosstab(rows, "DocType", ("patent", "report"), "residual")
 
 
-@register()
+@register(f"{_CHI} SELECT * REPLACE (round(chi2, 6) AS chi2), round({_normal_p('sqrt(chi2)')}, 6)::DOUBLE AS p FROM chi")
 def chi_square_p(spark, sf_dir):
     return inference.with_p(chi_square_2x2(spark, sf_dir), "chi2", "chi2", F.lit(1.0))
 
