@@ -3,7 +3,9 @@
 Each round points the neighbours of a node at the smallest of them; the links
 become stars after few rounds, whatever the length of the chains. Links are
 grouped with map-side minima and joined back; the minima of hubs, of which the
-number of links bounds the count, are broadcast, so no task gathers a hub.
+number of links bounds the count, are broadcast, so no task gathers a hub. Each
+star is written, and so are its minima: a plan that held two stars would read the
+links sixty times, and the driver would keep it in memory.
 """
 
 from __future__ import annotations
@@ -34,17 +36,24 @@ def hub_limit(rows: int) -> int:
     return max(HUB_LINKS, -(-rows // HUBS))
 
 
+def _least_met(rows: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """``rows`` joined with the written ``least(u, m, n)``; without hubs this is a plain join."""
+    hubs = least.where(F.col("n") > limit).limit(1).count()
+    return split_join(rows, least, "u", limit) if hubs else rows.join(least.select("u", "m"), "u")
+
+
 def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return split_join(both.where("v > u"), least, "u", limit).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+    met = _least_met(both.where("v > u"), least, limit)
+    return materialize(met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
 
 
 def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    rest = split_join(down, least, "u", limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return least.select("u", F.col("m").alias("v")).union(rest).distinct()
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    rest = _least_met(down, least, limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return materialize(least.select("u", F.col("m").alias("v")).union(rest).distinct(), "stars")
 
 
 def connected_components(spark: SparkSession, links: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -60,7 +69,7 @@ def connected_components(spark: SparkSession, links: DataFrame, nodes: DataFrame
     if before[0]:
         for _ in range(max_rounds):
             limit = hub_limit(2 * before[0])
-            edges = materialize(_small_star(_large_star(edges, limit), limit), "stars")
+            edges = _small_star(_large_star(edges, limit), limit)
             after = mark(edges)
             if after == before:
                 break
@@ -68,6 +77,7 @@ def connected_components(spark: SparkSession, links: DataFrame, nodes: DataFrame
         else:
             raise RuntimeError(f"links have not settled after {max_rounds} rounds")
     roots = nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", "rank", F.coalesce("root", "node").alias("root"))
-    ranks = roots.groupBy("root").agg(F.min("rank").alias("m"), F.count("*").alias("n"))
+    roots = materialize(roots, "roots")
+    ranks = materialize(roots.groupBy("root").agg(F.min("rank").alias("m"), F.count("*").alias("n")), "ranks")
     # Nodes of links bound the large components: they are as many as the last edges, and their roots.
     return split_join(roots, ranks, "root", hub_limit(2 * before[0])).select("node", "root", F.col("m").alias("root_rank"))

@@ -206,6 +206,11 @@ def candidates_by_prefix(blocks: DataFrame, classes: DataFrame, prints: DataFram
     return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def known_links(classes: DataFrame) -> DataFrame:
+    """A link to its root for each node of ``classes``: what stands for all links found so far."""
+    return classes.where("node <> root").select("node", "root")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row of each group of ``docs`` stays, that of the smallest id, with all its columns."""
     fp, node, n, hist, bits = (fresh(c, docs.columns) for c in ("fp", "node", "n", "hist", "sketch"))
@@ -227,8 +232,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = verified(candidates_by_simhash(prints), prints, rows, node, text_col, width)
     classes = materialize(connected_components(spark, links, nodes), "classes")
     prefixes = shared_prefixes(rows, node, text_col, width)
-    links = links.union(verified(candidates_by_star(prefixes, classes, prints), prints, rows, node, text_col, width))
-    classes = materialize(connected_components(spark, links, nodes), "classes")
-    missed = verified(candidates_by_prefix(prefixes, classes, prints), prints, rows, node, text_col, width)
-    classes = connected_components(spark, links.union(missed), nodes).select(F.col("node").alias(node), "root")
+    for candidates in (candidates_by_star, candidates_by_prefix):
+        links = verified(candidates(prefixes, classes, prints), prints, rows, node, text_col, width)
+        classes = materialize(connected_components(spark, known_links(classes).union(links), nodes), "classes")
+    classes = classes.select(F.col("node").alias(node), "root")
     return simhash.first_of_classes(rows, classes, docs.columns, id_col, node)

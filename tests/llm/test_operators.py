@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scoreloom.llm import bpe_stream, chat, decontam, graph_dedup, langid, pii, quality_crf, queries, shuffle_shards, simhash, token_files
+from scoreloom.llm import bpe_stream, chat, components, decontam, graph_dedup, langid, pii, quality_crf, queries, shuffle_shards, simhash, token_files
 from scoreloom.llm.components import connected_components
 
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
@@ -610,3 +610,19 @@ def test_second_clustering_of_large_shards(spark, monkeypatch):
     links = brute_links(rows)
     assert sum(got[i].n_links for i in links) >= 0.97 * sum(map(len, links.values())) and all(got[i].n_links <= len(links[i]) for i in links)
     assert got[0].audited_recall >= 0.97
+
+
+def test_components_plans_stay_small(spark, monkeypatch):
+    reads = []
+
+    write = components.materialize
+
+    def written(df, name):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation "))
+        return write(df, name)
+
+    monkeypatch.setattr(components, "materialize", written)
+    nodes = spark.range(6).select(F.col("id").alias("node"), F.col("id").alias("rank"))
+    links = spark.createDataFrame([(5, 4), (4, 3), (1, 2)], "a long, b long")
+    got = {r.node: r.root_rank for r in components.connected_components(spark, links, nodes).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 5: 3} and len(reads) > 1 and max(reads) <= 6
