@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -99,13 +100,26 @@ class CachedLibraryTokenizer:
         packed = struct.pack(f"<{len(ids)}{self.code}", *ids)
         return self.feed + packed if feed else packed
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned integers of the format's width."""
+    def _of_runs(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without white space but single spaces and line feeds between other characters: each different run is looked up once."""
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        runs, bounds = parts.values.dictionary_encode(), parts.offsets.to_numpy()
+        known = self.words.get
+        packed = [known(x) or self.runs[x] for x in runs.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        # No space stands before the head of a text.
+        at = runs.indices.to_numpy().copy()
+        at[bounds[:-1]] = len(packed) + np.arange(len(texts))
+        packed += map(self.tails.__getitem__, parts.values.take(pa.array(bounds[:-1])).to_pylist())
+        ids = pa.array(packed, pa.large_binary()).take(pa.array(at))
+        cuts, data = np.frombuffer(ids.buffers()[1], np.int64)[bounds].tolist(), memoryview(ids.buffers()[2])
+        return [bytes(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned integers of the format's width."""
         # Plain searches: on whole texts they take a ninth of the time of one compiled class.
-        if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in self.apart):
-            return self.whole(text)
-        head, _, rest = text.replace("\n", " \n").partition(" ")
-        return self.whole(head) + b"".join(map(self.runs.__getitem__, rest.split(" "))) if rest else self.whole(head)
+        plain = [bool(t) and not (t[0].isspace() or t[-1].isspace() or any(x in t for x in self.apart)) for t in texts]
+        of_runs = iter(self._of_runs([t for t, x in zip(texts, plain, strict=True) if x]) if any(plain) else [])
+        return [next(of_runs) if x else self.whole(t) for t, x in zip(texts, plain, strict=True)]
 
 
 _LOADED: dict[str, CachedLibraryTokenizer] = {}
@@ -125,8 +139,8 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def _write_files(rows: DataFrame, encoder: Callable[[], tuple[Callable, int]], folder: str, parts: int | None) -> DataFrame:
     """Writes ``rows(id, k1, data)`` by id and returns the manifest ``(part, piece, name, n_docs, n_ids, id_bytes, base)``.
 
-    ``encoder`` gives, in a task, the function from ``data`` to packed ids with the
-    end id, and the width of an id. Rows are range-partitioned and sorted by id, so the files follow
+    ``encoder`` gives, in a task, the function from values of ``data`` to packed ids with the
+    end id of each, and the width of an id. Rows are range-partitioned and sorted by id, so the files follow
     in ascending order; each task encodes its rows once and writes them as it goes.
     """
     rows = rows.withColumn("k2", F.monotonically_increasing_id())
@@ -152,9 +166,8 @@ def _write_files(rows: DataFrame, encoder: Callable[[], tuple[Callable, int]], f
         now = None
         for batch in batches:
             for rows, values in rows_of(batch, "data"):
-                for doc, value in zip(rows.column("id").to_pylist(), values, strict=True):
+                for doc, packed in zip(rows.column("id").to_pylist(), encode(values), strict=True):
                     now = now or begin()
-                    packed = encode(value)
                     now["ids"].write(packed)
                     now["ends"].append(now["ends"][-1] + len(packed) // step)
                     now["docs"].append(-(1 << 63) if doc is None else doc)
@@ -177,7 +190,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     def encoder():
         tokenizer = library_at(tokenizer_path)
         end = struct.pack(f"<{tokenizer.code}", end_id)
-        return lambda text: tokenizer.encode(text) + end, tokenizer.step
+        return lambda texts: [ids + end for ids in tokenizer.encode_all(texts)], tokenizer.step
 
     return _write_files(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("k1"), F.col(text_col).cast("string").alias("data")), encoder, folder, parts)
 
@@ -188,7 +201,7 @@ def write_ids(encoded: DataFrame, vocabulary: int, end_id: int, folder: str, id_
     def encoder():
         code, dtype = id_format(vocabulary)
         end = struct.pack(f"<{code}", end_id)
-        return lambda ids: np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end, np.dtype(dtype).itemsize
+        return lambda values: [np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end for ids in values], np.dtype(dtype).itemsize
 
     return _write_files(encoded.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(ids_col).alias("k1"), F.col(ids_col).alias("data")), encoder, folder, parts)
 

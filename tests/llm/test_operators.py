@@ -626,3 +626,14 @@ def test_components_plans_stay_small(spark, monkeypatch):
     links = spark.createDataFrame([(5, 4), (4, 3), (1, 2)], "a long, b long")
     got = {r.node: r.root_rank for r in components.connected_components(spark, links, nodes).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3, 5: 3} and len(reads) > 1 and max(reads) <= 6
+
+
+def test_token_files_look_up_each_run_of_many_texts_once():
+    texts = ["", "Head tail", "Head\nfeed tail, end.", "one", "x  two", "tail\ttab", "É ß tail, 日本 it's", *[f"Head w{i % 7}, tail word\nfeed" for i in range(300)]]
+    tokenizer = token_files.CachedLibraryTokenizer(BYTE_BPE)
+    looked = []
+    run = tokenizer.runs.make
+    tokenizer.runs = bpe_stream.Remembered(lambda x: looked.append(x) or run(x), 2)
+    got = [np.frombuffer(ids, tokenizer.dtype).tolist() for ids in tokenizer.encode_all(texts)]
+    assert got == [tokenizer.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(looked) == len(set(looked))
