@@ -9,6 +9,8 @@ from scoreloom.llm import bpe_stream, decontam, pii, quality_crf, shingle_dedup,
 from scoreloom.llm.shared import materialize
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: Words that ``encode`` remembers: its workers live on and keep them through the other stages.
+WORDS = 60_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the texts, their count, and digests of the ids and of what they decode to."""
-    return bpe_stream.round_trip_digest(docs, WORD_BPE, keep_ids=True).withColumnRenamed("id", "doc_id")
+    return bpe_stream.round_trip_digest(docs, WORD_BPE, keep_ids=True, words=WORDS).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("encode", encode)]

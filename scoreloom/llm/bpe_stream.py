@@ -181,7 +181,7 @@ class MergeTable:
 class WordTokenizer:
     """Encodes as a lower-casing word BPE tokenizer file says: normal form, words, bytes, merges."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE_WORDS):
         self.table = MergeTable(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -189,8 +189,8 @@ class WordTokenizer:
         self.words = regex.compile(split.replace(r"[^\s", f"[^{_SPACE}"))
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.table.special)) + ")")
         self.gap = regex.compile(f"[{_SPACE}]+")
-        self.packed = Remembered(self._pack, CACHE_CHUNKS)
-        self.word = Remembered(self._encode_word)
+        self.packed = Remembered(self._pack, min(CACHE_CHUNKS, words))
+        self.word = Remembered(self._encode_word, words)
         size = max(self.table.tokens) + 1
         self.piece = [self.table.tokens.get(i, "").encode() for i in range(size)]
         self.is_special = np.zeros(size, bool)
@@ -303,14 +303,14 @@ class Decoder:
         return left
 
 
-_LOADED: dict[str, WordTokenizer] = {}
+_LOADED: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer_at(path: str) -> WordTokenizer:
-    """The tokenizer of a file, loaded once in a worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+def tokenizer_at(path: str, words: int = CACHE_WORDS) -> WordTokenizer:
+    """The tokenizer of a file, loaded once in a worker, which keeps so many words encoded in each generation."""
+    if (path, words) not in _LOADED:
+        _LOADED[path, words] = WordTokenizer(path, words)
+    return _LOADED[path, words]
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,15 +325,15 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "id long, ids binary")
 
 
-def round_trip_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def round_trip_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, words: int = CACHE_WORDS) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256, readable_sha256)``: each block of ids is digested, decoded and dropped.
 
-    With ``keep_ids`` they stay, in a binary column ``ids``.
+    With ``keep_ids`` they stay, in a binary column ``ids``. Fewer remembered ``words`` take less memory and more time.
     """
     names = ("ids_sha256", "decoded_sha256", "readable_sha256")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_at(path)
+        tokenizer = tokenizer_at(path, words)
         for batch in batches:
             for part, texts in rows_of(batch, "text"):
                 counts, hexes, kept = [], [], []

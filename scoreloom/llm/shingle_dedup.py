@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ WIDTH = 5
 SAMPLE, FREQUENT = 50_000, 200_000
 #: Prefix rows of one Arrow batch.
 ROWS = 200_000
+#: Ranges of hashes that are counted together, a power of two.
+RANGES = 1024
 #: Longs of a sketch.
 SKETCH = 16
 
@@ -44,6 +47,13 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array(simhash.shingle_hashes((text or "").encode(), width), np.uint64))
 
 
+def described(text: str, width: int) -> tuple[int, int, int, bytes, list[int]]:
+    """Fingerprint, hash of the set of shingles, its size, histogram and sketch. Hashes of one text only are held at a time."""
+    hashes = simhash.shingle_hashes(text.encode(), width)
+    found = np.unique(np.array(hashes, np.uint64))
+    return simhash.simhash(hashes), xxhash.xxh64_intdigest(found.tobytes()), len(found), histogram(found), sketch(found)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Jaccard similarity of 0.8 or more, in whole numbers."""
     if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
@@ -96,18 +106,39 @@ def prefix_rows(prefixes: list[np.ndarray], nodes: list[np.ndarray]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate(nodes)), pa.array(np.roll(h, 1), mask=first)], ["h", "node", "prev"])
 
 
+def packed_ranges(hashes: np.ndarray) -> pa.RecordBatch:
+    """A row for each range of hashes that has some: the different ones in order, and how often each is there."""
+    found, n = np.unique(hashes, return_counts=True)
+    parts, starts = np.unique(found // np.uint64((1 << 64) // RANGES), return_index=True)
+    cuts = list(pairwise([*starts.tolist(), len(found)]))
+    columns = [pa.array(parts.astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (found, n.astype(np.int64)))]
+    return pa.RecordBatch.from_arrays(columns, ["part", "hashes", "counts"])
+
+
+def repeated(rows: pa.Table) -> pa.Table:
+    """The hashes of one range that are there twice or more, and how often."""
+    hashes, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("counts", np.int64)))
+    order = np.argsort(hashes)
+    found, starts = np.unique(hashes[order], return_index=True)
+    n = np.add.reduceat(counts[order], starts)
+    return pa.table({"h": found.view(np.int64)[n > 1], "n": n[n > 1]})
+
+
 def frequent_shingles(rows: DataFrame, node: str, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that repeat in a sample of different texts, and how often."""
+    """Hashes that repeat in a sample of different texts, and how often.
+
+    Nearly all hashes are met once, so a row for each would fill a task's memory: they go packed, by ranges.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in rows_of(batch, text):
-                found = np.concatenate([shingle_set(t, width) for t in texts])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+                yield packed_ranges(np.concatenate([shingle_set(t, width) for t in texts]))
 
     total = rows.count()
     part = F.pmod(F.xxhash64(F.col(node)), F.lit(1_000_003)) < 1_000_003 * min(1.0, SAMPLE / max(1, total))
-    counted = rows.where(part).select(text).mapInArrow(emit, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    packed = rows.where(part).select(text).mapInArrow(emit, "part int, hashes binary, counts binary")
+    counted = packed.groupBy("part").applyInArrow(repeated, "h long, n long")
     found = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
     hashes, counts = (found.column(c).to_numpy() for c in ("h", "n"))
     order = np.argsort(hashes.view(np.uint64))
@@ -161,9 +192,9 @@ def verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, node: str, te
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lru_cache(2_000)(lambda t: shingle_set(t, width))
         for batch in batches:
             for part, left in rows_of(batch, "text_a"):
+                of = lru_cache(2_000)(lambda t: shingle_set(t, width))  # a slice bounds what it holds
                 good = [similar(of(x), of(y)) for x, y in zip(left, part.column("text_b").to_pylist(), strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -218,11 +249,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in rows_of(batch, text_col):
-                hashes = [simhash.shingle_hashes(t.encode(), width) for t in texts]
-                prints = np.array([simhash.simhash(h) for h in hashes], np.uint64)
-                sets = [np.unique(np.array(h, np.uint64)) for h in hashes]
-                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
-                added = [pa.array(prints.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(map(histogram, sets), pa.binary()), pa.array(map(sketch, sets), pa.list_(pa.int64()))]
+                prints, nodes, sizes, histograms, sketches = zip(*(described(t, width) for t in texts), strict=True)
+                hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, nodes)]
+                added = [*hashes, pa.array(sizes, pa.int64()), pa.array(histograms, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, fp, node, n, hist, bits])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType()), T.StructField(node, T.LongType()), T.StructField(n, T.LongType()), T.StructField(hist, T.BinaryType()), T.StructField(bits, T.ArrayType(T.LongType()))])

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from scoreloom.llm import pii, queries, shingle_dedup, token_files
+from scoreloom.llm import bpe_stream, pii, queries, shingle_dedup, token_files
 
 from .test_operators import brute_components, brute_simhash, prose
 
@@ -110,6 +111,31 @@ def test_sketches_rule_out_no_similar_pair(spark):
     assert all(x.close for x in got if x.similar) and not all(x.close for x in got if not x.similar)
 
 
+def test_hashes_are_counted_packed(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(60)) + " and an end that they all have in common" * (i % 2)) for i in range(40)]
+    counts = Counter(x for _, t in rows for x in shingle_dedup.shingle_set(t, 3).tolist())
+    want = {x: n for x, n in counts.items() if n > 1}
+    hashes, n = shingle_dedup.frequent_shingles(spark.createDataFrame(rows, "id long, text string").repartition(3), "id", "text", 3)
+    assert dict(zip(hashes.tolist(), n.tolist(), strict=True)) == want and hashes.tolist() == sorted(want)
+    # A range is one row, however many hashes it has: not a row for each.
+    many = np.random.default_rng(1).integers(0, 1 << 64, 50_000, np.uint64)
+    batch = shingle_dedup.packed_ranges(np.r_[many, many[:10]])
+    assert batch.num_rows == shingle_dedup.RANGES and sum(map(len, batch.column("hashes").to_pylist())) == 8 * len(np.unique(many))
+    assert shingle_dedup.packed_ranges(many[:0]).num_rows == 0
+
+
+def test_encode_remembers_few_words(spark, monkeypatch):
+    text = " ".join(f"word{i} x{i}" for i in range(3_000))
+    few, many = bpe_stream.WordTokenizer(corpus_pipeline.WORD_BPE, 100), bpe_stream.tokenizer_at(corpus_pipeline.WORD_BPE)
+    assert few.encode(text) == many.encode(text)
+    assert all(len(x) <= 100 and len(x.older) <= 100 for x in (few.word, few.packed))
+    asked = []
+    monkeypatch.setattr(bpe_stream, "round_trip_digest", lambda docs, path, **how: asked.append(how) or docs)
+    corpus_pipeline.encode(spark, spark.range(1).withColumnRenamed("id", "doc_id"), "")
+    assert asked[0]["words"] == corpus_pipeline.WORDS < bpe_stream.CACHE_WORDS
+
+
 def test_stages_keep_columns(spark, tmp_path):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "redact", "encode"]
 
