@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +60,18 @@ def rows_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch
         yield batch.slice(at, step), [empty if t is None else t for t in texts.slice(at, step).to_pylist()]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Arrow batches have at most so many rows meanwhile: their buffers are outside of the heap and grow with the texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def held_out(id_col: str | Column = "doc_id") -> Column:
     """True for the fifth of the ids that fitting never sees: crc32(id as text) mod 5 = 0."""
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"), "UTF-8")) % FOLDS == 0, F.lit(False))

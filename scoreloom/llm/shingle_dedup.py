@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from scoreloom.llm import simhash
 from scoreloom.llm.components import connected_components
-from scoreloom.llm.shared import fresh, materialize, rows_of
+from scoreloom.llm.shared import fresh, materialize, rows_of, small_batches
 
 WIDTH = 5
 #: Texts whose shingles are counted for the order, and the most frequent ones that it puts last.
@@ -244,6 +244,13 @@ def known_links(classes: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row of each group of ``docs`` stays, that of the smallest id, with all its columns."""
+    with small_batches(docs.sparkSession):
+        rows, classes, node = _classes_of(docs, id_col, text_col, width)
+    return simhash.first_of_classes(rows, classes, docs.columns, id_col, node)
+
+
+def _classes_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame, str]:
+    """``docs`` with a node each, the root of each node, and the name of the node's column; all written."""
     fp, node, n, hist, bits = (fresh(c, docs.columns) for c in ("fp", "node", "n", "hist", "sketch"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,5 +271,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for candidates in (candidates_by_star, candidates_by_prefix):
         links = verified(candidates(prefixes, classes, prints), prints, rows, node, text_col, width)
         classes = materialize(connected_components(spark, known_links(classes).union(links), nodes), "classes")
-    classes = classes.select(F.col("node").alias(node), "root")
-    return simhash.first_of_classes(rows, classes, docs.columns, id_col, node)
+    return rows, classes.select(F.col("node").alias(node), "root"), node

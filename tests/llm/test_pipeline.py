@@ -125,6 +125,16 @@ def test_hashes_are_counted_packed(spark):
     assert shingle_dedup.packed_ranges(many[:0]).num_rows == 0
 
 
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    written = shingle_dedup.materialize
+    monkeypatch.setattr(shingle_dedup, "materialize", lambda df, name: seen.append(int(spark.conf.get(key))) or written(df, name))
+    docs = spark.createDataFrame([(i, f"text {i // 2} of a few words that make shingles") for i in range(6)], "doc_id long, text string")
+    assert sorted(x.doc_id for x in shingle_dedup.one_of_each(docs).collect()) == [0, 2, 4]
+    assert seen and max(seen) <= 1_000 and spark.conf.get(key) == before
+
+
 def test_encode_remembers_few_words(spark, monkeypatch):
     text = " ".join(f"word{i} x{i}" for i in range(3_000))
     few, many = bpe_stream.WordTokenizer(corpus_pipeline.WORD_BPE, 100), bpe_stream.tokenizer_at(corpus_pipeline.WORD_BPE)
