@@ -9,8 +9,10 @@ most of a large group; then all that are not connected meet. The order puts shin
 how many candidates there are, never which pairs are found. Pairs that are already
 connected are not compared again, and sketches of the sets, which never rule out a
 similar pair, are held against each other inside the join: what leaves it are few
-pairs but the similar ones, however many texts share a shingle. A pair does not
-speak again where both have the same shingle before the shared one: it met there.
+pairs but the similar ones, however many texts share a shingle. A pair speaks at the
+first shingle that it shares. All before that one are in one text alone, so it stands
+early in both texts if they are similar; and where some of the open shingles just
+before it are the same in both, it is not the first: the pair met there.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ ROWS = 200_000
 RANGES = 1024
 #: Longs of a sketch.
 SKETCH = 16
+#: Shingles before a shared one that are looked through for an earlier shared one.
+BEFORE = 8
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -82,6 +86,11 @@ def may_be_close(n_a: Column, sketch_a: Column, n_b: Column, sketch_b: Column) -
     return (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * apart <= n_a + n_b)
 
 
+def may_be_first(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
+    """False where a shingle at these places cannot be the first one that two similar sets of these sizes share: too few follow."""
+    return 9 * F.least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)
+
+
 def may_be_similar(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """False where the histograms (rows of ``a`` and ``b``) leave too few shingles in common; ``sizes`` of both sets added."""
     most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
@@ -99,11 +108,12 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np
     return shingles[np.argsort(count, kind="stable")][:size]
 
 
-def prefix_rows(prefixes: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-    """A row for each shingle of each prefix, with the one before it."""
-    h = np.concatenate(prefixes).view(np.int64)
-    first = np.concatenate([np.arange(len(x)) == 0 for x in prefixes])
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate(nodes)), pa.array(np.roll(h, 1), mask=first)], ["h", "node", "prev"])
+def prefix_rows(prefixes: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
+    """A row for each shingle of each prefix, with its place in the text and the number of the text's shingles."""
+    lengths = [len(x) for x in prefixes]
+    at = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+    columns = [np.concatenate(prefixes).view(np.int64), np.repeat(np.array(nodes, np.int64), lengths), at, np.repeat(np.array(sizes, np.int32), lengths)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "node", "at", "size"])
 
 
 def packed_ranges(hashes: np.ndarray) -> pa.RecordBatch:
@@ -146,31 +156,38 @@ def frequent_shingles(rows: DataFrame, node: str, text: str, width: int) -> tupl
 
 
 def shared_prefixes(rows: DataFrame, node: str, text: str, width: int) -> DataFrame:
-    """``(h, node, prev)`` of the prefix shingles that two nodes or more have; ``prev`` is the one before it, null for the first."""
+    """``(h, node, at)`` of the prefix shingles that two nodes or more have; ``at`` is the place in the order, from 0.
+
+    A shingle so late in a text that it could not be the first that is shared even with the smallest text that has it is left out.
+    """
     frequent, counts = frequent_shingles(rows, node, text, width)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             for part, texts in rows_of(batch, text):
-                hashes, nodes, held = [], [], 0
+                hashes, nodes, sizes, held = [], [], [], 0
                 for k, t in zip(part.column(node).to_pylist(), texts, strict=True):
                     if k in seen:
                         continue
                     seen.add(k)
-                    found = prefix(shingle_set(t, width), frequent, counts)
+                    shingles = shingle_set(t, width)
+                    found = prefix(shingles, frequent, counts)
                     hashes.append(found)
-                    nodes.append(np.full(len(found), k, np.int64))
+                    nodes.append(k)
+                    sizes.append(len(shingles))
                     held += len(found)
                     if held >= ROWS:
-                        yield prefix_rows(hashes, nodes)
-                        hashes, nodes, held = [], [], 0
+                        yield prefix_rows(hashes, nodes, sizes)
+                        hashes, nodes, sizes, held = [], [], [], 0
                 if held:
-                    yield prefix_rows(hashes, nodes)
+                    yield prefix_rows(hashes, nodes, sizes)
 
-    index = rows.select(F.col(node), F.col(text)).mapInArrow(emit, "h long, node long, prev long").repartition("h").dropDuplicates(["h", "node"])
-    counted = index.withColumn("n", F.count("*").over(Window.partitionBy("h")))
-    return materialize(counted.where("n > 1").select("h", "node", "prev"), "prefixes")
+    index = rows.select(F.col(node), F.col(text)).mapInArrow(emit, "h long, node long, at int, size int").repartition("h").dropDuplicates(["h", "node"])
+    block = Window.partitionBy("h")
+    counted = index.withColumn("n", F.count("*").over(block)).withColumn("least", F.min("size").over(block))
+    met = counted.where("n > 1").where(9 * (F.col("size") - F.col("at")) >= 4 * (F.col("size") + F.col("least")))
+    return materialize(met.select("h", "node", "at"), "prefixes")
 
 
 def verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, node: str, text: str, width: int) -> DataFrame:
@@ -222,19 +239,23 @@ def candidates_by_star(blocks: DataFrame, classes: DataFrame, prints: DataFrame)
 
 
 def candidates_by_prefix(blocks: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a prefix shingle, are not connected yet and that sizes and sketches do not rule out.
+    """Pairs of nodes that share a prefix shingle, are not connected yet and that sizes, places and sketches do not rule out.
 
-    Prefixes follow one order, so of the shingles that a pair shares the first has different ones before it, or none.
+    All shingles that such a pair shares are open, with two roots or more. Where some of the ``BEFORE`` open ones that
+    stand before a shared one are the same in both, the pair has met.
     """
-    placed = materialize(blocks.join(classes.select("node", "root"), "node").join(prints.select("node", "n", "sketch"), "node"), "placed")
+    placed = materialize(blocks.join(classes.select("node", "root"), "node"), "placed")
     main = placed.groupBy("h", "root").agg(F.count("*").alias("rows")).groupBy("h").agg(F.max(F.struct("rows", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     main = materialize(main.select("h", F.col("most.root").alias("main")), "main-roots")
-    open_ = placed.join(main, "h")
-    others = open_.where("root <> main").select("h", F.col("node").alias("a"), F.col("prev").alias("prev_a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    met = others.join(open_.select("h", F.col("node").alias("b"), "prev", "root", "n", "sketch"), "h").where("root_a <> root")
-    met = met.where("prev_a is null or prev is null or prev_a <> prev")
-    close = met.where(may_be_close(F.col("n_a"), F.col("sketch_a"), F.col("n"), F.col("sketch")))
-    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    last = Window.partitionBy("node").orderBy("at").rowsBetween(-BEFORE, -1)
+    open_ = placed.join(main, "h").withColumn("before", F.collect_list("h").over(last))
+    open_ = materialize(open_.join(prints.select("node", "n", "sketch"), "node"), "open-shingles")
+    fields = ("node", "at", "before", "root", "n", "sketch")
+    a, b = (x.select("h", *(F.col(c).alias(f"{c}_{side}") for c in fields)) for x, side in ((open_.where("root <> main"), "a"), (open_, "b")))
+    met = a.join(b, "h").where("root_a <> root_b").where(may_be_first(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
+    met = met.where(~F.arrays_overlap("before_a", "before_b"))
+    close = met.where(may_be_close(F.col("n_a"), F.col("sketch_a"), F.col("n_b"), F.col("sketch_b")))
+    return close.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def known_links(classes: DataFrame) -> DataFrame:

@@ -96,6 +96,48 @@ def test_prefixes_alone_find_every_similar_pair(spark):
     assert len(want) > 50 and want <= got
 
 
+def rows_of_top_join(df):
+    """Rows that left the topmost join of the plan that ``df.collect()`` ran."""
+    plans = [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop(0)
+        if "Join" in plan.nodeName():
+            return plan.metrics().apply("numOutputRows").value()
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            plans.append(plan.executedPlan())
+        elif "QueryStage" in plan.nodeName():
+            plans.append(plan.plan())
+        else:
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    raise AssertionError("no join")
+
+
+def test_pairs_speak_about_once(spark):
+    # Long texts, whose sketches are full: 16 below a similarity of 0.8 with each other, and a closer one to each fourth.
+    r = random.Random(11)
+    base = [f"w{r.randrange(2000)}" for _ in range(3000)]
+
+    def changed(words, n, mark):
+        words = list(words)
+        for at in r.sample(range(len(words)), n):
+            words[at] = f"{mark}x{at}"
+        return words
+
+    texts = [changed(base, 90, k) for k in range(16)]
+    texts += [changed(texts[k], 40, f"n{k}") for k in range(0, 16, 4)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: shingle_dedup.shingle_set(t) for i, t in rows}
+    docs = spark.createDataFrame(rows, "id long, text string")
+    prints = spark.createDataFrame([(i, len(x), shingle_dedup.sketch(x)) for i, x in sets.items()], "node long, n long, sketch array<long>")
+    blocks = shingle_dedup.shared_prefixes(docs, "id", "text", 5)
+    df = shingle_dedup.candidates_by_prefix(blocks, prints.select("node", F.col("node").alias("root")), prints)
+    got = {(x.a, x.b) for x in df.collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and shingle_dedup.similar(sets[a], sets[b])}
+    assert len(want) >= 4 and want <= got
+    # Two that are not of the main root meet from both sides.
+    assert rows_of_top_join(df) <= 4 * len(sets) * (len(sets) - 1) / 2
+
+
 def test_sketches_rule_out_no_similar_pair(spark):
     r = np.random.default_rng(3)
     rows = []
