@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from scoreloom.functions import tails
 from scoreloom.operators.ranks import average_rank, block_rank, exact_median, ranked_values, tie_sum
+from scoreloom.sources.scratch import written
 
 
 def _tail(function, *columns) -> Column:
@@ -128,7 +129,8 @@ def mann_whitney(rows: DataFrame, column: str, value: str, pairs: list[tuple[str
 
 
 def rank_sums(both: DataFrame) -> DataFrame:
-    """The same for rows of ``(comparison, first, v)``."""
+    """The same for rows of ``(comparison, first, v)``, which are read several times and so written first."""
+    both = written(both.select("comparison", "first", "v"), "sides")
     ranked = average_rank(both, "v", ["comparison"])
     one, two = F.when(F.col("first"), F.col("v")), F.when(~F.col("first"), F.col("v"))
     sums = ranked.groupBy("comparison").agg(

@@ -31,7 +31,10 @@ def ranked_values(rows: DataFrame, value: str, group: list[str] | None = None, b
 
 
 def average_rank(rows: DataFrame, value: str, group: list[str] | None = None, name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
-    """``rows`` with the rank of ``value``, ties averaged, within ``group`` or over all rows. Nulls have no rank."""
+    """``rows`` with the rank of ``value``, ties averaged, within ``group`` or over all rows. Nulls have no rank.
+
+    ``rows`` is read twice and must hold equal values both times: sums are ``written`` before.
+    """
     group = group or []
     ranked = ranked_values(rows, value, group, buckets).select(*group, F.col("__v").alias(value), F.col("rank").alias(name))
     return rows.join(ranked, [*group, value], "left").select(*rows.columns, name)
