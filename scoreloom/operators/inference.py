@@ -97,7 +97,8 @@ def signed_rank(diffs: DataFrame, d: str, group: list[str]) -> DataFrame:
 
     z is the normal approximation with tie correction, at every size.
     """
-    rows = diffs.where(F.col(d).isNotNull()).withColumn("__a", F.abs(d))
+    # Differences of means may come out otherwise at every reading, and would not find their ranks.
+    rows = written(diffs.where(F.col(d).isNotNull()).select(*group, d), "differences").withColumn("__a", F.abs(d))
     ranked = average_rank(rows, "__a", group, "rank_all")
     nonzero = average_rank(rows.where(F.col(d) != 0), "__a", group, "rank_nz")
     plus = lambda c: F.sum(F.when(F.col(d) > 0, F.col(c)).otherwise(0.0))

@@ -20,3 +20,10 @@ def test_rank_sums_of_sums(spark):
     found = inference.with_rank_sum_p(inference.rank_sums(rows)).collect()
     # Of each four, first values take turns with the others: 1 + 3 + 5 + 7 + 9 less 1 + 2 + 3 + 4 + 5.
     assert [(r.n1, r.n2, r.u, r.ties) for r in found] == [(5, 5, 10.0, 0.0)] * 4
+
+
+def test_signed_ranks_of_differences(spark):
+    # Per group 1 to 10, the even ones less than nothing: 1 + 3 + 5 + 7 + 9.
+    rows = spark.range(40).select((F.col("id") % 4).alias("g"), F.floor(F.col("id") / 4 + 1).alias("n")).select("g", unsteady(F.when(F.col("n") % 2 == 0, -F.col("n")).otherwise(F.col("n"))).alias("d"))
+    found = inference.signed_rank(rows, "d", ["g"]).collect()
+    assert [(r.n, r.w_plus, r.w, r.zeros, r.wins) for r in found] == [(10, 25.0, 25.0, 0, 5)] * 4
