@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scoreloom.sources.scratch import written
+
 BUCKETS = 64
 
 
@@ -14,14 +16,16 @@ def ranked_values(rows: DataFrame, value: str, group: list[str] | None = None, b
 
     Distinct values are counted first and cut into buckets at quantiles. Only a
     bucket is ordered by a window; prefix sums over the bucket totals, a few rows
-    a group, place it. No partition holds a whole group.
+    a group, place it. No partition holds a whole group. Approximate quantiles, and
+    values that are sums, depend on the order in which tasks deliver, so the values
+    are written with their buckets: totals and places then speak of the same buckets.
     """
     group = group or []
     counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count("*").alias("__t"))
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*group).agg(F.percentile_approx("__v", cuts, 1000).alias("__cuts"))
     placed = counts.join(bounds, group) if group else counts.crossJoin(F.broadcast(bounds))
-    placed = placed.withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
+    placed = written(placed.withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts"), "buckets")
     totals = placed.groupBy(*group, "__b").agg(F.sum("__t").alias("__total"))
     before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*group, "__b", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.operators import inference
+from scoreloom.operators import inference, ranks
 
 
 @F.arrow_udf(T.DoubleType())
@@ -27,3 +27,15 @@ def test_signed_ranks_of_differences(spark):
     rows = spark.range(40).select((F.col("id") % 4).alias("g"), F.floor(F.col("id") / 4 + 1).alias("n")).select("g", unsteady(F.when(F.col("n") % 2 == 0, -F.col("n")).otherwise(F.col("n"))).alias("d"))
     found = inference.signed_rank(rows, "d", ["g"]).collect()
     assert [(r.n, r.w_plus, r.w, r.zeros, r.wins) for r in found] == [(10, 25.0, 25.0, 0, 5)] * 4
+
+
+def test_places_and_totals_speak_of_the_same_buckets(spark):
+    key = "spark.sql.exchange.reuse"
+    spark.conf.set(key, "false")
+    try:
+        rows = spark.range(3000).select((F.col("id") % 2).alias("g"), unsteady(F.col("id")).alias("v"))
+        for group, sizes in (([], [3000]), (["g"], [1500, 1500])):
+            found = ranks.ranked_values(rows, "v", group).select("rank").collect()
+            assert sorted(r["rank"] for r in found) == sorted(float(k) for n in sizes for k in range(1, n + 1))
+    finally:
+        spark.conf.unset(key)
