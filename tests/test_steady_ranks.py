@@ -39,3 +39,16 @@ def test_places_and_totals_speak_of_the_same_buckets(spark):
             assert sorted(r["rank"] for r in found) == sorted(float(k) for n in sizes for k in range(1, n + 1))
     finally:
         spark.conf.unset(key)
+
+
+def test_mann_whitney_over_many_buckets(spark):
+    key = "spark.sql.exchange.reuse"
+    spark.conf.set(key, "false")
+    try:
+        side = F.when(F.col("id") % 3 == 0, "x").otherwise("y")
+        rows = spark.range(3000).select(side.alias("m"), unsteady(F.col("id")).alias("v"))
+        found = inference.mann_whitney(rows, "m", "v", [("x", "y")]).first()
+    finally:
+        spark.conf.unset(key)
+    # The k-th x has 2 (k - 1) of the y below it.
+    assert (found.n1, found.n2, found.u, found.ties) == (1000, 2000, 999_000.0, 0.0)
