@@ -17,10 +17,12 @@ def grid_corpus(docs: DataFrame) -> DataFrame:
     """A document table as a corpus, every row of it: ``GRID_MODELS`` consecutive ids are one source document, and an id's place among them is the model.
 
     Rows of equal id are numbered, and the second one belongs to a document of its own.
+    Only then are texts shuffled; ids are counted first, to see whether one repeats.
     """
     group, place = F.floor(F.col("doc_id") / GRID_MODELS), F.pmod("doc_id", F.lit(GRID_MODELS))
     text = F.coalesce("text", F.lit(""))
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(text))
+    repeats = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(text)) if repeats else F.lit(1)
     document = F.concat(F.when(group % 2 == 0, "PAT-").otherwise("RPT-"), group, F.when(F.col("__n") > 1, F.concat(F.lit("#"), "__n")).otherwise(""))
     rows = docs.withColumn("__n", again).select("doc_id", document.alias("document_id"), F.concat(F.lit("src"), place).alias("model"), F.lit("ADR").alias("doc_type"), text.alias("text"))
     return rows.withColumn("path", F.concat_ws("_", "document_id", "model", F.lit("ADR.md"))).select("doc_id", "document_id", "model", "doc_type", "path", "text")
