@@ -248,9 +248,7 @@ def rouge(spark, sf_dir):
 
 @register()
 def rouge_l(spark, sf_dir):
-    docs = pairs.select_models(grid(spark, sf_dir), [*REFERENCES, *LOCALS]).select(*lexical.DOC, "text")
-    both = pairs.make_pairs(pairs.select_models(docs, REFERENCES), pairs.select_models(docs, LOCALS))
-    return both.select(*lexical.PAIR, lexical.rouge_l(F.col("ref_text"), F.col("cand_text")).alias("rougeL"))
+    return lexical.rouge_l_pairs(grid(spark, sf_dir), REFERENCES, LOCALS)
 
 
 _BLEU_SUM = " + ".join("exp(" + " + ".join(f"{w} * l{i}" for i, w in enumerate(ws, 1)) + ")" for ws in lexical.BLEU_WEIGHTS)
@@ -287,8 +285,8 @@ def zero_structure_share(spark, sf_dir):
 @register()
 def similarity_table(spark, sf_dir):
     docs, refs, locs = grid(spark, sf_dir), REFERENCES, LOCALS
-    lex = [f(docs, refs, locs) for f in (lexical.vocab_overlap_f1, lexical.rouge, lexical.bleu, lexical.tfidf_similarity)]
-    return scores.similarity_table([*lex, rouge_l(spark, sf_dir), structure.structure_similarity(markdown_corpus(spark, sf_dir), refs, locs)])
+    lex = [f(docs, refs, locs) for f in (lexical.vocab_overlap_f1, lexical.rouge, lexical.bleu, lexical.tfidf_similarity, lexical.rouge_l_pairs)]
+    return scores.similarity_table([*lex, structure.structure_similarity(markdown_corpus(spark, sf_dir), refs, locs)])
 
 
 # Vector metrics ---------------------------------------------------------------------------------

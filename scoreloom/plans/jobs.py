@@ -18,10 +18,7 @@ def score_corpus(corpus: DataFrame, references: list[str], candidates: list[str]
     ``vector_metrics`` are tables of metrics from caller-supplied embeddings, keyed by pair.
     """
     docs = pairs.keep_first(pairs.valid_documents(corpus), ["path"]).repartition("document_id", "doc_type")
-    text = docs.select(*lexical.DOC, "text")
-    both = pairs.make_pairs(pairs.select_models(text, references), pairs.select_models(text, candidates))
-    parts = [f(docs, references, candidates) for f in (lexical.vocab_overlap_f1, lexical.rouge, lexical.bleu, lexical.tfidf_similarity, structure.structure_similarity)]
-    parts.append(both.select(*lexical.PAIR, lexical.rouge_l(F.col("ref_text"), F.col("cand_text")).alias("rougeL")))
+    parts = [f(docs, references, candidates) for f in (lexical.vocab_overlap_f1, lexical.rouge, lexical.bleu, lexical.tfidf_similarity, structure.structure_similarity, lexical.rouge_l_pairs)]
     return scores.similarity_table([*parts, *(vector_metrics or [])])
 
 

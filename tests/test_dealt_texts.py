@@ -1,11 +1,14 @@
 """Pair metrics deal the texts of a corpus once, by document, and nothing that is made of them."""
 
+import math
 import random
 import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import lexical
+from scoreloom.operators import lexical, scores
 from scoreloom.operators.pairs import grid_corpus
 
 
@@ -34,3 +37,36 @@ def test_texts_are_shuffled_only_if_ids_repeat(spark):
     docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
     assert "Window" not in grid_corpus(docs)._jdf.queryExecution().toString()
     assert "Window" in grid_corpus(docs.union(docs.limit(1)))._jdf.queryExecution().toString()
+
+
+def test_metrics_share_the_texts_exchange(spark):
+    docs, _ = corpus(spark)
+    parts = [f(docs, ["r", "s"], ["c", "e"]) for f in (lexical.vocab_overlap_f1, lexical.rouge, lexical.bleu, lexical.tfidf_similarity, lexical.rouge_l_pairs)]
+    table = scores.similarity_table(parts)
+    found = table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # One is made, and four read it again.
+    assert plan.count("REPARTITION_BY_COL") == 5 and plan.count("ReusedExchange") == 4
+    # Twelve documents of two by two, and one of one by two.
+    assert len(found) == 12 * 4 + 2
+
+
+@pytest.mark.parametrize("held", [0, 1000])
+def test_tfidf_of_held_and_of_many_terms(spark, monkeypatch, held):
+    monkeypatch.setattr(lexical, "HELD_TERMS", held)
+    docs, texts = corpus(spark)
+    counts = {(d, m): Counter(re.findall(r"\w{2,}", t.lower())) for d, _, m, t in texts}
+    fitted = [counts[d, m] for d, _, m, t in texts if len(t.strip()) >= 10]
+    df = Counter(w for c in fitted for w in c)
+
+    def vector(c):
+        own = {w: n * (math.log((1 + len(fitted)) / (1 + df[w])) + 1) for w, n in c.items() if df[w]}
+        size = math.sqrt(sum(x * x for x in own.values())) or 1.0
+        return {w: x / size for w, x in own.items()}
+
+    vectors = {k: vector(c) for k, c in counts.items()}
+    found = lexical.tfidf_similarity(docs, ["r", "s"], ["c", "e"]).collect()
+    assert len(found) == 12 * 4 + 2
+    for x in found:
+        a, b = vectors[x.document_id, x.reference_model], vectors[x.document_id, x.comparison_model]
+        assert x.tfidf_similarity == pytest.approx(sum(v * b.get(w, 0.0) for w, v in a.items()))
