@@ -966,7 +966,7 @@ def study(spark, sf_dir):
 @register()
 def study_leniency(spark, sf_dir):
     """Real metrics of all pairs into the statistics: how lenient each reference is, and how it tells models apart."""
-    return scores.leniency(study(spark, sf_dir))
+    return scores.leniency(kept(study(spark, sf_dir).select("Reference", "Model", "OverallScore")))
 
 
 @register()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.operators import lexical, scores
 from scoreloom.operators.pairs import grid_corpus
+from scoreloom.plans import catalog
 
 
 def corpus(spark, n=12):
@@ -70,3 +71,16 @@ def test_tfidf_of_held_and_of_many_terms(spark, monkeypatch, held):
     for x in found:
         a, b = vectors[x.document_id, x.reference_model], vectors[x.document_id, x.comparison_model]
         assert x.tfidf_similarity == pytest.approx(sum(v * b.get(w, 0.0) for w, v in a.items()))
+
+
+def documents(spark, path) -> str:
+    words = "patent sensor water soil model data system farm".split()
+    texts = [(i, ". ".join(words[(i * k) % 8] + ", " + words[k] for k in range(2 + i % 5))) for i in range(24)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_study_leniency_reads_its_scores_once(spark, tmp_path):
+    found = catalog.study_leniency(spark, documents(spark, tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan and {r.Reference for r in found.collect()} == {f"src{i}" for i in range(5)}
