@@ -84,3 +84,12 @@ def test_study_leniency_reads_its_scores_once(spark, tmp_path):
     found = catalog.study_leniency(spark, documents(spark, tmp_path))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" in plan and {r.Reference for r in found.collect()} == {f"src{i}" for i in range(5)}
+
+
+def test_study_of_families_deals_texts_once(spark, tmp_path):
+    folder = documents(spark, tmp_path)
+    rows = catalog.study(spark, folder).select("document_id", "Reference", "Model", "OverallScore")
+    assert len(rows.collect()) == 3 * 15
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("REPARTITION_BY_COL") == 5 and plan.count("ReusedExchange") >= 4
+    assert catalog.study_family_gaps(spark, folder).count() == 3
